@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, simhash_dedup
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
+}
 
-ORACLES = {"op1_exact_dedup": exact_dedup.OP1_SQL}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
+}
