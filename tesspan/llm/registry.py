@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash_dedup
+from . import decontaminate, exact_dedup, simhash_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op4_decontaminate": decontaminate.OP4_SQL,
 }
