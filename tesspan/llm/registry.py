@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, simhash_dedup
+from . import decontaminate, exact_dedup, quality, simhash_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_quality_mil": quality.op2_quality_mil,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
 }
