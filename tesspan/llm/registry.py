@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, quality, simhash_dedup
+from . import decontaminate, exact_dedup, packing, quality, simhash_dedup, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_quality_mil": quality.op2_quality_mil,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op10_length_buckets": packing.op10_length_buckets,
 }
 
 ORACLES = {
