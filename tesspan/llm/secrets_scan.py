@@ -1,7 +1,7 @@
 """Secret scans by a battery of randomness tests.
 
-Base spans come from fixed patterns.  Beside them every long token is tried as a secret:
-its encoding is inferred from its characters, and three tests ask how far it is from
+Base spans come from fixed patterns.  Beside them every long token, in a base span or not,
+is tried as a secret: its encoding is inferred from its characters, and three tests ask how far it is from
 random text of that encoding: chi-squared uniformity over the alphabet, the runs test
 about the alphabet's middle, and lag-one serial correlation.  Three times the smallest
 p-value is its score: near 1 for random characters, tiny for words.
@@ -131,9 +131,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 token = m[0]
                 name = encoding(token)
                 if name:
-                    a, b = m.span()
-                    if not any(s < b and a < e for s, e, _ in base):
-                        tried.append((a, b, _band(b - a), _bin(score(token, name))))
+                    tried.append((*m.span(), _band(len(token)), _bin(score(token, name))))
                 elif _WORD.fullmatch(token):
                     words[_band(len(token)), _bin(score(token, "base62"))] += 1
             rows.append((doc_id, base, tried, [(*k, n) for k, n in words.items()]))
