@@ -34,9 +34,16 @@ def trimmed(x: Column, cut: float = _CUT) -> Column:
     return F.when(F.abs(x) < 1e280, big - (big - x)).otherwise(x)
 
 
+def settled(r: Column) -> Column:
+    """A correlation rounded to multiples of 2^-40, so that the noise of a true zero or one is no difference."""
+    return (r + 4096.0) - 4096.0
+
+
 def published(x: Column) -> Column:
-    """x as it leaves the engine: rounded to single precision (24 bits), without negative zero."""
-    return x.cast("float").cast("double") + 0.0
+    """x as it leaves the engine: rounded to 24 bits, as single precision has; zero below 1e-15."""
+    cut, tiny = float(2**29 + 1), 2.0**-200
+    huge = (F.abs(x) >= 1e280) & (F.abs(x) < INF)
+    return F.when(F.abs(x) < 1e-15, F.lit(0.0)).when(huge, trimmed(x * tiny, cut) / tiny).otherwise(trimmed(x, cut))
 
 
 _ROW = {
@@ -112,7 +119,7 @@ def _rolling(op: str, n: int, x: list[Column], extra: tuple) -> Column:
         if op == "beta":
             spread = F.var_samp(both_b).over(w)
             return full(F.when(spread != 0, cov / spread), a, b)
-        return full(divided(cov, F.stddev_samp(both_a).over(w) * F.stddev_samp(both_b).over(w)), a, b)
+        return full(settled(divided(cov, F.stddev_samp(both_a).over(w) * F.stddev_samp(both_b).over(w))), a, b)
     held = F.collect_list(trimmed(a) if op != "decay" else a).over(w)
     if op == "decay":
         weights = F.array(*[F.lit(2.0 * (i + 1) / (n * (n + 1))) for i in range(n)])
@@ -145,7 +152,10 @@ def window(e: E, names: dict[E, str]) -> Column:
             held = F.collect_list(x[0]).over(_stock().rowsBetween(-ewm_rows(e.params[0]), 0))
             start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
             folded = F.aggregate(held, start, lambda t, v: F.struct((t["s"] * keep + v).alias("s"), (t["w"] * keep + 1.0).alias("w")), lambda t: t["s"] / t["w"])
-            return F.when(x[0].isNotNull(), folded)
+            # what isn't finite never leaves the mean, however long ago it was
+            lasting = F.when(F.isnan(x[0]) | (F.abs(x[0]) == INF), x[0]).otherwise(0.0)
+            lasting = F.sum(lasting).over(_stock().rowsBetween(Window.unboundedPreceding, 0))
+            return F.when(x[0].isNotNull(), folded + lasting)
         return _rolling(e.op, e.params[0], x, e.params[1:])
     day = Window.partitionBy(DAY)
     if e.op == "rank":

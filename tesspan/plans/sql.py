@@ -36,6 +36,16 @@ def rows(e: E, names: dict[E, str]) -> str:
     return _ROW[e.op].format(*[rows(a, names) for a in e.args])
 
 
+def published(x: str) -> str:
+    """x rounded to 24 bits, zero below 1e-15."""
+    cut, tiny = "536870913.0::DOUBLE", f"{2.0**-200!r}::DOUBLE"
+    low = f"({x} * {tiny})"
+    return (
+        f"CASE WHEN abs({x}) < 1e-15 THEN 0.0::DOUBLE WHEN isinf({x}) OR isnan({x}) THEN {x} "
+        f"WHEN abs({x}) >= 1e280 THEN ({low} * {cut} - ({low} * {cut} - {low})) / {tiny} ELSE {x} * {cut} - ({x} * {cut} - {x}) END"
+    )
+
+
 def _trim(x: str) -> str:
     return f"(CASE WHEN abs({x}) < 1e280 THEN {x} * {_CUT} - ({x} * {_CUT} - {x}) ELSE {x} END)"
 
@@ -64,8 +74,9 @@ def window(e: E, names: dict[E, str], own: str) -> tuple[list[str], str]:
     if e.op == "ewm":
         keep = 1 - e.params[0]
         every = raw(f"list({a}) FILTER ({a} IS NOT NULL) OVER ({_STOCK} ROWS UNBOUNDED PRECEDING)")
-        total = f"list_reduce({every}, lambda s, v: s * {keep!r}::DOUBLE + v)"
-        return raws, f"(CASE WHEN {a} IS NOT NULL THEN {total} * {e.params[0]!r}::DOUBLE / (1 - pow({keep!r}::DOUBLE, len({every}))) END)"
+        fold = lambda of: f"list_reduce({of}, lambda s, v: s * {keep!r}::DOUBLE + v)"
+        ones = f"list_transform({every}, lambda v: 1.0::DOUBLE)"
+        return raws, f"(CASE WHEN {a} IS NOT NULL THEN {fold(every)} / {fold(ones)} END)"
     n = e.params[0]
     over = f"OVER ({_STOCK} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     if e.op == "lag":
@@ -94,7 +105,7 @@ def window(e: E, names: dict[E, str], own: str) -> tuple[list[str], str]:
         va, vb = f"list_aggregate({held}, 'var_samp')", f"list_aggregate({other}, 'var_samp')"
         value = {
             "cov": cov,
-            "corr": f"(CASE WHEN {va} = 0 OR {vb} = 0 THEN 'nan'::DOUBLE ELSE {cov} / (sqrt({va}) * sqrt({vb})) END)",
+            "corr": f"(CASE WHEN {va} = 0 OR {vb} = 0 THEN 'nan'::DOUBLE ELSE {cov} / (sqrt({va}) * sqrt({vb})) + 4096.0::DOUBLE - 4096.0::DOUBLE END)",
             "beta": f"(CASE WHEN {vb} <> 0 THEN {cov} / {vb} END)",
         }[e.op]
     elif e.op == "decay":
@@ -132,5 +143,7 @@ def sql(wanted: dict[str, E], source: str, keys: tuple[str, ...] = ("stock_code"
         last = f"b{k}"
         have |= {e: found.names[e] for e in stage.windows}
     value = lambda e: f"({rows(e, have)})" + ("::INT" if e.boolean else "")
-    cols = ", ".join(f"{value(e)}::FLOAT::DOUBLE + 0.0::DOUBLE AS {name}" for name, e in wanted.items())
-    return f"WITH {source}" + "".join(f", {s}" for s in steps) + f" SELECT {', '.join(keys)}, {cols} FROM {last}"
+    cols = ", ".join(f"{value(e)}::DOUBLE AS {name}" for name, e in wanted.items())
+    steps.append(f"wide AS (SELECT {', '.join(keys)}, {cols} FROM {last})")
+    cols = ", ".join(f"{published(name)} AS {name}" for name in wanted)
+    return f"WITH {source}" + "".join(f", {s}" for s in steps) + f" SELECT {', '.join(keys)}, {cols} FROM wide"

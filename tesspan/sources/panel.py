@@ -84,3 +84,60 @@ rows AS (
     stocks=STOCKS,
     adv=", ".join(f"avg(volume) OVER (PARTITION BY stock_code ORDER BY trade_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS adv{n}" for n in ADV),
 )
+
+
+# --- the training panel: the wide Parquet contract of the loader ---------------------------
+
+EPOCH = "1995-01-02"
+
+
+def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deterministic wide panel (ts_code, trade_date, close, pct_chg, vol, flags, name, factor columns) from line items."""
+    panel = line_item_panel(spark, sf_dir)
+    b = F.substring("stock_code", 1, 6).cast("int") - 600000
+    week = (F.datediff("trade_date", F.lit(EPOCH)) / 7).cast("int")
+    df = panel.withColumn("b", b).withColumn("week", week)
+    kind = F.col("b") % 5
+    start = F.when(kind == 0, 600000).when(kind == 1, 0).when(kind == 2, 300000).when(kind == 3, 688000).otherwise(830000)
+    end = F.when(kind.isin(0, 3), ".SH").when(kind.isin(1, 2), ".SZ").otherwise(".BJ")
+    st = F.col("b") % 7 == 3
+    clipped = F.greatest(F.least(F.coalesce("returns", F.lit(0.0)) * 0.1, F.lit(0.35)), F.lit(-0.35))
+    return df.select(
+        F.concat(F.lpad((start + F.col("b")).cast("string"), 6, "0"), end).alias("ts_code"),
+        "trade_date",
+        "close",
+        clipped.alias("pct_chg"),
+        F.when((F.col("week") + F.col("b")) % 37 == 0, 0.0).otherwise(F.col("volume")).alias("vol"),
+        st.alias("is_st"),
+        (F.col("week") + F.col("b") * 10).alias("days_since_ipo"),
+        (F.col("b") % 6).cast("smallint").alias("industry_code"),
+        F.concat(F.when(st, "*ST").otherwise(""), F.lit("stock"), F.col("b").cast("string")).alias("name"),
+        (F.col("b") % 3 == 0).alias("is_hs300"),
+        (F.col("b") % 3 == 1).alias("is_zz500"),
+        F.when((F.col("week") + F.col("b")) % 11 != 0, F.col("returns")).alias("alpha_000"),
+        F.try_divide(F.col("high") - F.col("low"), F.col("close")).alias("alpha_001"),
+        F.when((F.col("week") + F.col("b")) % 29 == 0, F.lit(float("nan"))).otherwise(F.try_divide("volume", "adv20")).alias("mf_000"),
+        F.try_divide("volume", "adv60").alias("mfp_000"),
+        (F.try_divide("close", "vwap") - 1.0).alias("gtja_000"),
+    )
+
+
+#: The same for DuckDB: common table expressions that end in `training`.
+TRAINING_SQL = (
+    PANEL_SQL
+    + f""", coded AS (
+  SELECT *, substr(stock_code, 1, 6)::INT - 600000 AS b, (trade_date - DATE '{EPOCH}') // 7 AS week FROM panel
+), training AS (
+  SELECT lpad((CASE b % 5 WHEN 0 THEN 600000 WHEN 1 THEN 0 WHEN 2 THEN 300000 WHEN 3 THEN 688000 ELSE 830000 END + b)::VARCHAR, 6, '0')
+           || CASE WHEN b % 5 IN (0, 3) THEN '.SH' WHEN b % 5 IN (1, 2) THEN '.SZ' ELSE '.BJ' END AS ts_code,
+         trade_date, close, greatest(least(coalesce(returns, 0.0) * 0.1::DOUBLE, 0.35::DOUBLE), -0.35::DOUBLE) AS pct_chg,
+         CASE WHEN (week + b) % 37 = 0 THEN 0.0::DOUBLE ELSE volume END AS vol, b % 7 = 3 AS is_st, week + b * 10 AS days_since_ipo,
+         (b % 6)::SMALLINT AS industry_code, CASE WHEN b % 7 = 3 THEN '*ST' ELSE '' END || 'stock' || b::VARCHAR AS name,
+         b % 3 = 0 AS is_hs300, b % 3 = 1 AS is_zz500,
+         CASE WHEN (week + b) % 11 <> 0 THEN returns END AS alpha_000, (high - low) / close AS alpha_001,
+         CASE WHEN (week + b) % 29 = 0 THEN 'nan'::DOUBLE ELSE volume / adv20 END AS mf_000, volume / adv60 AS mfp_000,
+         close / vwap - 1.0::DOUBLE AS gtja_000
+  FROM coded
+)
+"""
+)
