@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.columns import trimmed
 from .evaluate import daily_ic, finite, ic_summary, sharpes, top_k, top_k_returns, usable
 
 DAY = ("member", "trade_date")
@@ -44,7 +45,7 @@ def combined(scores: DataFrame, how: str) -> DataFrame:
         rows, value = daily_z(scores), F.percentile("z", F.lit(0.5))
     else:
         raise ValueError("how is zmean, zmedian or rankmean")
-    return rows.groupBy("trade_date", "ts_code").agg(value.alias("score"), F.first("fwd_ret").alias("fwd_ret"))
+    return rows.groupBy("trade_date", "ts_code").agg(trimmed(value).alias("score"), F.first("fwd_ret").alias("fwd_ret"))
 
 
 def variants(scores: DataFrame, k: int, period: int = 1) -> DataFrame:
@@ -66,7 +67,7 @@ def leave_one_out(scores: DataFrame, k: int, period: int = 1) -> DataFrame:
     places = daily_place(scores)
     left = scores.select(F.col("member").alias("left")).distinct().select("left").unionByName(scores.sparkSession.createDataFrame([("",)], "left string"))
     rows = places.join(F.broadcast(left), F.col("member") != F.col("left"))  # one row per member: a handful
-    rows = rows.groupBy("left", "trade_date", "ts_code").agg(F.avg("place").alias("score"), F.first("fwd_ret").alias("fwd_ret"))
+    rows = rows.groupBy("left", "trade_date", "ts_code").agg(trimmed(F.avg("place")).alias("score"), F.first("fwd_ret").alias("fwd_ret"))
     rows = rows.withColumn("variant", F.when(F.col("left") == "", "all").otherwise(F.concat(F.lit("minus_"), "left")))
     return ranked_variants(rows, k, period, ["variant"])
 

@@ -111,7 +111,7 @@ def daily_sleeves(panel: DataFrame, k: int, cost_bps: float, hold: int = HOLD) -
 
 def random_executions(panel: DataFrame, k: int, cost_bps: float, sims: int = 20, hold: int = HOLD, seed: int = 0) -> DataFrame:
     """One row: mean and percentiles of the Sharpe of random scorings under the same rules."""
-    signals = trades(panel, hold).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
+    signals = trades(panel.withColumn("score", F.lit(0.0)), hold).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
     signals = signals.withColumn("score", hashed_noise(F.lit(seed), F.col("sim"), F.col("trade_date"), F.col("ts_code")))
     each = summarised(rebalances(signals, k, cost_bps, hold, ["sim"]).where("sleeve = 0"), ["day"], hold, ["sim"])
     return each.agg(F.count(F.lit(1)).alias("n_sims"), F.avg("sharpe").alias("mean_sharpe"), F.percentile("sharpe", F.lit(0.5)).alias("p50_sharpe"), F.percentile("sharpe", F.lit(0.95)).alias("p95_sharpe"))

@@ -46,7 +46,7 @@ def published(x: str) -> str:
     )
 
 
-def _trim(x: str) -> str:
+def trimmed(x: str) -> str:
     return f"(CASE WHEN abs({x}) < 1e280 THEN {x} * {_CUT} - ({x} * {_CUT} - {x}) ELSE {x} END)"
 
 
@@ -61,7 +61,7 @@ def window(e: E, names: dict[E, str], own: str) -> tuple[list[str], str]:
     if e.kind == "cs":
         day = "OVER (PARTITION BY trade_date)"
         if e.op == "rank":
-            cut = f"(CASE WHEN NOT isnan({x[0]}) THEN {_trim(x[0])} END)"
+            cut = f"(CASE WHEN NOT isnan({x[0]}) THEN {trimmed(x[0])} END)"
             low = raw(f"rank() OVER (PARTITION BY trade_date ORDER BY {cut} ASC NULLS LAST)")
             ties = raw(f"count(*) OVER (PARTITION BY trade_date, {cut})")
             known = raw(f"count({cut}) {day}")
@@ -88,7 +88,7 @@ def window(e: E, names: dict[E, str], own: str) -> tuple[list[str], str]:
     simple = {"mean": "avg", "sum": "sum", "min": "min", "max": "max", "median": "median"}
     if e.op in simple:
         return raws, f"(CASE WHEN {full} = {n} THEN {raw(f'{simple[e.op]}({a}) {over}')} END)"
-    cut = _trim(a)
+    cut = trimmed(a)
     held = raw(f"list({cut if e.op in ('rank', 'arg') else a}) FILTER ({pair}) {over}")
     if e.op == "std":
         value = f"list_aggregate({held}, 'stddev_samp')"

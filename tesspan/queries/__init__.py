@@ -1,9 +1,9 @@
 """All queries of the library (the text operators' apart), and SQL that DuckDB answers alike."""
 
-from . import factor_queries, operator_queries
+from . import analysis_queries, evaluate_queries, factor_queries, loader_queries, operator_queries, rule_queries, source_queries
 from .base import dates_as_text
 
-_MODULES = (operator_queries, factor_queries)
+_MODULES = (operator_queries, factor_queries, loader_queries, evaluate_queries, rule_queries, analysis_queries, source_queries)
 
 
 def _query(q):

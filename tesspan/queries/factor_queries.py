@@ -29,5 +29,5 @@ def _query(ids: list[str]):
 QUERIES = {name: _query(ids) for name, ids in GROUPS.items()}
 ORACLES = {name: f"SELECT * REPLACE (trade_date::VARCHAR AS trade_date) FROM ({compute_sql(ids, PANEL_SQL)})" for name, ids in GROUPS.items()}
 
-QUERIES["factor_registry"] = lambda spark, sf_dir: described(spark).groupBy("family", "quality").count().withColumnRenamed("count", "n")
+QUERIES["factor_registry"] = lambda spark, sf_dir: described(spark).where("category <> 'user'").groupBy("family", "quality").count().withColumnRenamed("count", "n")
 ORACLES["factor_registry"] = "SELECT * FROM (VALUES ('alpha101', 0, 94), ('alpha101', 1, 13), ('gtja191', 0, 172), ('gtja191', 1, 17), ('gtja191', 2, 2)) v(family, quality, n)"
