@@ -147,6 +147,11 @@ def window(e: E, names: dict[E, str]) -> Column:
     if e.kind == "ts":
         if e.op == "index":
             return (F.row_number().over(_stock()) - 1).cast("double")
+        so_far = _stock().rowsBetween(Window.unboundedPreceding, 0)
+        if e.op == "running":
+            return F.sum(x[0]).over(so_far)
+        if e.op == "first":
+            return F.first(F.when(~F.isnan(x[0]) & (F.abs(x[0]) < INF), x[0]), ignorenulls=True).over(so_far)
         if e.op == "ewm":
             keep = 1 - e.params[0]
             held = F.collect_list(x[0]).over(_stock().rowsBetween(-ewm_rows(e.params[0]), 0))
@@ -154,15 +159,17 @@ def window(e: E, names: dict[E, str]) -> Column:
             folded = F.aggregate(held, start, lambda t, v: F.struct((t["s"] * keep + v).alias("s"), (t["w"] * keep + 1.0).alias("w")), lambda t: t["s"] / t["w"])
             # what isn't finite never leaves the mean, however long ago it was
             lasting = F.when(F.isnan(x[0]) | (F.abs(x[0]) == INF), x[0]).otherwise(0.0)
-            lasting = F.sum(lasting).over(_stock().rowsBetween(Window.unboundedPreceding, 0))
+            lasting = F.sum(lasting).over(so_far)
             return F.when(x[0].isNotNull(), folded + lasting)
         return _rolling(e.op, e.params[0], x, e.params[1:])
     day = Window.partitionBy(DAY)
     if e.op == "rank":
         own = F.when(~F.isnan(x[0]), trimmed(x[0]))
-        low = F.rank().over(day.orderBy(own.asc_nulls_last()))
-        same = F.count(own).over(Window.partitionBy(DAY, own))
-        return F.when(own.isNotNull(), (low + (same - 1) / 2.0) / F.count(own).over(day))
+        ordered = day.orderBy(own.asc_nulls_last())  # one order for all three, so the day is sorted once
+        low = F.rank().over(ordered)
+        same = F.count(own).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+        every = F.count(own).over(ordered.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return F.when(own.isNotNull(), (low + (same - 1) / 2.0) / every)
     if e.op == "mean":
         return F.avg(x[0]).over(day)
     if e.op == "abs_sum":
