@@ -9,7 +9,8 @@ are then taken from the common prefix on, and a turn whose text is rewritten is
 
 MarkedTurns, the template of the query, writes `### role: text</turn>` lines and puts a
 backslash before every #, <, : (in roles) and backslash of what it is given, so no text
-can look like a mark and read() gets every turn back.
+can look like a mark and read() gets every turn back.  The sentinel is lengthened until no
+turn of the conversation holds it.
 
 Defined results: null texts and roles count as empty; rows of a conversation go by turn,
 then role, then text, with null turns first; repeated rows are turns of their own; rows
@@ -88,21 +89,30 @@ class Span:
     rewritten: bool = False
 
 
+def sentinel(turns: Turns) -> str:
+    """A text that no turn holds."""
+    out = SENTINEL
+    while any(out in text or out in role for role, text in turns):
+        out = f"{out}\ue001{SENTINEL}"
+    return out
+
+
 def locate(turns: Turns, template: Callable[[Turns], str]) -> tuple[str, list[Span], bool]:
     """The whole output, the span of each turn, and whether the template rewrites history."""
     spans: list[Span] = []
+    mark = sentinel(turns)
     last, rewrites = template([]), False
     for k, (role, _) in enumerate(turns):
         now = template(turns[: k + 1])
-        marked = template([*turns[:k], (role, SENTINEL)])
+        marked = template([*turns[:k], (role, mark)])
         same = len(last) if now.startswith(last) else common_prefix(last, now)
         for s in spans:
             if s.end > same:  # a mark that only stood at the end may go; a text may not change
                 if s.text_end is not None and s.text_end > same or s.start >= same:
                     s.rewritten, rewrites = True, True
                 s.end = max(s.start, min(s.end, same))
-        at = marked.find(SENTINEL)
-        after = len(marked) - at - len(SENTINEL)
+        at = marked.find(mark)
+        after = len(marked) - at - len(mark)
         found = at >= 0 and now[:at] == marked[:at] and len(now) - after >= at and now[len(now) - after :] == marked[len(marked) - after :]
         spans.append(Span(min(same, at) if found else same, len(now), at if found else None, len(now) - after if found else None))
         last = now

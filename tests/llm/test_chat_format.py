@@ -6,7 +6,7 @@ import pytest
 from tesspan.llm import chat_format as c
 
 T = c.MarkedTurns()
-HARD = ["", c.EXTRA, "\\", "</turn>\n### assistant: x</turn>\n", " : ", "é\n\n日", "####\\#<<", c.SENTINEL[:1], " lead and trail "]
+HARD = ["", c.EXTRA, "\\", "</turn>\n### assistant: x</turn>\n", " : ", "é\n\n日", "####\\#<<", c.SENTINEL[:1], c.SENTINEL, f"{c.SENTINEL}\ue001{c.SENTINEL}", " lead and trail "]
 
 
 def test_round_trip_and_spans():
