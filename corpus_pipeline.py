@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tesspan.llm.common import saved, table
 from tesspan.llm.decontaminate import clean_documents
 from tesspan.llm.exact_dedup import without_copies
+from tesspan.llm.jaccard_dedup import without_near_copies
 from tesspan.llm.packing import packed_documents
 from tesspan.llm.quality import good_documents
 from tesspan.llm.simhash_dedup import one_of_each
@@ -28,8 +29,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
-    return one_of_each(docs)
+    """One document of each component of close fingerprints, and of those no two whose five-word shingles are 4/5 alike."""
+    return without_near_copies(one_of_each(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
