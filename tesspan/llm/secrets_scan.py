@@ -6,12 +6,13 @@ random text of that encoding: chi-squared uniformity over the alphabet, the runs
 about the alphabet's middle, and lag-one serial correlation.  Three times the smallest
 p-value is its score: near 1 for random characters, tiny for words.
 
-What scores plain words of the same length reach is counted over all documents (tokens
-of letters in one case, or capitalised, judged over the same alphabet as mixed tokens).
-A token's p-value is the share of such words that score as high, and in every length
-band the Benjamini-Hochberg rule keeps the share of false finds at RATE.  A band with
-fewer than LEAST words takes the words of the shorter bands in as well, which look more
-random and so only make it stricter.
+What scores plain words of the same length reach is known from a fixed reference: REFERENCE
+words of each length band (letters in one case, or capitalised, judged over the same alphabet as
+mixed tokens), the same for every table.  A token's p-value is the share of such words that score
+as high, and in every length band the Benjamini-Hochberg rule keeps the share of false finds
+against plain words at RATE; names of mixed case or with digits are not in the reference.  As
+p-values are no smaller than 1 / (1 + REFERENCE), a token is found only if a fiftieth of the
+band's tokens score so; how large the table is doesn't matter.
 
 Defined results: null text counts as empty; rows are scanned one by one, so repeated rows
 and null ids come back as they are; a whole text is scanned whatever its length; spans are
@@ -21,9 +22,11 @@ in code points with exclusive ends; other columns are ignored.
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-RATE, LEAST, SHORTEST = 0.01, 200, 20
+RATE, REFERENCE, SHORTEST = 0.01, 5000, 20
 KINDS = ("assign", "access", "hex", "random")
 #: Patterns of the base spans (fixed values).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -117,7 +120,33 @@ def _band(n: int) -> int:
     return max(b for b in range(len(BANDS)) if BANDS[b] <= n)
 
 
-ROW = "doc_id string, base array<struct<start: int, end: int, kind: string>>, tried array<struct<start: int, end: int, band: int, bin: int>>, words array<struct<band: int, bin: int, n: int>>"
+#: What the reference's words are made of.
+_PARTS = (
+    "account action address amount archive array backup balance batch border branch buffer build button cache call center channel check class client code column command common "
+    "config content control convert count create current data date default delete detail device display document download element email enable engine entry error event export "
+    "factory field file filter format frame function gateway global group handler header height history image import index input instance interface internal item job key label "
+    "language layout length level library limit line link list local location log manager map master max member memory menu message method model module monitor name network node "
+    "number object option order output package page panel parent path pattern payment point policy position process product profile project property provider query queue range "
+    "read record region release remote report request resource response result return role root route rule sample schedule schema search section select server service session "
+    "setting shape shared size source stage start state status storage store stream string style submit system table target task template test text thread time title total "
+    "trace transfer type update upload user value vector version view width window worker write"
+).split()
+
+
+@lru_cache(maxsize=None)
+def reference(band: int) -> tuple[int, ...]:
+    """How many of the reference's words have each bin: letters in one case, or capitalised, judged over base62."""
+    rng, out = random.Random(band), [0] * BINS
+    for k in range(REFERENCE):
+        word = ""
+        while len(word) < BANDS[band]:
+            word += rng.choice(_PARTS)
+        word = word[: BANDS[band]]
+        out[_bin(score((word, word.capitalize(), word.upper())[k % 3], "base62"))] += 1
+    return tuple(out)
+
+
+ROW = "doc_id string, base array<struct<start: int, end: int, kind: string>>, tried array<struct<start: int, end: int, band: int, bin: int>>"
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,40 +155,32 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
             text = text or ""
             base = base_spans(text)
-            tried, words = [], Counter()
+            tried = []
             for m in TOKEN.finditer(text):
-                token = m[0]
-                name = encoding(token)
+                name = encoding(m[0])
                 if name:
-                    tried.append((*m.span(), _band(len(token)), _bin(score(token, name))))
-                elif _WORD.fullmatch(token):
-                    words[_band(len(token)), _bin(score(token, "base62"))] += 1
-            rows.append((doc_id, base, tried, [(*k, n) for k, n in words.items()]))
+                    tried.append((*m.span(), _band(len(m[0])), _bin(score(m[0], name))))
+            rows.append((doc_id, base, tried))
         yield pd.DataFrame(
             {
                 "doc_id": [r[0] for r in rows],
                 "base": [[dict(zip(("start", "end", "kind"), x)) for x in r[1]] for r in rows],
                 "tried": [[dict(zip(("start", "end", "band", "bin"), x)) for x in r[2]] for r in rows],
-                "words": [[dict(zip(("band", "bin", "n"), x)) for x in r[3]] for r in rows],
             }
         )
 
 
-def limits(tried: dict[tuple[int, int], int], words: dict[tuple[int, int], int], rate: float = RATE) -> list[int]:
+def limits(tried: dict[tuple[int, int], int], rate: float = RATE) -> list[int]:
     """For each length band the largest bin that counts as random (-1: none), by Benjamini-Hochberg."""
     out = []
     for band in range(len(BANDS)):
-        nulls, back = [0] * BINS, band
-        while back >= 0 and (back == band or sum(nulls) < LEAST):
-            for b in range(BINS):
-                nulls[b] += words.get((back, b), 0)
-            back -= 1
-        all_nulls, all_tried = sum(nulls), sum(tried.get((band, b), 0) for b in range(BINS))
+        all_tried = sum(tried.get((band, b), 0) for b in range(BINS))
+        nulls = reference(band) if all_tried else ()
         best, as_high, found = -1, 0, 0
-        for b in range(BINS):
-            as_high += nulls[b]
+        for b, n in enumerate(nulls):
+            as_high += n
             found += tried.get((band, b), 0)
-            if found and (1 + as_high) / (1 + all_nulls) <= rate * found / all_tried:
+            if found and (1 + as_high) / (1 + REFERENCE) <= rate * found / all_tried:
                 best = b
         out.append(best)
     return out
@@ -170,13 +191,12 @@ def secrets(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as text, so that pandas keeps ids beside nulls
     found = saved(rows.mapInPandas(_scan, ROW), "spans")
-    # both histograms have len(BANDS) * BINS rows at most
+    # len(BANDS) * BINS rows at most
     tried = {(r.band, r.bin): r.n for r in found.select(F.explode("tried").alias("t")).groupBy("t.band", "t.bin").agg(F.count(F.lit(1)).alias("n")).collect()}
-    words = {(r.band, r.bin): r.n for r in found.select(F.explode("words").alias("w")).groupBy("w.band", "w.bin").agg(F.sum("w.n").alias("n")).collect()}
-    top = F.array(*[F.lit(b) for b in limits(tried, words)])
-    random = F.filter("tried", lambda t: t["bin"] <= F.element_at(top, t["band"] + 1))
-    random = F.transform(random, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("random").alias("kind")))
-    return found.select(F.col("doc_id").cast(kind).alias("doc_id"), "base", random.alias("random"))
+    top = F.array(*[F.lit(b) for b in limits(tried)])
+    found_random = F.filter("tried", lambda t: t["bin"] <= F.element_at(top, t["band"] + 1))
+    found_random = F.transform(found_random, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("random").alias("kind")))
+    return found.select(F.col("doc_id").cast(kind).alias("doc_id"), "base", found_random.alias("random"))
 
 
 def _joined(spans: Column) -> Column:

@@ -81,3 +81,14 @@ def test_scores_of_random_text_are_spread():
     got = [s.score("".join(rng.choices("0123456789abcdef", k=64)), "hex") for _ in range(500)]
     assert sum(x < 0.05 for x in got) < 50
     assert s.score("thethethethethethethethethe", "base62") < 1e-6
+
+
+def test_small_tables_are_judged_like_large_ones(spark):
+    rng = random.Random(2)
+    rows = [(i, f"plain text AUTH {''.join(rng.choices(string.ascii_letters + string.digits, k=40))} end", "x") for i in range(4)]
+    rows += [(4 + i, f"plain text {'ab1' * 14} end", "x") for i in range(4)]
+    found = []
+    for times in (1, 30):
+        out = s.secrets(spark.createDataFrame(rows * times, "doc_id long, text string, base string")).collect()
+        found.append({(r.doc_id, x.start, x.end) for r in out for x in r.random})
+    assert found[0] == found[1] == {(i, 16, 56) for i in range(4)}
