@@ -6,6 +6,10 @@ random text of that encoding: chi-squared uniformity over the alphabet, the runs
 about the alphabet's middle, and lag-one serial correlation.  Three times the smallest
 p-value is its score: near 1 for random characters, tiny for words.
 
+A run is cut at every '=' that is not padding at its end; what no alphabet holds is cut at '/',
+and what still has none at '-' and '_'.  Pieces of SHORTEST or more characters are tried.
+Plain numbers and letters in one case (or capitalised) are not.
+
 What scores plain words of the same length reach is known from a fixed reference: REFERENCE
 words of each length band (letters in one case, or capitalised, judged over the same alphabet as
 mixed tokens), the same for every table.  A token's p-value is the share of such words that score
@@ -41,7 +45,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:=+(?![A-Za-z0-9+/_-]))?" % SHORTEST)
+_CUTS = (re.compile(r"[^/]+"), re.compile(r"[^/_-]+"))
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
@@ -83,6 +88,25 @@ def encoding(token: str) -> str | None:
     return next((name for name, chars in _SETS if used <= chars), None)
 
 
+def candidates(text: str) -> Iterator[tuple[int, int, str]]:
+    """start, end, alphabet of every piece to be tried."""
+    for m in TOKEN.finditer(text):
+        pieces = [m.span()]
+        for cut in (None, *_CUTS):
+            left = []
+            for a, b in pieces:
+                for x, y in [c.span() for c in cut.finditer(text, a, b)] if cut else [(a, b)]:
+                    body = text[x:y].rstrip("=")
+                    if len(body) < SHORTEST:
+                        continue
+                    name = encoding(body)
+                    if name:
+                        yield x, y, name
+                    elif not body.isdigit() and not _WORD.fullmatch(body):
+                        left.append((x, y))
+            pieces = left
+
+
 def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -155,11 +179,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
             text = text or ""
             base = base_spans(text)
-            tried = []
-            for m in TOKEN.finditer(text):
-                name = encoding(m[0])
-                if name:
-                    tried.append((*m.span(), _band(len(m[0])), _bin(score(m[0], name))))
+            tried = [(x, y, _band(len(text[x:y].rstrip("="))), _bin(score(text[x:y], name))) for x, y, name in candidates(text)]
             rows.append((doc_id, base, tried))
         yield pd.DataFrame(
             {

@@ -83,6 +83,13 @@ def test_scores_of_random_text_are_spread():
     assert s.score("thethethethethethethethethe", "base62") < 1e-6
 
 
+def test_cuts_what_no_alphabet_holds():
+    key = "q7RzP0vXbK2mWc9TjL4hYs8NfGd3Ue6Aa1Bo5Ix"
+    for text in (f"AUTH={key}", f"SESSION_ID={key};", f"/hooks/T0_ab-cd/{key}", f"a={key}=b", f"x-y_z/{key}+/"):
+        assert key in [text[a:b].rstrip("+") for a, b, _ in s.candidates(text)], text
+    assert [text[a:b] for text in (f"K={key}==",) for a, b, _ in s.candidates(text)] == [f"{key}=="]
+
+
 def test_small_tables_are_judged_like_large_ones(spark):
     rng = random.Random(2)
     rows = [(i, f"plain text AUTH {''.join(rng.choices(string.ascii_letters + string.digits, k=40))} end", "x") for i in range(4)]
