@@ -103,7 +103,7 @@ QUERIES = {
     "execution_trades": lambda s, d: out(x.trades(scores(s, d)).select("trade_date", "ts_code", "eligible", "gross", F.col("deferred").cast("double").alias("deferred"))),
     "execution_non_overlapping": lambda s, d: out(x.non_overlapping(scores(s, d), K, 30.0)),
     "execution_daily_sleeves": lambda s, d: out(x.daily_sleeves(scores(s, d), K, 30.0)),
-    "execution_random": lambda s, d: out(x.random_executions(grid(s, d), K, 30.0, sims=6)),
+    "execution_random": lambda s, d: out(x.random_executions(grid(s, d), K, 30.0)),
 }
 
 _Z = """zs AS (SELECT *, CASE WHEN isfinite(score) AND cnt >= 2 THEN CASE WHEN sd < 1e-12 THEN (rk - avg(rk) OVER d) / (stddev_samp(rk) OVER d + 1e-12) ELSE (score - mn) / sd END END AS z FROM (

@@ -85,3 +85,12 @@ def test_random_scorings_follow_the_same_rules(spark):
     df = spark.createDataFrame(rows, "trade_date date, ts_code string, score double, pct_chg double, is_st boolean, is_suspended boolean, days_since_ipo long")
     a, b = x.random_executions(df, K, 30.0, 4).first(), x.random_executions(df.drop("score"), K, 30.0, 4).first()
     assert a == b and a.n_sims == 4 and np.isfinite(a.mean_sharpe)
+
+
+def test_random_query_takes_the_default_simulations(spark):
+    from tesspan.queries import QUERIES
+    from tesspan.queries.base import COST, K, grid, out
+
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["execution_random"](spark, sf).collect()
+    assert got == out(x.random_executions(grid(spark, sf), K, COST, sims=20)).collect()
