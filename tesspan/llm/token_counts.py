@@ -11,12 +11,17 @@ split   to each section by its share of the bytes
 Defined results: null text counts as empty and has no token; an empty text has no
 sections unless spans are given; bytes outside all spans count as `outside`; spans are
 cut to the text and must not overlap; rows are treated one by one, so repeated rows and
-null ids come back as they are; other columns are ignored.
+null ids come back as they are; other columns are ignored.  Runs of white space of any
+length are encoded: the vocabulary's word pattern takes such a run but for its last character as
+one word, so a long one is handed to the merge table as a word (see tokens()).
+
+The vocabulary file is read where the tasks run: its path must be there on every executor.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +37,8 @@ from .common import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's own word pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the pattern's \\s has it, in runs too long for the pattern's look-ahead (it would overflow at about a million).
+_LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
 RULES = ("first", "most", "split")
 
 
@@ -46,10 +53,26 @@ def encoder(path: str = VOCABULARY) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def tokens(text: str, path: str = VOCABULARY) -> list[int]:
+    """The tokens of a whole text.
+
+    No word of the pattern reaches over the start of a run of white space, and of a run before other
+    text the pattern's `\\s+(?!\\S)` takes all but the last character (at the text's end, all).  So cutting
+    there gives the tokens that the pattern gives, and the run itself needs no pattern.
+    """
+    encoding, _ = encoder(path)
+    out, at = [], 0
+    for m in _LONG_SPACE.finditer(text):
+        stop = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoding.encode_ordinary(text[at : m.start()])
+        out += encoding._encode_single_piece(text[m.start() : stop])
+        at = stop
+    return out + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 def token_ends(text: str, path: str = VOCABULARY) -> np.ndarray:
     """The byte offset at which each token of the text ends."""
-    encoding, sizes = encoder(path)
-    return np.cumsum(sizes[np.asarray(encoding.encode_ordinary(text), dtype=np.int64)])
+    return np.cumsum(encoder(path)[1][np.asarray(tokens(text, path), dtype=np.int64)])
 
 
 def lines(text: str) -> list[tuple[int, int]]:
@@ -83,16 +106,21 @@ def attribute(text: str, spans: list[tuple[int, int]], rule: str = "most", path:
     got = np.zeros(len(piece))
     whole = first == last
     np.add.at(got, first[whole], 1)
-    for k in np.flatnonzero(~whole):
-        if rule == "first":
-            got[first[k]] += 1
-            continue
-        over = np.arange(first[k], last[k] + 1)
-        held = np.minimum(edges[over + 1], ends[k]) - np.maximum(edges[over], starts[k])
+    if rule == "first":
+        np.add.at(got, first[~whole], 1)
+    elif not whole.all():
+        # a cell for each crossing token and piece that it lies in
+        crossing = np.flatnonzero(~whole)
+        width = last[crossing] - first[crossing] + 1
+        head = np.cumsum(width) - width
+        over = np.repeat(first[crossing] - head, width) + np.arange(width.sum())
+        token = np.repeat(crossing, width)
+        held = np.minimum(edges[over + 1], ends[token]) - np.maximum(edges[over], starts[token])
         if rule == "most":
-            got[over[np.argmax(held)]] += 1
+            ties = np.flatnonzero(held == np.repeat(np.maximum.reduceat(held, head), width))
+            np.add.at(got, over[ties[np.unique(token[ties], return_index=True)[1]]], 1)
         else:
-            got[over] += held / held.sum()
+            np.add.at(got, over, held / np.repeat(np.add.reduceat(held, head), width))
     out = np.zeros(len(own))
     np.add.at(out, piece[piece >= 0], got[piece >= 0])
     back = np.zeros(len(own))
@@ -151,9 +179,8 @@ def with_token_count(docs: DataFrame, name: str = "n_tokens", path: str = VOCABU
     """docs with the number of tokens of each whole text."""
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding, _ = encoder(path)
         for batch in batches:
-            yield pd.Series([len(encoding.encode_ordinary(t)) for t in batch], dtype="int64")
+            yield pd.Series([len(tokens(t, path)) for t in batch], dtype="int64")
 
     count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.withColumn(name, F.pandas_udf(count, T.LongType())(F.coalesce("text", F.lit(""))))

@@ -74,3 +74,21 @@ def test_given_spans(spark):
     out = {r.doc_id: r for r in t.section_counts(df, "fields", "split").collect()}
     assert out[1].n_sections == 2 and sum(out[1].section_tokens) + out[1].outside == pytest.approx(out[1].n_tokens)
     assert out[2].outside == out[2].n_tokens and out[3].section_tokens == [0.0]
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "\u3000", "\x1c", " \n\t\u00a0", "\n\n "])
+def test_tokens_of_long_runs_are_those_of_the_pattern(run):
+    encoding, _ = t.encoder()
+    for n in (1, 4095, 4096, 4097, 4098, 100_000, 400_000):
+        own = (run * n)[:n]
+        for text in (own, f"a{own}", f"{own}b", f"a{own}b {own}", f"a{own}'s{own}!{own}1", f"{own}\u00e9{own}"):
+            assert t.tokens(text) == encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", " \n\t"])
+def test_runs_that_the_pattern_alone_can_not_take(spark, run):
+    text = f"a {run * (2_000_000 // len(run))} b"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    row = t.section_counts(df).where("doc_id = 1").first()
+    assert row.n_tokens == len(t.tokens(text)) and sum(row.section_tokens) == row.n_tokens
+    assert t.with_token_count(df).where("doc_id = 1").first().n_tokens == row.n_tokens
