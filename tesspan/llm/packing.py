@@ -1,10 +1,10 @@
 """Packing by optimal length buckets.
 
-One global histogram of token lengths is taken over all rows.  Dynamic programming over
-it picks the bucket boundaries that minimise padding; the grid of lengths is a multiple
-of GRAIN up to 512 steps and then 512 steps an octave, so the histogram that reaches
-the driver is bounded by the longest length, not by the rows.  Inside a bucket every row
-is padded to the boundary, and batches hold as many rows as the token budget allows.
+One global histogram of token lengths is taken over all rows, a bar for each length that
+occurs.  Dynamic programming over it picks the bucket boundaries with least padding.  Bars
+are bounded by the distinct lengths (k different lengths need k^2/2 tokens of text, so a table of 10^14
+tokens has at most 14 million bars of 16 bytes, and real ones have thousands).  Inside a bucket every row is
+padded to the boundary, and batches hold as many rows as the token budget allows.
 Places in a bucket come from counts per shard and a rank inside each shard, so no bucket
 is one task however many rows it has.
 
@@ -17,20 +17,13 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hinted, saved, table
 from .token_counts import VOCABULARY, with_token_count
 
-BUCKETS, BUDGET, GRAIN, SHARD_ROWS = 16, 65_536, 8, 50_000
-
-
-def on_grid(length: Column) -> Column:
-    """The smallest length of the grid that holds this one."""
-    octave = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")) + 1e-9).cast("int")
-    step = F.greatest(F.lit(GRAIN), F.pow(F.lit(2.0), octave - 9).cast("long"))
-    return (F.ceil(length / step) * step).cast("long")
+BUCKETS, BUDGET, SHARD_ROWS = 16, 65_536, 50_000
 
 
 def boundaries(histogram: list[tuple[int, int]], buckets: int = BUCKETS) -> list[int]:
@@ -83,8 +76,8 @@ def _above(a: tuple, b: tuple, c: tuple) -> bool:
 def packed(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """lengths: doc_id, n_tokens (1 at least), saved.  doc_id, n_tokens, bucket, padded_length, batch_id, slot."""
     lengths = lengths.select("doc_id", "n_tokens")
-    bars = [(r.g, r.n) for r in lengths.groupBy(on_grid(F.col("n_tokens")).alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()]
-    tops = boundaries(bars, buckets) or [GRAIN]
+    bars = [(r.g, r.n) for r in lengths.groupBy(F.col("n_tokens").alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    tops = boundaries(bars, buckets) or [1]
     rows = [sum(n for g, n in bars if (tops[i - 1] if i else 0) < g <= top) for i, top in enumerate(tops)]
     room = [max(1, budget // top) for top in tops]
     base, total = [], 0
@@ -92,8 +85,7 @@ def packed(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, sha
         base.append(total)
         total += -(-n // r)
     of = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("bucket") + 1)
-    grid = on_grid(F.col("n_tokens"))
-    bucket = sum(((grid > top).cast("int") for top in tops[:-1]), F.lit(0))
+    bucket = sum(((F.col("n_tokens") > top).cast("int") for top in tops[:-1]), F.lit(0))
     h = F.xxhash64("doc_id", "n_tokens")
     rows_of = lengths.withColumn("bucket", bucket).withColumn("h", h)
     rows_of = rows_of.withColumn("shard", F.pmod("h", of([max(1, -(-n // shard_rows)) for n in rows], "long")).cast("int"))

@@ -1,8 +1,8 @@
 import itertools
 import random
+from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from tesspan.llm import packing as p
 
@@ -28,10 +28,15 @@ def test_boundaries_of_a_large_histogram():
     assert len(tops) == 16 and tops[-1] == bars[-1][0]
 
 
-def test_grid(spark):
-    rows = spark.range(1, 200_000, 37).select("id", p.on_grid(F.col("id")).alias("g")).collect()
-    assert all(r.g >= r.id and r.g - r.id < max(8, r.id / 200) for r in rows)
-    assert all(a.g <= b.g for a, b in itertools.pairwise(rows))
+@pytest.mark.parametrize("seed", range(3))
+def test_padding_is_the_least_over_real_lengths(spark, seed):
+    rng = random.Random(seed)
+    lengths = [rng.choice([rng.randint(1, 40), rng.randint(900, 1100), 4096 + rng.randint(0, 9), 9001]) for _ in range(120)]
+    out = p.packed(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n_tokens long"), buckets=3, budget=20_000).collect()
+    bars = sorted(Counter(lengths).items())
+    sizes = [g for g, _ in bars]
+    best = min(padding(bars, [*c, sizes[-1]]) for r in range(3) for c in itertools.combinations(sizes[:-1], r))
+    assert sum(r.padded_length - r.n_tokens for r in out) == best
 
 
 @pytest.mark.parametrize("shard_rows", [50_000, 7])
@@ -57,3 +62,9 @@ def test_texts(spark):
     out = {(r.doc_id, r.n_tokens) for r in p.packed_documents(df).collect()}
     assert {(1, 1), (2, 1), (3, 3)} < out
     assert p.packed_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", " \n\t"])
+def test_long_white_space(spark, run):
+    df = spark.createDataFrame([(1, f"a{run * (2_000_000 // len(run))}b")], "doc_id long, text string")
+    assert p.packed_documents(df).first().n_tokens > 3
