@@ -1,9 +1,9 @@
 """Secret scans by a battery of randomness tests.
 
 Base spans come from fixed patterns.  Beside them every long token, in a base span or not,
-is tried as a secret: its encoding is inferred from its characters, and three tests ask how far it is from
-random text of that encoding: chi-squared uniformity over the alphabet, the runs test
-about the alphabet's middle, and lag-one serial correlation.  Three times the smallest
+is tried as a secret: its encoding is inferred from its characters, and four tests ask how far it is from
+random text of that encoding: chi-squared uniformity over the alphabet and over its digits, capitals and small letters, the
+runs test about the alphabet's middle, and lag-one serial correlation.  Four times the smallest
 p-value is its score: near 1 for random characters, tiny for words.
 
 A run is cut at every '=' that is not padding at its end; what no alphabet holds is cut at '/',
@@ -11,11 +11,11 @@ and what still has none at '-' and '_'.  Pieces of SHORTEST or more characters a
 Plain numbers and letters in one case (or capitalised) are not.
 
 What scores plain words of the same length reach is known from a fixed reference: REFERENCE
-words of each length band (letters in one case, or capitalised, judged over the same alphabet as
-mixed tokens), the same for every table.  A token's p-value is the share of such words that score
+words of each length band (in one case, capitalised, of mixed case, of mixed case with digits; judged
+over the alphabet of mixed tokens), the same for every table.  A token's p-value is the share of such words that score
 as high, and in every length band the Benjamini-Hochberg rule keeps the share of false finds
-against plain words at RATE; names of mixed case or with digits are not in the reference.  As
-p-values are no smaller than 1 / (1 + REFERENCE), a token is found only if a fiftieth of the
+against such words at RATE.  As
+p-values are no smaller than 1 / (1 + REFERENCE), a token is found only if a thousandth of the
 band's tokens score so; how large the table is doesn't matter.
 
 Defined results: null text counts as empty; rows are scanned one by one, so repeated rows
@@ -26,19 +26,19 @@ in code points with exclusive ends; other columns are ignored.
 from __future__ import annotations
 
 import math
-import random
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table
 
-RATE, REFERENCE, SHORTEST = 0.01, 5000, 20
+RATE, REFERENCE, SHORTEST = 0.01, 100_000, 20
 KINDS = ("assign", "access", "hex", "random")
 #: Patterns of the base spans (fixed values).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -107,12 +107,21 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
             pieces = left
 
 
+def _kinds(chars: str) -> np.ndarray:
+    """0, 1 or 2 for each character: digit, capital or sign, small letter; numbered without gaps."""
+    return np.unique([0 if c.isdigit() else 2 if c.islower() else 1 for c in chars], return_inverse=True)[1]
+
+
+_KIND_OF = {name: _kinds(chars) for name, chars in ALPHABETS}
+_SHARES = {name: np.bincount(kinds) / len(kinds) for name, kinds in _KIND_OF.items()}
+
+
 def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
 def score(token: str, name: str) -> float:
-    """Three times the least p-value of uniformity, runs and serial correlation under random characters, 1 at most."""
+    """Four times the least p-value of uniformity (characters and kinds), runs and serial correlation under random characters, 1 at most."""
     places = _PLACES[name]
     size = len(places)
     x = [places[c] for c in token.rstrip("=") if c in places]
@@ -122,6 +131,10 @@ def score(token: str, name: str) -> float:
     chi = sum(c * c for c in Counter(x).values()) * size / n - n
     k = size - 1  # Wilson-Hilferty: the cube root of chi-squared over its freedom is nearly normal
     uniform = _upper(((max(chi, 0) / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
+    kinds, shares = _KIND_OF[name], _SHARES[name].tolist()
+    per = Counter(kinds[v] for v in x)
+    chi = sum((per.get(j, 0) - n * q) ** 2 / (n * q) for j, q in enumerate(shares))
+    of_kinds = math.exp(-chi / 2) if len(shares) == 3 else math.erfc(math.sqrt(chi / 2))
     high = [v * 2 >= size for v in x]
     up = sum(high)
     runs = 0.0
@@ -133,7 +146,7 @@ def score(token: str, name: str) -> float:
     mid = sum(x) / n
     power = sum((v - mid) ** 2 for v in x)
     serial = 2 * _upper(abs(sum((a - mid) * (b - mid) for a, b in zip(x, x[1:])) / power + 1 / n) * math.sqrt(n)) if power else 0.0
-    return min(1.0, 3 * min(uniform, runs, serial))
+    return min(1.0, 4 * min(uniform, of_kinds, runs, serial))
 
 
 def _bin(s: float) -> int:
@@ -157,17 +170,58 @@ _PARTS = (
 ).split()
 
 
+_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def scores(x: np.ndarray, name: str) -> np.ndarray:
+    """score() of many tokens of one length (two characters at least): x holds their places in the alphabet."""
+    size = len(_PLACES[name])
+    m, n = x.shape
+    upper = lambda z: 0.5 * _erfc(z / math.sqrt(2))
+    counts = np.bincount((np.arange(m)[:, None] * size + x).ravel(), minlength=m * size).reshape(m, size)
+    k = size - 1
+    chi = (counts * counts).sum(1) * size / n - n
+    uniform = upper(((np.maximum(chi, 0) / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
+    shares, kinds = _SHARES[name], _KIND_OF[name][x]
+    chi = sum(((kinds == j).sum(1) - n * q) ** 2 / (n * q) for j, q in enumerate(shares))
+    of_kinds = np.exp(-chi / 2) if len(shares) == 3 else _erfc(np.sqrt(chi / 2))
+    high = x * 2 >= size
+    up = high.sum(1)
+    mean = 1 + 2 * up * (n - up) / n
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    away = np.abs(1 + (high[:, 1:] != high[:, :-1]).sum(1) - mean)
+    runs = np.where(spread > 0, 2 * upper(away / np.sqrt(np.where(spread > 0, spread, 1))), 1.0)
+    runs[(up == 0) | (up == n)] = 0.0
+    off = x - x.mean(1, keepdims=True)
+    power = (off * off).sum(1)
+    near = (off[:, 1:] * off[:, :-1]).sum(1)
+    serial = np.where(power > 0, 2 * upper(np.abs(near / np.where(power > 0, power, 1) + 1 / n) * math.sqrt(n)), 0.0)
+    return np.minimum(1.0, 4 * np.minimum(np.minimum(uniform, of_kinds), np.minimum(runs, serial)))
+
+
 @lru_cache(maxsize=None)
 def reference(band: int) -> tuple[int, ...]:
-    """How many of the reference's words have each bin: letters in one case, or capitalised, judged over base62."""
-    rng, out = random.Random(band), [0] * BINS
-    for k in range(REFERENCE):
-        word = ""
-        while len(word) < BANDS[band]:
-            word += rng.choice(_PARTS)
-        word = word[: BANDS[band]]
-        out[_bin(score((word, word.capitalize(), word.upper())[k % 3], "base62"))] += 1
-    return tuple(out)
+    """How many of the reference's words have each bin, judged over base62.
+
+    A fifth each: small letters, capitalised, capitals, mixed case (parts capitalised), mixed case with a digit after three parts in ten.
+    """
+    rng, n, out = np.random.default_rng(band), BANDS[band], np.zeros(BINS, np.int64)
+    kind = np.arange(REFERENCE) % 5
+    for k in range(5):
+        parts = [_PARTS[j] for j in rng.integers(0, len(_PARTS), REFERENCE // 5 + n)]
+        if k == 2:
+            parts = [p.upper() for p in parts]
+        elif k > 2:
+            digit = rng.integers(0, 10, len(parts)), rng.random(len(parts)) < 0.3
+            parts = [p.capitalize() + (str(d) if k == 4 and some else "") for p, d, some in zip(parts, *digit)]
+        places = np.array([_PLACES["base62"][c] for c in "".join(parts)])
+        first = np.cumsum([0, *map(len, parts)])[: int((kind == k).sum())]  # a word begins with every part
+        for at in range(0, len(first), 10_000):
+            x = places[first[at : at + 10_000, None] + np.arange(n)]
+            if k == 1:
+                x[:, 0] += _PLACES["base62"]["A"] - _PLACES["base62"]["a"]
+            out += np.bincount([_bin(v) for v in scores(x, "base62")], minlength=BINS)
+    return tuple(out.tolist())
 
 
 ROW = "doc_id string, base array<struct<start: int, end: int, kind: string>>, tried array<struct<start: int, end: int, band: int, bin: int>>"

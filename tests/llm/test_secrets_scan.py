@@ -3,6 +3,9 @@ import random
 import re
 import string
 
+import numpy as np
+import pytest
+
 from tesspan.llm import secrets_scan as s
 
 
@@ -60,6 +63,45 @@ def test_finds_random_tokens_and_few_others(spark):
     assert right >= 0.9 * len(planted) and right >= 0.97 * len(found)
 
 
+def test_scores_of_many_are_scores_of_each():
+    rng = random.Random(7)
+    for name, chars in s.ALPHABETS:
+        words = ["".join(rng.choices(chars[: rng.choice([1, 4, len(chars)])], k=30)) for _ in range(200)]
+        x = np.array([[s._PLACES[name][c] for c in w] for w in words])
+        assert s.scores(x, name) == pytest.approx([s.score(w, name) for w in words], rel=1e-9, abs=1e-300)
+
+
+@pytest.mark.parametrize("name, size", [(n, k) for n in ("hex", "base36", "base62", "base64url") for k in (24, 32, 43)])
+def test_recall_and_false_share_by_length_and_encoding(spark, name, size):
+    """Rare random tokens (one in 50 of those that are tried) among names of mixed case in ordinary text."""
+    rng, chars, rows, planted = random.Random(size), dict(s.ALPHABETS)[name], [], {}
+    for i in range(1500):
+        words = ["".join(rng.choices(s._PARTS, k=1)) for _ in range(40)]
+        words[10] = "".join(p.capitalize() for p in rng.choices(s._PARTS, k=size // 5))[: size - 1] + "2"
+        if i % 50 == 0:
+            planted[i] = words[30] = "".join(rng.choices(chars, k=size - 1)) + rng.choice("234567" if "a" not in chars or "A" not in chars else chars[2:60])
+        rows.append((i, " ".join(words)))
+    out = s.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = [(r.doc_id, rows[r.doc_id][1][x.start : x.end]) for r in out for x in r.random]
+    right = sum(planted.get(d) == t for d, t in found)
+    # at 24 characters the tests are weak: what passes the false-discovery rule there is fewer
+    assert right >= (0.6 if size < 32 else 0.9) * len(planted), (right, len(planted))
+    assert len(found) - right <= 0.05 * len(found), (right, len(found))
+
+
+def test_limits_against_the_rule(monkeypatch):
+    monkeypatch.setattr(s, "BANDS", (20, 32))
+    rng = random.Random(5)
+    for rate in (0.01, 0.1):
+        tried = {(b, rng.randrange(s.BINS)): rng.randint(1, 30) for b in (0, 1) for _ in range(20)}
+        got = s.limits(tried, rate)
+        for band in (0, 1):
+            marks = sorted(k for (b, k), n in tried.items() if b == band for _ in range(n))
+            p = [(1 + sum(s.reference(band)[: k + 1])) / (1 + s.REFERENCE) for k in marks]
+            passed = [marks[i] for i in range(len(marks)) if p[i] <= rate * (i + 1) / len(marks)]
+            assert {k for k in marks if k <= got[band]} == {k for k in marks if passed and k <= max(passed)}
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, TEXTS[2], "x"), (2, TEXTS[2], "x")]
     spark.createDataFrame(rows, "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
