@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a narrow side (ids and a few numbers, under 100 bytes a row) up to which it is broadcast.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes of a side up to which it is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (local runs)."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset a temporary one, in local runs alone."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tesspan-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
@@ -35,18 +39,43 @@ def saved(df: DataFrame, label: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hinted(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """narrow, to be broadcast if its counted rows are at most rows; else as it is, for a shuffled join.
+def sized(df: DataFrame) -> tuple[int, int]:
+    """Rows of a saved table, and about how many bytes they take in memory."""
+    bytes_of = F.lit(16)
+    for field in df.schema:
+        flat = isinstance(field.dataType, (T.StringType, T.BinaryType))
+        plain = isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))
+        size = F.lit(0) if plain else F.octet_length(field.name if flat else F.to_json(F.struct(field.name)))
+        bytes_of = bytes_of + 16 + F.coalesce(size, F.lit(0))
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(bytes_of)).first()
+    return rows, size or 0
 
-    narrow should be a saved table: it is counted here.
+
+def hinted(side: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """side, to be broadcast if it has at most so many rows and bytes; else as it is, for a shuffled join.
+
+    side should be a saved table: it is measured here.
     """
-    return F.broadcast(narrow) if narrow.limit(rows + 1).count() <= rows else narrow
+    n, held = sized(side)
+    return F.broadcast(side) if n <= rows and held <= size else side
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def semi(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Rows of df whose key is (left_semi) or isn't (left_anti) in ids; null equals null here."""
-    right = hinted(ids.select(F.col(key).alias("__k")))
-    return df.join(right, df[key].eqNullSafe(right["__k"]), how)
+    (own,) = unused(df, "__k")
+    right = hinted(ids.select(F.col(key).alias(own)))
+    return df.join(right, df[key].eqNullSafe(right[own]), how)
 
 
 def anti(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -3,10 +3,15 @@
 The texts are lower-cased and cut into words once and stored.  Collection counts of
 the benchmark's words say which words of each window are rarest; the index stores the
 postings of those words: word -> document, positions.  Lists are intersected after
-moving each position by the word's place in its item: lists that belong to one
-occurrence meet at one offset.  Alignments at which enough of the rarest words meet
-are verified word by word, so phrase matches are exact; proximity matches allow the
-rarest words to be up to a given number of words out of place.
+moving each position by the word's place in its item, so the lists of one occurrence meet at one offset.
+
+Phrase matches: offsets at which enough of the rarest words meet are verified word by word.
+Proximity matches: an item is near a document if for some window its RAREST rarest words (by collection
+count, then place) occur there with offsets no more than `slop` apart.  Every phrase match is near.
+
+Items of more than SEGMENT windows are cut into overlapping segments, so that each window is in one; equal
+segments are looked up once.  Documents are compared by blocks of words.  So a row holds a bounded number of words,
+however long an item or a document is and however often they align.
 
 Defined results: null texts have no words; items without a word have no windows;
 documents and items are told apart by row, so repeated ids do not mix; items that share
@@ -20,9 +25,10 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, anti, hinted, saved, table
+from .common import BROADCAST_ROWS, anti, hinted, saved, table, unused
 
-WINDOW, RAREST = 13, 3
+WINDOW, RAREST, SLOP = 13, 3, 8
+SEGMENT, BLOCK = 256, 4096
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -47,10 +53,16 @@ def stored_words(docs: DataFrame) -> DataFrame:
     return saved(out.select(F.monotonically_increasing_id().alias("rid"), "doc_id", _count(F.col("spaced")).alias("n_words"), "spaced"), "words")
 
 
-def item_windows(items: DataFrame) -> DataFrame:
-    """iid, item_id, words, length (of a window) of every item that has a word."""
-    out = items.select("item_id", _words(spaced_words(F.col("text"))).alias("words")).where(F.size("words") > 0)
-    return saved(out.select(F.monotonically_increasing_id().alias("iid"), "item_id", "words", F.least(F.lit(WINDOW), F.size("words")).alias("length")), "items")
+def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct segments (iid, words, length of a window) of all items that have a word, and their owners (iid, item_id)."""
+    rows = items.select("item_id", _words(spaced_words(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    first = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW, F.lit(0)), F.lit(SEGMENT)))
+    rows = rows.select("item_id", "words", first.alias("at")).select("item_id", F.slice("words", F.col("at") + 1, F.lit(SEGMENT + WINDOW - 1)).alias("words"))
+    rows = saved(rows.withColumn("sha", F.sha2(F.array_join("words", " "), 256)), "items")
+    own = rows.groupBy("sha").agg(F.first("words").alias("words"))
+    own = saved(own.select(F.monotonically_increasing_id().alias("iid"), "sha", "words", F.least(F.lit(WINDOW), F.size("words")).alias("length")), "segments")
+    owners = saved(rows.select("item_id", "sha").distinct().join(own.select("iid", "sha"), "sha").select("iid", "item_id"), "owners")
+    return own.drop("sha"), owners
 
 
 def _known(words: DataFrame) -> tuple[DataFrame, bool]:
@@ -69,8 +81,8 @@ def collection_counts(stored: DataFrame, items: DataFrame) -> DataFrame:
     return saved(tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "word"), "counts")
 
 
-def rarest_places(items: DataFrame, counts: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """iid, place, word: the places of an item that are among the rarest of some window that can occur."""
+def rarest_sets(items: DataFrame, counts: DataFrame, rarest: int = RAREST) -> DataFrame:
+    """sid, iid, places (an array of place, word): the rarest places of every window that can occur, equal sets of a segment once."""
     places = items.select("iid", "length", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
     places = places.join(counts, "word", "left").withColumn("n_docs", F.coalesce(counts["n"], F.lit(0))).drop(counts["n"])
     first = F.greatest(F.lit(0), F.col("place") - F.col("length") + 1)
@@ -79,7 +91,13 @@ def rarest_places(items: DataFrame, counts: DataFrame, rarest: int = RAREST) ->
     w = Window.partitionBy("iid", "start")
     rows = rows.withColumn("least", F.min("n_docs").over(w)).where("least > 0")
     rows = rows.withColumn("nth", F.row_number().over(w.orderBy("n_docs", "place"))).where(F.col("nth") <= rarest)
-    return saved(rows.select("iid", "place", "word").distinct(), "places")
+    sets = rows.groupBy("iid", "start").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("places"))
+    return saved(sets.select("iid", "places").distinct().select(F.monotonically_increasing_id().alias("sid"), "iid", "places"), "sets")
+
+
+def rarest_places(sets: DataFrame) -> DataFrame:
+    """iid, place, word: the places that are in some set."""
+    return saved(sets.select("iid", F.explode("places").alias("p")).select("iid", "p.place", "p.word").distinct(), "places")
 
 
 def positional_index(stored: DataFrame, words: DataFrame) -> DataFrame:
@@ -95,87 +113,132 @@ def moved_postings(index: DataFrame, places: DataFrame) -> DataFrame:
     return rows.select("rid", "iid", "place", (F.col("pos") - F.col("place")).alias("at"))
 
 
-def alignments(index: DataFrame, places: DataFrame, items: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """rid, iid, at: offsets at which as many of an item's rarest words meet as one window needs."""
+def meeting(moved: DataFrame, items: DataFrame, slop: int, rarest: int = RAREST) -> DataFrame:
+    """The rows of moved that share a band of offsets with as many of a segment's places as a window needs.
+
+    Offsets go to two overlapping bands of twice the slop, so any that lie within it share a band.  Places are told
+    apart modulo 64, as those of a window are.
+    """
+    wide = 2 * max(slop, 1)
+    bands = F.array(F.floor(F.col("at") / wide) * 2, F.floor((F.col("at") + slop) / wide) * 2 + 1)
+    rows = moved.withColumn("band", F.explode(bands))
+    seen = rows.groupBy("rid", "iid", "band").agg(F.bit_or(F.expr("shiftleft(1L, place % 64)")).alias("seen"))
+    need = hinted(items.select("iid", F.least(F.lit(rarest), "length").alias("need")))
+    seen = hinted(saved(seen.join(need, "iid").where(F.bit_count("seen") >= F.col("need")).select("rid", "iid", "band"), "bands"))
+    return saved(rows.join(seen, ["rid", "iid", "band"]).select("rid", "iid", "place", "at").distinct(), "meeting")
+
+
+def alignments(moved: DataFrame, items: DataFrame, rarest: int = RAREST) -> DataFrame:
+    """rid, iid, at: offsets at which as many of a segment's rarest words meet as one window needs."""
     need = items.select("iid", F.least(F.lit(rarest), "length").alias("need"))
-    met = moved_postings(index, places).groupBy("rid", "iid", "at").agg(F.count(F.lit(1)).alias("met"))
-    return met.join(hinted(need), "iid").where("met >= need").select("rid", "iid", "at")
-
-
-def verified(stored: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
-    """rid, iid, item_id, hits: the document positions inside exact occurrences, per alignment that has any."""
-    asked = items.select("iid", "item_id", F.col("words").alias("item_words"), "length")
-    per_doc = saved(found.groupBy("rid").agg(F.collect_list(F.struct("iid", "at", F.lit(0).alias("w"))).alias("found")), "found")
-    sizes = items.select("iid", F.size("words").alias("size"))
-    longest = sizes.agg(F.max("size")).first()[0] or 0
-    texts = stored.select("rid", "spaced").join(hinted(per_doc), "rid").select("rid", "found", F.split("spaced", " ").alias("words"))
-    cut = F.transform(
-        "found",
-        lambda f: F.struct(f["iid"].alias("iid"), f["at"].alias("at"), F.slice("words", F.greatest(f["at"], F.lit(0)) + 1, F.lit(longest) + F.least(f["at"], F.lit(0))).alias("words")),
+    met = moved.groupBy("rid", "iid", "at").agg(F.count(F.lit(1)).alias("met"))
+    return saved(met.join(hinted(need), "iid").where("met >= need").select("rid", "iid", "at"), "found")
+
+
+def near(moved: DataFrame, sets: DataFrame, slop: int, rarest: int = RAREST) -> DataFrame:
+    """rid, iid where the places of some set have offsets within slop: from each offset, a look at those up to slop further."""
+    members = sets.select("sid", "iid", F.size("places").alias("need"), F.posexplode("places").alias("nth", "p")).select("sid", "iid", "need", "nth", F.col("p.place").alias("place"))
+    rows = moved.join(hinted(saved(members, "members")), ["iid", "place"])
+    w = Window.partitionBy("rid", "sid").orderBy("at").rangeBetween(0, slop)
+    there = sum(F.coalesce(F.max(F.when(F.col("nth") == k, 1)).over(w), F.lit(0)) for k in range(rarest))
+    return rows.select("rid", "iid", (there >= F.col("need")).alias("near")).where("near").select("rid", "iid").distinct()
+
+
+def occurrences(stored: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
+    """rid, iid, first, last: the document positions of every exact occurrence of a window (repeated where segments share windows).
+
+    Documents that have an alignment are cut into blocks of words with as many words more as a segment has.
+    """
+    found = found.withColumn("block", F.floor(F.greatest(F.col("at"), F.lit(0)) / BLOCK).cast("int"))
+    texts = stored.select("rid", "spaced").join(hinted(saved(found.select("rid").distinct(), "rids")), "rid").select("rid", F.split("spaced", " ").alias("words"))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("words") - 1) / BLOCK).cast("int")),
+        lambda b: F.struct(b.alias("block"), F.slice("words", b * BLOCK + 1, F.lit(BLOCK + SEGMENT + WINDOW)).alias("words")),
     )
-    rows = texts.select("rid", F.explode(cut).alias("c")).select("rid", "c.iid", "c.at", F.col("c.words").alias("doc_words"))
-    rows = rows.join(hinted(asked), "iid")
-    skip = F.greatest(-F.col("at"), F.lit(0))  # item words before the document's start
-    own = F.slice("item_words", skip + 1, F.size("item_words"))
-    same = F.zip_with("doc_words", own, lambda a, b: F.coalesce(a == b, F.lit(False)))
-    rows = rows.select("rid", "iid", "item_id", "length", F.greatest("at", F.lit(0)).alias("first"), same.alias("same"))
+    texts = texts.select("rid", F.explode(blocks).alias("b")).select("rid", "b.block", "b.words")
+    asked = items.select("iid", F.col("words").alias("own"), "length")
+    rows = texts.join(hinted(saved(found, "found")), ["rid", "block"])
+    first = F.greatest(F.col("at"), F.lit(0))
+    rows = rows.join(hinted(items.select("iid", F.size("words").alias("size"))), "iid")
+    held = F.slice("words", (first - F.col("block") * BLOCK + 1).cast("int"), F.col("size") + F.least(F.col("at"), F.lit(0)).cast("int"))
+    rows = rows.select("rid", "iid", "at", held.alias("held")).join(hinted(asked), "iid")
+    skip = F.greatest(-F.col("at"), F.lit(0)).cast("int")  # words of the segment before the document's start
+    same = F.zip_with("held", F.slice("own", skip + 1, F.size("own")), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    rows = rows.select("rid", "iid", "length", first.alias("first"), same.alias("same"))
     last = F.size("same") - F.col("length")
     starts = F.filter(
         F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
         lambda s: F.forall(F.slice("same", s + 1, F.col("length")), lambda x: x),
     )
-    rows = rows.withColumn("starts", starts).where(F.size("starts") > 0)
-    hits = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s + F.col("first"), s + F.col("first") + F.col("length") - 1))))
-    return rows.select("rid", "iid", "item_id", hits.alias("hits"))
-
-
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    stored, items = stored_words(docs), item_windows(items)
-    places = rarest_places(items, collection_counts(stored, items))
-    found = alignments(positional_index(stored, places), places, items)
-    hits = verified(stored, items, found).groupBy("rid").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
-        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"),
-    )
-    hits = hinted(saved(hits, "hits"))
-    n_hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("item_ids", F.array().cast("array<string>"))
-    return stored.select("rid", "doc_id", "n_words").join(hits, "rid", "left").select(
+    rows = rows.select("rid", "iid", "length", "first", F.explode(starts).alias("start"))
+    return rows.select("rid", "iid", (F.col("first") + F.col("start")).alias("first"), (F.col("first") + F.col("start") + F.col("length") - 1).alias("last"))
+
+
+def hit_words(found: DataFrame) -> DataFrame:
+    """rid, n_hit: the words inside any occurrence, by one pass over a document's occurrences in order."""
+    spans = found.groupBy("rid", "first").agg(F.max("last").alias("last"))
+    before = F.max("last").over(Window.partitionBy("rid").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.col("last") - F.greatest(F.col("first") - 1, F.coalesce(before, F.lit(-1)))
+    return spans.select("rid", F.greatest(new, F.lit(0)).alias("new")).groupBy("rid").agg(F.sum("new").cast("long").alias("n_hit"))
+
+
+def _listed(found: DataFrame, owners: DataFrame, name: str) -> DataFrame:
+    """rid and the sorted distinct item ids of its segments, as an array column of that name."""
+    rows = saved(found.select("rid", "iid").distinct(), "pairs").join(hinted(owners), "iid")
+    return rows.groupBy("rid").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias(name))
+
+
+def _index(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Stored words, segments, their owners, rarest sets and moved postings."""
+    stored, (segments, owners) = stored_words(docs), item_windows(items)
+    sets = rarest_sets(segments, collection_counts(stored, segments))
+    places = rarest_places(sets)
+    return stored, segments, owners, sets, moved_postings(positional_index(stored, places), places)
+
+
+def contamination(docs: DataFrame, items: DataFrame, slop: int | None = SLOP) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with a slop also n_near and near_items_sha256."""
+    stored, segments, owners, sets, moved = _index(docs, items)
+    if slop is not None:
+        moved = meeting(moved, segments, slop)
+    exact = saved(occurrences(stored, segments, alignments(moved, segments)), "exact")
+    hits = saved(hit_words(exact).join(_listed(exact, owners, "item_ids"), "rid", "left"), "hits")
+    out = stored.select("rid", "doc_id", "n_words").join(hinted(hits), "rid", "left")
+    of = lambda name: F.coalesce(name, F.array().cast("array<string>"))
+    n_hit, ids = F.coalesce("n_hit", F.lit(0)), of("item_ids")
+    columns = [
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
-    )
+    ]
+    if slop is not None:
+        out = out.join(hinted(saved(_listed(near(moved, sets, slop), owners, "near_ids"), "near")), "rid", "left")
+        columns += [F.size(of("near_ids")).cast("long").alias("n_near"), F.sha2(F.array_join(of("near_ids"), ","), 256).alias("near_items_sha256")]
+    return out.select(*columns)
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 8) -> DataFrame:
-    """doc_id, item_id: documents where the rarest words of an item meet within slop words of one alignment.
-
-    Offsets go to two overlapping bands of twice the slop, so any that lie within it share a band.
-    """
-    stored, items = stored_words(docs), item_windows(items)
-    places = rarest_places(items, collection_counts(stored, items))
-    moved = moved_postings(positional_index(stored, places), places)
-    band = F.floor(F.col("at") / (2 * slop))
-    banded = moved.withColumn("band", F.explode(F.array(band * 2, F.floor((F.col("at") + slop) / (2 * slop)) * 2 + 1)))
-    met = banded.groupBy("rid", "iid", "band").agg(F.count_distinct("place").alias("met"))
-    need = items.select("iid", "item_id", F.least(F.lit(RAREST), "length").alias("need"))
-    met = met.join(hinted(need), "iid").where("met >= need").select("rid", "item_id").distinct()
-    return stored.select("rid", "doc_id").join(hinted(saved(met, "near")), "rid").select("doc_id", "item_id")
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = SLOP) -> DataFrame:
+    """doc_id, item_id of every document and item that are near, once for each row of docs."""
+    stored, segments, owners, sets, moved = _index(docs, items)
+    found = saved(near(meeting(moved, segments, slop), sets, slop), "near")
+    found = saved(found.join(hinted(owners), "iid").select("rid", "item_id").distinct(), "near")
+    return stored.select("rid", "doc_id").join(hinted(found), "rid").select("doc_id", "item_id")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with all columns.  Ids that rows share are judged by each row's text."""
-    out = saved(contamination(docs, items).select("doc_id", "contaminated"), "contaminated")
+    out = saved(contamination(docs, items, None).select("doc_id", "contaminated"), "contaminated")
     bad = saved(out.groupBy("doc_id").agg(F.max("contaminated").alias("bad"), F.min("contaminated").alias("all_bad")).where("bad"), "bad")
     if bad.where("NOT all_bad OR doc_id IS NULL").isEmpty():
         return anti(docs, bad, "doc_id")
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    named = saved(keyed.select(F.col("__key").alias("doc_id"), "text"), "keyed")
-    bad = saved(contamination(named, items).where("contaminated").select(F.col("doc_id").alias("__key")).distinct(), "bad")
-    return anti(keyed, bad, "__key").drop("__key")
+    (key,) = unused(docs, "__key")
+    keyed = docs.withColumn(key, F.sha2(F.to_json(F.struct("doc_id", "text")), 256))
+    named = saved(keyed.select(F.col(key).alias("doc_id"), "text"), "keyed")
+    bad = saved(contamination(named, items, None).where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "bad")
+    return anti(keyed, bad, key).drop(key)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +252,7 @@ WITH d AS (
 ), i AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
-), il AS (SELECT item_id, ws, least(13, len(ws)) AS l FROM i WHERE len(ws) > 0),
+), il AS (SELECT row_number() OVER () AS iid, item_id, ws, least(13, len(ws)) AS l FROM i WHERE len(ws) > 0),
 iw AS (
   SELECT DISTINCT item_id, l, array_to_string(ws[s:s + l - 1], ' ') AS g
   FROM (SELECT item_id, l, ws, unnest(range(1, len(ws) - l + 2)) AS s FROM il)
@@ -203,9 +266,29 @@ h AS (
 ), t AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY 1
+), dp AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM d),
+c AS (SELECT word, count(*) AS n FROM dp WHERE word IN (SELECT unnest(ws) FROM il) GROUP BY 1),
+wp AS (
+  SELECT iid, item_id, l, start, start + k AS place, ws[start + k + 1] AS word
+  FROM (SELECT iid, item_id, l, ws, start, unnest(range(0, l)) AS k FROM (SELECT *, unnest(range(0, len(ws) - l + 1)) AS start FROM il))
+), wr AS (
+  SELECT *, row_number() OVER (PARTITION BY iid, start ORDER BY n, place) AS nth, min(n) OVER (PARTITION BY iid, start) AS low
+  FROM (SELECT wp.*, coalesce(c.n, 0) AS n FROM wp LEFT JOIN c USING (word))
+), wset AS (
+  SELECT DISTINCT item_id, list(nth_place ORDER BY nth_place) AS places
+  FROM (SELECT iid, item_id, start, {'place': place, 'word': word} AS nth_place FROM wr WHERE low > 0 AND nth <= 3) GROUP BY iid, item_id, start
+), wt AS (SELECT row_number() OVER () AS sid, item_id, places, len(places) AS need FROM wset),
+wm AS (SELECT sid, item_id, need, unnest(range(1, need + 1)) AS nth, unnest(places) AS p FROM wt),
+nr AS (
+  SELECT doc_id, item_id, need, count(DISTINCT nth) OVER (PARTITION BY doc_id, sid ORDER BY pos - p.place RANGE BETWEEN CURRENT ROW AND 8 FOLLOWING) AS met
+  FROM wm JOIN dp ON p.word = dp.word
+), n AS (
+  SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM nr WHERE met = need) GROUP BY 1
 )
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
+       coalesce(n_near, 0) AS n_near, sha256(coalesce(near, '')) AS near_items_sha256
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)
 """
