@@ -9,10 +9,10 @@ sets share a shingle among the first |A| - ceil(4/5 |A|) + 1 of each, whatever t
 the sample decides only how much work there is.  The first shared shingle's places bound the
 overlap; what passes that bound is compared by the texts themselves.
 
-A document with a link to a smaller id goes.  So no two documents that stay are linked, and a
-chain of links leads from each that goes to one that stays.  First each document is compared only
-with the smallest of each shingle it shares, which takes a large group away without its pairs;
-then all pairs among those left are compared.
+First each document is compared only with the smallest of each shingle it shares, which takes a large
+group away without its pairs; then all pairs among those left are compared.  Each time the smallest
+document of every connected component of the links found stays.  So no two documents that stay are linked, and a
+chain of links leads from each that goes to one that stays.
 
 Defined results: null text counts as empty; texts without a word are equal; rows with a null
 doc_id stay; ids are otherwise taken as distinct (simhash_dedup.one_of_each leaves them so).
@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import anti, hinted, saved
+from .components import components
 
 WORDS, SEED = 5, 42
 #: Documents whose shingles are counted, the count there from which a shingle is frequent, and how many of those are kept.
 SAMPLE, FREQUENT, LISTED = 10_000, 4, 200_000
-_PAIRS = 1 << 20
 
 
 def shingles(text: str | None) -> list[bytes]:
@@ -130,26 +130,26 @@ def _candidates(prefixes: DataFrame, every: bool) -> DataFrame:
 
 
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id of each larger document of a pair whose texts are linked."""
+    """a, b: the pairs whose texts are linked."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = [alike(set(shingles(x)), set(shingles(y))) for x, y in zip(pdf["x"], pdf["y"])]
-            yield pd.DataFrame({"doc_id": pdf["b"][np.array(ok, bool)]})
+            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
-    pairs = saved(pairs, "pairs")
-    left = hinted(pairs).join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+    left = hinted(saved(pairs, "pairs")).join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    return saved(both.select("b", "x", "y").mapInPandas(compared, f"doc_id {kind}").distinct(), "linked")
+    return both.select("a", "b", "x", "y").mapInPandas(compared, f"a {kind}, b {kind}")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """docs without those that are linked to a smaller id, with all columns."""
+    """docs without those that a chain of links leads to a smaller id, with all columns."""
     docs = saved(docs, "docs")
     known = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     prefixes = saved(_prefixes(known), "prefixes")
     for every in (False, True):
-        go = _linked(known, _candidates(prefixes, every))
+        found = components(_linked(known, _candidates(prefixes, every)))
+        go = saved(found.where("node != root").select(F.col("node").alias("doc_id")).distinct(), "go")
         docs, known, prefixes = anti(docs, go, "doc_id"), anti(known, go, "doc_id"), anti(prefixes, go, "doc_id")
     return docs

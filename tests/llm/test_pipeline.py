@@ -7,6 +7,7 @@ from tesspan.llm import decontaminate, quality
 from tesspan.llm.common import table
 
 from .test_decontaminate import brute as brute_contaminated
+from .test_jaccard_dedup import shingled, similar
 from .test_simhash_dedup import brute as brute_near
 
 SF = "/root/testdata/sf0.001"
@@ -32,7 +33,14 @@ def test_stages_against_brute_force(spark):
                 first[key] = min(d, first.get(key, d))
             want = first.values()
         elif name == "near_dedup":
-            want = [d for d, _, c in brute_near(rows) if d == c]
+            # of the components of close fingerprints one document each; of those, no two alike, and none gone without a link
+            rest = {d for d, _, c in brute_near(rows) if d == c}
+            sets = {d: shingled(t) for d, t in rows if d in rest}
+            links = [(a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b])]
+            assert set(kept) <= rest and not [x for x in links if set(x) <= set(kept)]
+            assert all(any(d in x for x in links) for d in rest - set(kept))
+            assert all(min(x) in kept or min(x) in {max(y) for y in links} for x in links)
+            want = kept
         else:
             want = [r[0] for r in brute_contaminated(rows, items) if not r[5]]
         assert kept == sorted(want), name
