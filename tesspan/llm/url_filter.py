@@ -7,9 +7,11 @@ suffix, whose prior is that of all outcomes.  The weight of each prior comes fro
 spread of the shares at that level (moments of the beta-binomial).  A page is blocked
 where even the lower posterior bound of its host's share is above LIMIT.
 
-The suffix is the last label of a host, the registered domain its last two (more for the
-suffixes in LONG_SUFFIXES).  In the query the labelled outcomes are the pages that a rule
-decides: block is bad, allow is good.
+Levels are those of the host without user, port and trailing dot.  Its suffix is the longest that a
+table of suffix rules gives (plain names, `*.` for any label, `!` for exceptions; SUFFIXES unless given), else its last label; the
+registered domain has one label more.  An IP address is its own domain, under the suffix IP.  The bound is the
+normal approximation of the beta posterior's lower bound.  In the query the labelled outcomes are the pages
+that a rule decides: block is bad, allow is good; judged() takes a table of outcomes instead.
 
 Defined results: null urls, and urls without ://, have an empty host and path; of rules
 that fit, the longest host and path together wins, then the longer host, then the first
@@ -34,8 +36,10 @@ RULES = [
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
-#: Suffixes of several labels, under which a registered domain has one label more.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in")
+#: Suffix rules of several labels: these second levels under these countries, and a wildcard with its exception.
+SECOND, COUNTRIES = ("ac", "co", "com", "edu", "gov", "net", "org"), ("ar", "au", "br", "cn", "il", "in", "jp", "kr", "mx", "nz", "th", "tr", "tw", "uk", "za")
+SUFFIXES = (*(f"{s}.{c}" for c in COUNTRIES for s in SECOND), "*.ck", "!www.ck")
+IP = "(ip)"
 LIMIT, SIGMAS = 0.5, 1.6448536269514722
 #: Bounds of the correlation of outcomes within a group; a prior weighs (1 - r) / r outcomes.
 RHO_LOW, RHO_HIGH = 0.005, 0.5
@@ -76,14 +80,25 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     return out.select("page_id", "host", "path", "best.rule", F.col("best.verdict").alias("ruled"))
 
 
-def with_levels(hosts: DataFrame) -> DataFrame:
-    """hosts with domain and suffix."""
-    labels = F.split("host", r"\.")
-    two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
-    three = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), F.lit(3)), ".")
-    long = two.isin(*LONG_SUFFIXES)
-    suffix = F.when(long, two).otherwise(F.element_at(labels, -1))
-    return hosts.withColumn("suffix", suffix).withColumn("domain", F.when(long, three).otherwise(two))
+def with_levels(hosts: DataFrame, suffixes: tuple[str, ...] | DataFrame = SUFFIXES) -> DataFrame:
+    """hosts (distinct host) with domain and suffix.  suffixes: rules, or a table with them in a column `rule`."""
+    if not isinstance(suffixes, DataFrame):
+        suffixes = hosts.sparkSession.createDataFrame([(s,) for s in suffixes], "rule string")
+    name = F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", "")
+    name = F.regexp_replace(name, r"\.$", "")
+    rows = hosts.withColumn("name", name).withColumn("ip", name.rlike(r"^\[|^[0-9]{1,3}(\.[0-9]{1,3}){3}$"))
+    labels = F.split("name", r"\.")
+    rows = rows.withColumn("labels", labels)
+    of = lambda depth: F.array_join(F.slice("labels", F.greatest(F.size("labels") - depth + 1, F.lit(1)), depth), ".")
+    # the ends of every name that a rule may fit: the deepest such end is the suffix, an exception has one label less
+    ends = rows.where("NOT ip").select("host", F.posexplode(F.reverse(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda k: F.array_join(F.slice("labels", k, F.size("labels")), ".")))).alias("above", "end"))
+    asked = suffixes.select("rule", F.regexp_replace("rule", r"^(!|\*\.)", "").alias("end"))
+    asked = asked.groupBy("end").agg(F.max(F.when(~F.col("rule").rlike(r"^[!*]"), 0)).alias("plain"), F.max(F.when(F.col("rule").startswith("*"), 1)).alias("wild"), F.max(F.when(F.col("rule").startswith("!"), -1)).alias("but"))
+    fits = ends.join(hinted(saved(asked, "suffixes")), "end")
+    fits = fits.groupBy("host").agg(F.max(F.col("above") + 1 + F.col("but")).alias("but"), F.max(F.col("above") + 1 + F.coalesce("wild", "plain")).alias("most"))
+    rows = rows.join(fits, "host", "left")
+    depth = F.least(F.coalesce("but", "most", F.lit(1)), F.size("labels"))
+    return rows.select(*hosts.columns, F.when(F.col("ip"), IP).otherwise(of(depth)).alias("suffix"), F.when(F.col("ip"), F.col("name")).otherwise(of(depth + 1)).alias("domain"))
 
 
 def _shrunk(groups: DataFrame, mean: str) -> DataFrame:
@@ -99,30 +114,30 @@ def _shrunk(groups: DataFrame, mean: str) -> DataFrame:
     return groups.withColumn("share", (m * k + F.col("bad")) / (k + F.col("n"))).withColumn("weight", F.lit(k) + F.col("n"))
 
 
-def reputations(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, hosts: DataFrame, suffixes: tuple[str, ...] | DataFrame = SUFFIXES) -> DataFrame:
     """host, n, bad, share, bound of every host of hosts.
 
     outcomes: host, n, bad (counts of labelled pages, one row per host).  hosts: distinct host.
     """
-    rows = saved(with_levels(hosts.join(outcomes, "host", "left").fillna(0, ["n", "bad"])), "hosts")
+    rows = saved(with_levels(hosts.join(outcomes, "host", "left").fillna(0, ["n", "bad"]), suffixes), "hosts")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     suffixes = rows.groupBy("suffix").agg(*sums).withColumn("prior", F.lit((total.bad + 0.5) / (total.n + 1)))
     suffixes = hinted(saved(_shrunk(saved(suffixes), "prior").select("suffix", F.col("share").alias("suffix_share")), "suffixes"))
     domains = saved(rows.groupBy("suffix", "domain").agg(*sums).join(suffixes, "suffix"))
-    domains = hinted(saved(_shrunk(domains, "suffix_share").select("domain", F.col("share").alias("domain_share")), "domains"))
-    rows = _shrunk(saved(rows.join(domains, "domain")), "domain_share")
+    domains = hinted(saved(_shrunk(domains, "suffix_share").select("suffix", "domain", F.col("share").alias("domain_share")), "domains"))
+    rows = _shrunk(saved(rows.join(domains, ["suffix", "domain"])), "domain_share")
     bound = F.col("share") - SIGMAS * F.sqrt(F.col("share") * (1 - F.col("share")) / (F.col("weight") + 1))
     return rows.select("host", "n", "bad", "share", bound.alias("bound"))
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, outcomes: DataFrame | None = None) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, outcomes: DataFrame | None = None, suffixes: tuple[str, ...] | DataFrame = SUFFIXES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.  outcomes: see reputations(); the rules' verdicts if None."""
     rows = saved(ruled(pages, rules), "ruled")
     if outcomes is None:
         labelled = rows.where("ruled IS NOT NULL")
         outcomes = labelled.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"))
-    hosts = saved(reputations(outcomes, rows.select("host").distinct()), "reputations")
+    hosts = saved(reputations(outcomes, rows.select("host").distinct(), suffixes), "reputations")
     bad = hinted(saved(hosts.where(F.col("bound") > LIMIT).select("host", F.lit("block").alias("method")), "bad"))
     rows = rows.join(bad, "host", "left")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", "method", F.lit("allow")).alias("verdict"))
@@ -143,10 +158,17 @@ WITH u AS (
          (SELECT arg_max({'rule': h || p, 'v': v}, length(h) + length(p)) FROM r
           WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best
   FROM u
-), h0 AS (
+), h1 AS (
   SELECT host, count(best.rule) AS n, count(*) FILTER (best.v = 'block') AS bad,
-         array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix
+         regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS name
   FROM j GROUP BY host
+), h2 AS (
+  SELECT *, string_split(name, '.') AS l, regexp_matches(name, '^\[|^[0-9]{1,3}(\.[0-9]{1,3}){3}$') AS ip,
+         CASE WHEN regexp_matches(name, '(^|\.)www\.ck$') THEN 1 WHEN regexp_matches(name, '\.ck$') THEN 2
+              WHEN regexp_matches(name, '(^|\.)(@SECOND)\.(@COUNTRIES)$') THEN 2 ELSE 1 END AS k FROM h1
+), h0 AS (
+  SELECT host, n, bad, CASE WHEN ip THEN name ELSE array_to_string(l[-least(k + 1, len(l)):], '.') END AS domain,
+         CASE WHEN ip THEN '(ip)' ELSE array_to_string(l[-least(k, len(l)):], '.') END AS suffix FROM h2
 ), s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM h0) AS m FROM h0 GROUP BY suffix),
 sk AS (
   SELECT 1 / least(0.5, greatest(0.005, coalesce((sum(pow(bad / n - m, 2) * n) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.005))) - 1 AS k
@@ -165,3 +187,4 @@ SELECT page_id, j.host, path, best.rule AS rule,
        coalesce(best.v, CASE WHEN m - 1.6448536269514722 * sqrt(m * (1 - m) / (w + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM j JOIN h ON j.host = h.host
 """
+OP3_SQL = OP3_SQL.replace("@SECOND", "|".join(SECOND)).replace("@COUNTRIES", "|".join(COUNTRIES))

@@ -78,3 +78,31 @@ def test_against_plain_arithmetic(spark):
 
 def test_empty(spark):
     assert u.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_levels(spark):
+    want = {
+        "a.b.example.com": ("com", "example.com"),
+        "shop.example.co.uk": ("co.uk", "example.co.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "user:pw@www.example.org:8080": ("org", "example.org"),
+        "example.org.": ("org", "example.org"),
+        "a.b.c.ck": ("c.ck", "b.c.ck"),
+        "a.www.ck": ("ck", "www.ck"),
+        "10.0.0.1:80": (u.IP, "10.0.0.1"),
+        "[::1]:80": (u.IP, "[::1]"),
+        "localhost": ("localhost", "localhost"),
+        "": ("", ""),
+    }
+    rows = u.with_levels(spark.createDataFrame([(h,) for h in want], "host string")).collect()
+    assert {r.host: (r.suffix, r.domain) for r in rows} == want
+    own = spark.createDataFrame([("b.example.com",)], "rule string")
+    assert [(r.suffix, r.domain) for r in u.with_levels(spark.createDataFrame([("x.a.b.example.com",)], "host string"), own).collect()] == [("b.example.com", "a.b.example.com")]
+
+
+def test_outcomes_table(spark):
+    """Pages that no rule fits are judged by outcomes that aren't the rules'."""
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(["s1.bad.test", "new.bad.test", "s1.good.test", "new.good.test"])], "page_id long, url string")
+    outcomes = spark.createDataFrame([("s1.bad.test", 80, 79), ("s2.bad.test", 60, 60), ("s1.good.test", 90, 1), ("s2.good.test", 50, 0)], "host string, n long, bad long")
+    outcomes_of_all = u.judged(pages, [], outcomes).collect()
+    assert {r.page_id: r.verdict for r in outcomes_of_all} == {0: "block", 1: "block", 2: "allow", 3: "allow"}
