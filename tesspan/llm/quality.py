@@ -1,19 +1,22 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words.  Every passage is encoded; gated
-attention, learned from document labels alone, weighs the encodings, and the weighted
+A document is a bag of passages of PASSAGE words.  Every passage is encoded (letters, words by hashed
+bucket, repetition, lengths); gated attention, learned from document labels alone, weighs the encodings, and the weighted
 sum is scored.  The model is fitted on a sample of labelled rows that SAMPLE_ROWS and
 SAMPLE_CHARS bound; every row of the table is scored over its whole text.
 
 Defined results: null text counts as empty, and an empty text is a bag of one passage
 without words; without labels of both kinds the score of every row is the smoothed
 share of label 1; a row repeated, or with a null doc_id, is scored like any other;
-of several labels of a doc_id their mean counts; other columns are ignored.
+of several labels of a doc_id their mean counts; other columns are ignored.  Scores are rounded to
+six places, so how rows are batched doesn't show; long texts are read in blocks that end with a passage.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hinted, saved, table
+from .common import hinted, saved, table, unused
 
 PASSAGE = 64
 #: Bounds of the sample that the model is fitted on.
@@ -34,13 +37,27 @@ _BLOCK = 1 << 20
 
 _CLASS = np.concatenate([np.arange(128), 128 + (np.arange(128) >> 3)])
 _CLASSES = int(_CLASS.max()) + 1
-WIDTH = _CLASSES + 4
+WORDS = 128
+WIDTH = _CLASSES + 4 + WORDS
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 
 def _blocks(text: str | None) -> Iterator[list[bytes]]:
-    text = text or ""
-    for at in range(0, max(1, len(text)), _BLOCK):
-        yield text[at : at + _BLOCK].encode("utf-8", "surrogatepass").split()
+    """The words of a text, whole passages at a time: blocks end after a word, and what a passage lacks comes with the next block."""
+    text, at, held = text or "", 0, []
+    while True:
+        end = at + _BLOCK
+        gap = _SPACE.search(text, end) if end < len(text) else None
+        stop = gap.start() if gap else len(text)
+        held += text[at:stop].encode("utf-8", "surrogatepass").split()
+        at = stop
+        if at >= len(text):
+            break
+        whole = len(held) // PASSAGE * PASSAGE
+        if whole:
+            yield held[:whole]
+            held = held[whole:]
+    yield held
 
 
 def encode(bags: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +81,9 @@ def encode(bags: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     fresh[1:] = key[1:] != key[:-1]
     some = np.maximum(n, 1)
     out = np.empty((size, WIDTH), np.float32)
+    buckets = np.fromiter(map(zlib.crc32, words), np.int64, total) % WORDS
+    counted = np.bincount(of * WORDS + buckets, minlength=size * WORDS).reshape(size, WORDS)
+    out[:, _CLASSES + 4 :] = np.sqrt(counted / some[:, None])
     out[:, :_CLASSES] = np.sqrt(counts / np.maximum(n_bytes, 1)[:, None])
     out[:, _CLASSES] = np.log1p(n_bytes / some)
     out[:, _CLASSES + 1] = np.bincount(of, weights=again, minlength=size) / some
@@ -201,7 +221,7 @@ def _scorer(model: Model | float):
                 if size > 100_000:
                     flush()
             flush()
-            yield pd.Series(np.concatenate(out).astype(np.float64) if out else np.zeros(0))
+            yield pd.Series(np.round(np.concatenate(out).astype(np.float64), 6) if out else np.zeros(0))
 
     return F.pandas_udf(score, T.DoubleType())
 
@@ -220,7 +240,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with all columns."""
-    return scored(docs, fitted(docs, labels), "__score").where("__score >= 0.5").drop("__score")
+    (score,) = unused(docs, "__score")
+    return scored(docs, fitted(docs, labels), score).where(F.col(score) >= 0.5).drop(score)
 
 
 def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,41 @@ def test_attention_prefers_the_telling_passage():
     model = q.fit(np.concatenate(bags), np.full(400, 6), np.array(labels, np.float32))
     hits = [np.argmax(model.attention(model.hidden(b))) == np.argmax(b[:, :10].sum(1)) for b, y in zip(bags, labels) if y]
     assert np.mean(hits) > 0.9
+
+
+def test_scores_against_a_plain_loop(spark, monkeypatch):
+    """Each passage encoded and each document pooled one by one, without blocks or batches."""
+    import math
+
+    docs, labels = make(80)
+    df, marks = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = q.fitted(df, marks)
+    w = model.weights
+    want = {}
+    for i, text, *_ in docs:
+        words = text.encode().split()
+        total, pooled = 0.0, np.zeros(q.HIDDEN)
+        for at in range(0, max(1, len(words)), q.PASSAGE):
+            h = model.hidden(q.encode([words[at : at + q.PASSAGE]])[0])[0].astype(float)
+            e = math.exp(min(30, max(-30, float((np.tanh(h @ w["v"]) * (1 / (1 + np.exp(-(h @ w["u"]))))) @ w["a"]))))
+            total, pooled = total + e, pooled + e * h
+        want[i] = 1 / (1 + math.exp(-float(pooled / total @ w["c"] + w["d"][0])))
+    for r in q.scored(df, model).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-4 and r.score == round(r.score, 6)
+
+
+def test_blocks_hold_whole_passages(monkeypatch):
+    rng = random.Random(4)
+    for block in (7, 50, 1000):
+        monkeypatch.setattr(q, "_BLOCK", block)
+        for text in ("", " ", "a", "w" * 90, " ".join("x" * rng.randint(1, 9) for _ in range(300)) + "  ", "a\tb\n" * 200):
+            parts = list(q._blocks(text))
+            assert [w for p in parts for w in p] == text.encode().split()
+            assert all(len(p) % q.PASSAGE == 0 for p in parts[:-1])
+
+
+def test_clashing_names(spark):
+    docs, labels = make(30)
+    df = spark.createDataFrame(docs, DOCS).withColumnRenamed("score", "__score")
+    out = q.good_documents(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert out.columns == df.columns and out.where("__score = 0.5").count() == out.count()
