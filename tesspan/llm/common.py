@@ -32,9 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/tesspan/{label}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df in the shared folder and read it back: cuts lineage, survives a lost executor, is computed once."""
-    path = f"{shared_dir(df.sparkSession)}/tesspan/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

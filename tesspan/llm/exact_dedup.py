@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import anti, hinted, saved, semi, table
+from .common import anti, hinted, new_path, saved, semi, table, unused
 
 KEYS_PER_SHARD = 1 << 16
 COPIES_PER_SALT = 2_000
@@ -163,17 +163,43 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(_first("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
 
 
-def build_snapshot(rows: DataFrame) -> Snapshot:
-    """rows: doc_id, digest.  Writes the exact buckets and one filter per shard of about KEYS_PER_SHARD digests."""
-    buckets = saved(_grouped(rows), "buckets")
+def build_snapshot(rows: DataFrame, path: str | None = None) -> Snapshot:
+    """rows: doc_id, digest.  Writes the snapshot of their classes; see write_snapshot()."""
+    return write_snapshot(_grouped(rows), path or new_path(rows.sparkSession, "snapshot"))
+
+
+def write_snapshot(classes: DataFrame, path: str) -> Snapshot:
+    """classes: digest, keep_id, n.  Writes the exact buckets and one filter per shard of about KEYS_PER_SHARD digests, once."""
+    spark = classes.sparkSession
+    classes.select("digest", "keep_id", "n").write.option("compression", "zstd").parquet(f"{path}/buckets")
+    buckets = spark.read.parquet(f"{path}/buckets")
     shards = max(1, math.ceil(buckets.count() / KEYS_PER_SHARD))
-    filters = saved(
+    filters = (
         buckets.select("digest", _shard(F.col("digest"), shards).alias("shard"))
         .groupBy("shard")
-        .applyInPandas(_build_shard, "shard int, seed string, segment long, segments long, filter binary"),
-        "filters",
+        .applyInPandas(_build_shard, "shard int, seed string, segment long, segments long, filter binary")
     )
-    return Snapshot(buckets, filters, shards)
+    filters.withColumn("shards", F.lit(shards)).write.parquet(f"{path}/filters")
+    return open_snapshot(spark, path)
+
+
+def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    """A snapshot that was written at path."""
+    filters = spark.read.parquet(f"{path}/filters")
+    held = filters.select("shards").first()
+    return Snapshot(spark.read.parquet(f"{path}/buckets"), filters, held.shards if held else 1)
+
+
+def incoming(snapshot: Snapshot, docs: DataFrame, path: str) -> tuple[DataFrame, Snapshot]:
+    """A batch against a snapshot: doc_id, keep_id, group_size of its rows, and the next snapshot, written at path.
+
+    keep_id is the smallest id of the class over the snapshot and the batch.  The snapshot holds digests alone, so
+    classes go by the whole SHA-256; exact_duplicates() also compares texts, as it has them all.
+    """
+    rows = saved(digested(docs.select("doc_id", "text")), "digests")
+    after = write_snapshot(merged_classes(snapshot, rows), path)
+    out = rows.join(after.buckets, "digest").select("doc_id", "keep_id", F.col("n").alias("group_size"))
+    return out, after
 
 
 def screened(snapshot: Snapshot, digests: DataFrame, n: int) -> DataFrame:
@@ -266,10 +292,11 @@ def without_copies(docs: DataFrame) -> DataFrame:
     mixed = dropped.where("stay > 0")  # repeated ids: some rows stay, others go
     if mixed.isEmpty():
         return rest
-    again = semi(docs, mixed, "doc_id").withColumn("__t", normalised(F.col("text")))
-    full = out.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    again = again.join(full, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.sha2("__t", 256) == F.col("__sha"))).drop("__id", "__sha")
-    again = again.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__t").orderBy(F.lit(0)))).where("__n = 1")
+    text, own, sha, nth = unused(docs, "__t", "__id", "__sha", "__n")
+    again = semi(docs, mixed, "doc_id").withColumn(text, normalised(F.col("text")))
+    full = out.where("kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha))
+    again = again.join(full, F.col("doc_id").eqNullSafe(F.col(own)) & (F.sha2(text, 256) == F.col(sha)))
+    again = again.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.lit(0)))).where(F.col(nth) == 1)
     return rest.unionByName(again.select(*docs.columns))
 
 

@@ -58,3 +58,20 @@ def test_filter_has_no_false_negatives(n):
     assert f.contains(keys).all()
     other = rng.integers(2**63, 2**64 - 1, 20_000, dtype=np.uint64)
     assert f.contains(other).mean() < 0.01
+
+
+def test_snapshots_are_kept_and_opened_again(spark, tmp_path):
+    first, second = [(1, "a"), (2, "b"), (3, "a")], [(4, "b"), (0, "a"), (5, "c"), (6, "c")]
+    x.build_snapshot(x.digested(frame(spark, first)), f"{tmp_path}/one")
+    old = x.open_snapshot(spark, f"{tmp_path}/one")
+    got, new = x.incoming(old, frame(spark, second), f"{tmp_path}/two")
+    assert {tuple(r) for r in got.collect()} == {(4, 2, 2), (0, 0, 3), (5, 5, 2), (6, 5, 2)}
+    again = x.open_snapshot(spark, f"{tmp_path}/two").buckets
+    assert sorted((r.keep_id, r.n) for r in again.collect()) == [(0, 3), (2, 2), (5, 2)] == sorted((r.keep_id, r.n) for r in new.buckets.collect())
+    assert sorted((r.keep_id, r.n) for r in old.buckets.collect()) == [(1, 2), (2, 1)]
+    assert x.open_snapshot(spark, x.build_snapshot(x.digested(frame(spark, [])), f"{tmp_path}/none") and f"{tmp_path}/none").shards == 1
+
+
+def test_clashing_names(spark):
+    docs = frame(spark, ROWS).withColumnsRenamed({"keep_id": "__t", "n": "__id"})
+    assert x.without_copies(docs).columns == docs.columns
