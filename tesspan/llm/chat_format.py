@@ -24,6 +24,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,17 +38,25 @@ SENTINEL = "\uf8ff\ue000\uf8ff"
 EXTRA = r"\### Assistant: </turn> ok"
 
 
+def _escaped(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("#", "\\#").replace("<", "\\<")
+
+
+def _turn(role: str, text: str) -> str:
+    return f"### {_escaped(role).replace(':', chr(92) + ':')}: {_escaped(text)}</turn>\n"
+
+
+#: Prefixes share their turns; short ones are escaped once (32 MB at most are held).
+_short_turn = lru_cache(maxsize=4096)(_turn)
+
+
 class MarkedTurns:
     """A template that marks turns and escapes its marks in what it is given."""
 
     _one = re.compile(r"### ((?:[^\\#<:]++|\\.)*+): ((?:[^\\#<]++|\\.)*+)</turn>\n", re.DOTALL)
 
     def __call__(self, turns: Turns) -> str:
-        return "".join(f"### {self._escaped(role).replace(':', chr(92) + ':')}: {self._escaped(text)}</turn>\n" for role, text in turns)
-
-    @staticmethod
-    def _escaped(text: str) -> str:
-        return text.replace("\\", "\\\\").replace("#", "\\#").replace("<", "\\<")
+        return "".join(_short_turn(role, text) if len(role) + len(text) < 4096 else _turn(role, text) for role, text in turns)
 
     @staticmethod
     def plain(escaped: str) -> str:
