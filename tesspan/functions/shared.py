@@ -1,20 +1,39 @@
-"""A folder that driver and executors share, for what a query has to write on its way."""
+"""A folder that driver and executors share, for what a query has to write on its way; sides that are broadcast once measured."""
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a side of a few numbers and short codes a row is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path under the folder in spark.checkpoint.dir; under a temporary one only where that is unset (local runs)."""
+    """A new path under the folder in spark.checkpoint.dir; where that is unset under a temporary one, in local runs alone."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tesspan-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/tesspan/{label}-{uuid.uuid4().hex}"
+
+
+def shared(df: DataFrame, label: str) -> DataFrame:
+    """df written in the shared folder and read again: computed once, however often it is used."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """side (narrow rows, written by shared()), to be broadcast if it has no more rows than that; else as it is, for a shuffled join."""
+    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side

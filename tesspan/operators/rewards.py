@@ -60,3 +60,15 @@ def rewards(series: DataFrame, kind: str, rows: int = ROWS, target: float = 0.0)
     if kind not in kinds:
         raise ValueError(f"kind is one of {sorted(kinds)}")
     return series.select("trade_date", kinds[kind].alias("reward"))
+
+
+def weight_steps(weights: DataFrame, returns: DataFrame, cost_bps: float, penalty: float, aversion: float = 1.0, rows: int = ROWS) -> DataFrame:
+    """trade_date, ret, turnover, cost and the day's reward by each rule, less cost: return, sharpe, sortino, mean_variance.
+
+    cost is the fixed cost of a day with trades and the penalty on its turnover; weights: every code on every day, saved.
+    """
+    series = portfolio_returns(weights, returns).join(turnovers(weights), "trade_date").join(mean_variance(weights, returns, aversion), "trade_date")
+    cost = F.when(F.col("turnover") > 1e-6, cost_bps / 1e4).otherwise(0.0) + penalty * F.col("turnover")
+    rated = series.select("trade_date", "ret", "turnover", cost.alias("cost"), sharpe(rows).alias("sharpe"), sortino(rows).alias("sortino"), "value")
+    by = {"return": "ret", "sharpe": "sharpe", "sortino": "sortino", "mean_variance": "value"}
+    return rated.select("trade_date", "ret", "turnover", "cost", *[(F.col(c) - F.col("cost")).alias(f"by_{name}") for name, c in by.items()])

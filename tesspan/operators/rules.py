@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -113,57 +111,51 @@ def overlap_rewards(panel: DataFrame, k: int, cost_bps: float = 30.0, coefficien
 
 # --- continuous weights -------------------------------------------------------------------
 
+ROUNDS, SLACK, LEAST_SUM = 10, 1e-9, 1e-8
+
 
-def simplex_upper(v: np.ndarray, upper: np.ndarray) -> np.ndarray:
-    """The nearest weights to v with sum 1 and 0 <= w <= upper; the caps themselves, scaled, if they don't reach 1."""
-    if not (upper > 0).any():
-        return np.zeros(len(v))
-    if upper.sum() < 1 - 1e-9:
-        return upper / upper.sum() if upper.sum() >= 1e-8 else np.zeros(len(v))
-    low, high = v[upper > 0].min() - upper.max(), v[upper > 0].max()
-    for _ in range(50):
-        middle = (low + high) / 2
-        rest = np.clip(v - middle, 0, upper).sum() - 1
-        if abs(rest) < 1e-12:
-            break
-        low, high = (middle, high) if rest > 0 else (low, middle)
-    w = np.clip(v - (low + high) / 2, 0, upper)
-    return w / w.sum() if w.sum() >= 1e-8 else np.zeros(len(v))
-
-
-def day_weights(action: np.ndarray, live: np.ndarray, industry: np.ndarray | None, position: float, share: float) -> np.ndarray:
-    """Softmax of the actions of tradeable stocks, brought under the caps per stock and, in ten rounds at most, per industry."""
-    if not live.any():
-        return np.zeros(len(action))
-    e = np.where(live, np.exp(np.where(live, action, -np.inf) - action[live].max()), 0.0)
-    target, upper = e / e.sum(), np.where(live, position, 0.0)
-    w = simplex_upper(target, upper)
-    if industry is None:
-        return w
-    for _ in range(10):
-        over = False
-        for i in np.unique(industry):
-            own = industry == i
-            held = w[own].sum()
-            if held > share + 1e-9:
-                upper[own] = np.minimum(upper[own], w[own] * (share / held))
-                over = True
-        if not over:
-            break
-        w = simplex_upper(target, upper)
-    return w
-
-
-def projected_weights(panel: DataFrame, position: float = 0.05, share: float = INDUSTRY_SHARE) -> DataFrame:
-    """trade_date, ts_code, weight: one day's stocks (a few thousand) per group, days side by side."""
-
-    def project(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts_code")
-        w = day_weights(pdf["score"].to_numpy(float), pdf["live"].to_numpy(bool), pdf["industry_code"].to_numpy(), position, share)
-        return pd.DataFrame({"trade_date": pdf["trade_date"], "ts_code": pdf["ts_code"], "weight": w})
+def nearest_capped(rows: DataFrame, name: str) -> DataFrame:
+    """rows (trade_date, ts_code, target, cap) with the day's nearest weights to target that sum to 1, none below 0 or above its cap.
 
+    A weight is target - shift between 0 and the cap, one shift a day.  As the shift falls, a weight starts to grow at its
+    target and stops at target - cap; along these points in falling order the sum is piecewise linear, its slope the number
+    that grow.  The sum at each point is a running sum, and the shift lies after the last point where it is 1 at most.
+    Caps that don't reach 1 are scaled to it.
+    """
+    day = Window.partitionBy("trade_date")
+    falling = day.orderBy(F.desc("x"), F.desc("step"), "ts_code")
+    reach = F.sum("cap").over(day)
+    points = F.inline(F.array(F.struct(F.lit(1).alias("step"), F.col("target").alias("x")), F.struct(F.lit(-1).alias("step"), (F.col("target") - F.col("cap")).alias("x"))))
+    at = rows.withColumn("reach", reach).select("*", points)
+    at = at.withColumn("growing", F.sum("step").over(falling)).withColumn("nth", F.row_number().over(falling)).withColumn("last_x", F.lag("x").over(falling))
+    at = at.withColumn("more", F.coalesce((F.col("growing") - F.col("step")) * (F.col("last_x") - F.col("x")), F.lit(0.0)))
+    at = at.withColumn("sum", F.sum("more").over(falling))
+    shift = F.when(F.col("growing") > 0, F.col("x") - (1 - F.col("sum")) / F.col("growing")).otherwise(F.col("x"))
+    at = at.withColumn("shift", F.max(F.when(F.col("sum") <= 1, F.struct("nth", shift.alias("at")))).over(day)["at"]).where("step = 1")
+    free = F.greatest(F.lit(0.0), F.least(F.col("cap"), F.col("target") - F.col("shift")))
+    at = at.withColumn("free", F.when(F.col("reach") < 1 - SLACK, F.col("cap")).otherwise(free))
+    every = F.sum("free").over(day)
+    return at.select(*rows.columns, F.when(every >= LEAST_SUM, F.col("free") / every).otherwise(0.0).alias(name))
+
+
+def projected_weights(panel: DataFrame, position: float = 0.05, share: float = INDUSTRY_SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """trade_date, ts_code, weight: the softmax of the scores of tradeable stocks, brought under a cap per stock and then, in
+    rounds, under one per industry (an industry above it has its stocks' caps cut in proportion).
+
+    Everything is a window over a day, so the panel is dealt by day once, whatever the rounds.
+    """
+    day, own = Window.partitionBy("trade_date"), Window.partitionBy("trade_date", "industry_code")
     rows = panel.select("trade_date", "ts_code", "score", "industry_code", tradeable(by_board=False).alias("live"))
-    return rows.groupBy("trade_date").applyInPandas(project, "trade_date date, ts_code string, weight double")
+    rows = rows.withColumn("raw", F.when(F.col("live"), F.exp(F.col("score") - F.max(F.when(F.col("live"), F.col("score"))).over(day))).otherwise(0.0))
+    every = F.sum("raw").over(day)
+    rows = rows.withColumn("target", F.when(every > 0, F.col("raw") / every).otherwise(0.0))
+    rows = rows.select("trade_date", "ts_code", "industry_code", "target", F.when(F.col("live"), position).otherwise(0.0).alias("cap"))
+    rows = nearest_capped(rows, "weight")
+    for _ in range(rounds):
+        rows = rows.withColumn("held", F.sum("weight").over(own))
+        cut = F.when(F.col("held") > share + SLACK, F.least(F.col("cap"), F.col("weight") * (share / F.col("held")))).otherwise(F.col("cap"))
+        rows = nearest_capped(rows.select("trade_date", "ts_code", "industry_code", "target", cut.alias("cap")), "weight")
+    return rows.select("trade_date", "ts_code", "weight")
 
 
 def advantages(steps: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
@@ -184,18 +176,11 @@ def advantages(steps: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> Data
     return steps.groupBy("env").applyInPandas(run, "env long, step long, advantage double, return double")
 
 
-def batch_scored(panel: DataFrame, factors: list[str], weights: np.ndarray, bias: float = 0.0) -> DataFrame:
-    """trade_date, ts_code, score of a fitted linear model, batch by batch; its shape is checked before the job starts."""
-    weights = np.asarray(weights, float)
-    if weights.shape != (len(factors),):
-        raise ValueError(f"{len(factors)} factors need as many weights, not {weights.shape}")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.nan_to_num(pdf[factors].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0)
-            s = np.zeros(len(pdf))
-            for j, w in enumerate(weights):  # one factor after another, so the sum doesn't depend on the batch
-                s += x[:, j] * w
-            yield pd.DataFrame({"trade_date": pdf["trade_date"], "ts_code": pdf["ts_code"], "score": s + bias})
-
-    return panel.select("trade_date", "ts_code", *factors).mapInPandas(score, "trade_date date, ts_code string, score double")
+def batch_scored(panel: DataFrame, factors: list[str], weights: list[float], bias: float = 0.0) -> DataFrame:
+    """trade_date, ts_code, score of a fitted linear model; what isn't finite counts as zero.  Its shape is checked before the job starts."""
+    weights = [float(w) for w in weights]
+    if len(weights) != len(factors):
+        raise ValueError(f"{len(factors)} factors need as many weights, not {len(weights)}")
+    value = lambda f: F.when(~F.isnan(f) & (F.abs(f) < float("inf")), F.col(f)).otherwise(0.0)
+    score = sum((value(f) * w for f, w in zip(factors, weights)), F.lit(0.0)) + bias
+    return panel.select("trade_date", "ts_code", score.alias("score"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared
 from ..operators import rewards as w
 from ..operators import rules as r
 from ..sources.panel import TRAINING_SQL, training_panel
@@ -60,8 +60,7 @@ def overlap(spark, sf_dir):
 
 
 def observations(spark, sf_dir):
-    df = grid(spark, sf_dir).where("trade_date < '1996-01-01'")
-    rows = df.groupBy("trade_date").agg(F.array_sort(F.collect_list(F.struct("ts_code", *FACTORS))).alias("s"))  # one day's stocks
+    rows = grid(spark, sf_dir).groupBy("trade_date").agg(F.array_sort(F.collect_list(F.struct("ts_code", *FACTORS))).alias("s"))  # one day's stocks
     flat = F.flatten(F.transform("s", lambda x: F.array(*[x[f] for f in FACTORS])))
     return rows.select("trade_date", F.size(flat).alias("n"), F.array_join(F.transform(flat, lambda v: F.when(F.isnan(v), "nan").otherwise(F.round(v, 2).cast("decimal(18,2)").cast("string"))), ",").alias("observation"))
 
@@ -70,6 +69,13 @@ def weights(spark, sf_dir):
     return out(r.projected_weights(scores(spark, sf_dir, "alpha_001"), 0.2, 0.3))
 
 
+def weight_steps(spark, sf_dir):
+    """Projected weights, their returns, turnover and cost, and the day's reward by each rule."""
+    rows = r.masked_returns(scores(spark, sf_dir, "alpha_001"), by_board=False)
+    own = shared(r.projected_weights(rows, 0.2, 0.3), "weights")
+    return out(w.weight_steps(own, rows.select("trade_date", "ts_code", "masked_ret"), 30.0, 0.001))
+
+
 def equal_weights(spark, sf_dir):
     """Weights of capped picks on the whole grid, so that rewards have an exact counterpart in SQL."""
     g = r.masked_returns(scores(spark, sf_dir, "alpha_001"))
@@ -89,7 +95,7 @@ def simple(spark, sf_dir):
 
 
 def mean_variance(spark, sf_dir):
-    rows = equal_weights(spark, sf_dir).where("trade_date < '1996-06-01'")
+    rows = equal_weights(spark, sf_dir)
     return out(w.mean_variance(rows.select("trade_date", "ts_code", "weight"), rows, 2.0))
 
 
@@ -99,7 +105,7 @@ def advantages(spark, sf_dir):
 
 
 def scored(spark, sf_dir):
-    return out(r.batch_scored(grid(spark, sf_dir), FACTORS, np.array([0.5, -1.0, 0.25, 2.0, 0.125]), 0.5))
+    return out(r.batch_scored(grid(spark, sf_dir), FACTORS, [0.5, -1.0, 0.25, 2.0, 0.125], 0.5))
 
 
 _LIVE = f"""(CASE WHEN board IS NULL THEN abs(pct_chg) < 0.095 ELSE NOT (pct_chg >= ({_BASE}) - 1e-3 OR pct_chg <= -({_BASE}) + 1e-3) END
@@ -111,6 +117,34 @@ capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trade_date O
 weights AS (SELECT m.*, CASE WHEN c.ts_code IS NULL THEN 0.0 ELSE 0.125 END::DOUBLE AS weight FROM masked m LEFT JOIN (SELECT trade_date, ts_code FROM capped) c USING (trade_date, ts_code)),
 moved AS (SELECT *, abs(weight - coalesce(lag(weight) OVER (PARTITION BY ts_code ORDER BY trade_date), 0)) AS move FROM weights),
 daily AS (SELECT trade_date, sum(weight * masked_ret) AS ret, sum(move) AS turnover FROM moved GROUP BY trade_date)"""
+
+
+def _nearest(name: str, source: str) -> str:
+    """CTEs name_p, name_g, name_s and name: source (with target and cap) with the day's nearest capped weights."""
+    falling = "OVER (PARTITION BY trade_date ORDER BY x DESC, step DESC, ts_code)"
+    return f""", {name}_p AS (SELECT *, sum(step) {falling} AS growing, row_number() {falling} AS nth, lag(x) {falling} AS last_x FROM (
+  SELECT *, sum(cap) OVER (PARTITION BY trade_date) AS reach, unnest([1, -1]) AS step, unnest([target, target - cap]) AS x FROM {source})),
+{name}_g AS (SELECT *, sum(coalesce((growing - step) * (last_x - x), 0)) {falling} AS total FROM {name}_p),
+{name}_s AS (SELECT trade_date, arg_max(CASE WHEN growing > 0 THEN x - (1 - total) / growing ELSE x END, nth) AS shift FROM {name}_g WHERE total <= 1 GROUP BY 1),
+{name} AS (SELECT * EXCLUDE (free), CASE WHEN sum(free) OVER (PARTITION BY trade_date) >= 1e-8 THEN free / sum(free) OVER (PARTITION BY trade_date) ELSE 0 END AS weight FROM (
+  SELECT trade_date, ts_code, industry_code, masked_ret, target, cap, CASE WHEN reach < 1 - 1e-9 THEN cap ELSE greatest(0, least(cap, target - shift)) END AS free
+  FROM {name}_g JOIN {name}_s USING (trade_date) WHERE step = 1))"""
+
+
+def _rounds(position: float, share: float) -> str:
+    """CTEs that end in p10: the projected weights after all rounds."""
+    text = f""", soft AS (SELECT *, CASE WHEN open THEN exp(score - max(CASE WHEN open THEN score END) OVER (PARTITION BY trade_date)) ELSE 0 END AS raw FROM (
+  SELECT * REPLACE (CASE WHEN abs(pct_chg) < 0.095 AND NOT is_st AND NOT is_suspended AND days_since_ipo >= 60 THEN fwd_ret ELSE 0 END AS masked_ret),
+    abs(pct_chg) < 0.095 AND NOT is_st AND NOT is_suspended AND days_since_ipo >= 60 AS open FROM masked)),
+aimed AS (SELECT *, CASE WHEN sum(raw) OVER (PARTITION BY trade_date) > 0 THEN raw / sum(raw) OVER (PARTITION BY trade_date) ELSE 0 END AS target, CASE WHEN open THEN {position} ELSE 0 END::DOUBLE AS cap FROM soft)"""
+    text += _nearest("p0", "aimed")
+    for k in range(1, 11):
+        text += f""", c{k} AS (SELECT * EXCLUDE (weight, cap, held), CASE WHEN held > {share} + 1e-9 THEN least(cap, weight * ({share} / held)) ELSE cap END AS cap
+  FROM (SELECT *, sum(weight) OVER (PARTITION BY trade_date, industry_code) AS held FROM p{k - 1}))"""
+        text += _nearest(f"p{k}", f"c{k}")
+    return text
+
+
 _RECENT = "OVER (ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 
 QUERIES = {
@@ -123,6 +157,7 @@ QUERIES = {
     "rule_overlap_rewards": overlap,
     "rule_observations": observations,
     "rule_projected_weights": weights,
+    "reward_weight_steps": weight_steps,
     "reward_simple": simple,
     "reward_portfolio_returns": lambda s, d: out(series(s, d)),
     "reward_sharpe": lambda s, d: out(w.rewards(series(s, d), "sharpe")),
@@ -153,6 +188,19 @@ ORACLES = {
         "by_board flat",
     ),
     "rule_industry_cap": final(_MASKED, "SELECT trade_date, ts_code, place AS rank FROM capped", "trade_date ts_code rank"),
+    "rule_projected_weights": final(_MASKED + _rounds(0.2, 0.3), "SELECT trade_date, ts_code, weight FROM p10", "trade_date ts_code", "weight"),
+    "reward_weight_steps": final(
+        _MASKED + _rounds(0.2, 0.3) + """, went AS (SELECT *, abs(weight - coalesce(lag(weight) OVER (PARTITION BY ts_code ORDER BY trade_date), 0)) AS move FROM p10),
+        went_day AS (SELECT trade_date, sum(weight * masked_ret) AS ret, sum(move) AS turnover FROM went GROUP BY 1),
+        spread AS (SELECT trade_date, avg(r) - coalesce(var_samp(r), 0) AS mean_variance FROM (
+          SELECT a.trade_date, b.trade_date AS past, sum(a.weight * b.masked_ret) AS r FROM p10 a JOIN p10 b ON a.ts_code = b.ts_code AND b.trade_date <= a.trade_date GROUP BY 1, 2) GROUP BY 1),
+        rated AS (SELECT trade_date, ret, turnover, mean_variance, CASE WHEN turnover > 1e-6 THEN 0.003 ELSE 0 END + 0.001 * turnover AS cost,
+          avg(ret) """ + _RECENT + " / greatest(coalesce(stddev_samp(ret) " + _RECENT + ", 0), 1e-8) * sqrt(252) AS sharpe, avg(ret) " + _RECENT + " / greatest(sqrt(avg(pow(least(ret, 0), 2)) " + _RECENT + """), 1e-8) * sqrt(252) AS sortino
+          FROM went_day JOIN spread USING (trade_date))""",
+        "SELECT trade_date, ret, turnover, cost, ret - cost AS by_return, sharpe - cost AS by_sharpe, sortino - cost AS by_sortino, mean_variance - cost AS by_mean_variance FROM rated",
+        "trade_date",
+        "ret turnover cost by_return by_sharpe by_sortino by_mean_variance",
+    ),
     "rule_daily_rewards": final(
         _MASKED,
         """SELECT *, sum(reward) OVER (ORDER BY trade_date) AS cumulative_reward FROM (
@@ -171,7 +219,7 @@ ORACLES = {
     ),
     "rule_observations": f"""WITH {GRID_SQL} SELECT trade_date::VARCHAR AS trade_date, (count(*) * {len(FACTORS)})::INT AS n,
       string_agg({" || ',' || ".join(f"CASE WHEN isnan({f}) THEN 'nan' ELSE round({f}, 2)::DECIMAL(18,2)::VARCHAR END" for f in FACTORS)}, ',' ORDER BY ts_code) AS observation
-      FROM grid WHERE trade_date < DATE '1996-01-01' GROUP BY trade_date""",
+      FROM grid GROUP BY trade_date""",
     "reward_simple": final(_MASKED, "SELECT *, ret - CASE WHEN turnover > 1e-6 THEN 0.003 ELSE 0 END - 0.001 * turnover AS reward FROM daily", "trade_date", "ret turnover reward"),
     "reward_portfolio_returns": final(_MASKED, "SELECT * FROM daily", "trade_date", "ret"),
     "reward_sharpe": final(_MASKED, f"SELECT trade_date, avg(ret) {_RECENT} / greatest(coalesce(stddev_samp(ret) {_RECENT}, 0), 1e-8) * sqrt(252) AS reward FROM daily", "trade_date", "reward"),
@@ -180,7 +228,7 @@ ORACLES = {
         _MASKED,
         """SELECT trade_date, avg(r) - 2 * coalesce(var_samp(r), 0) AS value FROM (
              SELECT a.trade_date, b.trade_date AS past, sum(a.weight * b.masked_ret) AS r FROM weights a JOIN weights b ON a.ts_code = b.ts_code AND b.trade_date <= a.trade_date
-             WHERE a.trade_date < DATE '1996-06-01' GROUP BY 1, 2) GROUP BY 1""",
+             GROUP BY 1, 2) GROUP BY 1""",
         "trade_date",
         "value",
     ),

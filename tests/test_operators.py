@@ -100,20 +100,51 @@ def test_capped_selection_is_the_greedy_one(spark):
         assert {r.ts_code for r in rules.capped_top_k(df, k).collect()} == set(taken)
 
 
-def test_projection_keeps_its_bounds():
+def nearest(target, cap):
+    """The nearest weights of one day, by trying every pair of sets (free, at the cap) that sorting by the shift gives."""
+    if cap.sum() < 1 - 1e-9:
+        return cap / cap.sum() if cap.sum() >= 1e-8 else cap * 0
+    edges = np.sort(np.concatenate([target, target - cap]))
+    low, high = edges[0] - 1, edges[-1]
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if np.clip(target - middle, 0, cap).sum() > 1 else (low, middle)
+    return np.clip(target - high, 0, cap)
+
+
+def test_nearest_capped_weights(spark):
     rng = np.random.default_rng(3)
-    for _ in range(50):
-        n = int(rng.integers(5, 60))
-        live, industry = rng.random(n) < 0.8, rng.integers(0, 5, n)
-        w = rules.day_weights(rng.normal(0, 2, n), live, industry, 0.1, 0.4)
-        assert (w >= 0).all() and (w[~live] == 0).all()
-        if live.any():
-            assert w.sum() == pytest.approx(1)
-        if live.sum() * 0.1 > 1.05:
-            assert w.max() <= 0.1 + 1e-6 or w.max() <= 1.2 / live.sum()
-    assert rules.day_weights(np.zeros(3), np.zeros(3, bool), None, 0.5, 1.0).sum() == 0
-    assert np.allclose(rules.simplex_upper(np.array([0.6, 0.3, 0.1]), np.array([0.5, 0.5, 0.5])), [0.5, 0.35, 0.15])
-    assert np.allclose(rules.simplex_upper(np.array([0.6, 0.4]), np.array([0.3, 0.1])), [0.75, 0.25])
+    rows, want = [], {}
+    for d in range(40):
+        n = int(rng.integers(1, 40))
+        target = rng.dirichlet(np.full(n, 0.3))
+        cap = np.where(rng.random(n) < 0.8, rng.choice([0.01, 0.1, 0.3], n), 0.0)
+        if d == 0:
+            target, cap = np.array([0.6, 0.3, 0.1]), np.array([0.5, 0.5, 0.5])
+        if d == 1:
+            target, cap = np.array([0.6, 0.4]), np.array([0.3, 0.1])
+        if d == 2:
+            target, cap = np.array([0.25] * 4), np.array([0.25] * 4)
+        day = dt.date(2024, 1, 1) + dt.timedelta(d)
+        rows += [(day, f"{j:03}", float(t), float(c)) for j, (t, c) in enumerate(zip(target, cap))]
+        want |= {(day, f"{j:03}"): v for j, v in enumerate(nearest(target, cap))}
+    got = rules.nearest_capped(spark.createDataFrame(rows, "trade_date date, ts_code string, target double, cap double"), "weight").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.weight == pytest.approx(want[r.trade_date, r.ts_code], abs=1e-9)
+    assert [round(r.weight, 12) for r in sorted(got, key=lambda r: (r.trade_date, r.ts_code))[:5]] == [0.5, 0.35, 0.15, 0.75, 0.25]
+
+
+def test_projected_weights_keep_their_bounds(spark):
+    rng = np.random.default_rng(4)
+    rows = [(dt.date(2024, 1, 1 + d), f"{j:03}", float(rng.normal(0, 2)), int(j % 5), d == 9 or bool(rng.random() < 0.2)) for d in range(10) for j in range(60)]
+    df = spark.createDataFrame(rows, "trade_date date, ts_code string, score double, industry_code int, is_st boolean")
+    df = df.select("*", F.lit(0.0).alias("pct_chg"), F.lit(False).alias("is_suspended"), F.lit(100).alias("days_since_ipo"))
+    got = rules.projected_weights(df, 0.05, 0.3).toPandas().merge(df.toPandas(), on=["trade_date", "ts_code"])
+    assert len(got) == 600 and (got.weight >= 0).all() and (got.weight[got.is_st] == 0).all()
+    days = got.groupby("trade_date").weight.sum()
+    assert days.iloc[:9].to_numpy() == pytest.approx(1) and days.iloc[9] == 0
+    assert got.weight.max() <= 0.05 + 1e-9 and got.groupby(["trade_date", "industry_code"]).weight.sum().max() <= 0.3 + 1e-6
 
 
 def test_price_limits(spark):
@@ -125,9 +156,9 @@ def test_price_limits(spark):
 
 def test_batch_scoring_checks_shapes(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 1), "a", 1.0, None)], "trade_date date, ts_code string, f double, g double")
-    assert rules.batch_scored(df, ["f", "g"], np.array([2.0, 5.0]), 1.0).first().score == 3.0
+    assert rules.batch_scored(df, ["f", "g"], [2.0, 5.0], 1.0).first().score == 3.0
     with pytest.raises(ValueError):
-        rules.batch_scored(df, ["f"], np.array([1.0, 2.0]))
+        rules.batch_scored(df, ["f"], [1.0, 2.0])
 
 
 def test_wide_join_rejects_repeated_keys(spark):
