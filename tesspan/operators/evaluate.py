@@ -104,7 +104,7 @@ def without_tail(scores: DataFrame, period: int) -> DataFrame:
     last = dates.withColumn("back", F.row_number().over(Window.orderBy(F.desc("trade_date"))))  # one row per date
     n = F.count(F.lit(1)).over(Window.partitionBy())
     kept = last.withColumn("n", n).where((F.col("back") > period) | (F.col("n") <= period)).select("trade_date")
-    return scores.join(F.broadcast(kept), "trade_date", "left_semi")  # at most one row per date of the panel
+    return scores.join(kept, "trade_date", "left_semi")
 
 
 def hashed_noise(*parts: Column) -> Column:
@@ -149,28 +149,31 @@ def daily_series(scores: DataFrame, k: int) -> DataFrame:
     return days.withColumn("equity", F.product(F.col("ret") + 1.0).over(so_far))
 
 
-def shuffled_by_day(panel: DataFrame, columns: list[str], seed: int = 0) -> DataFrame:
-    """panel with the given columns dealt anew among the codes of each day, all by one permutation."""
-    day = Window.partitionBy("trade_date")
-    keyed = panel.withColumn("to", F.row_number().over(day.orderBy("ts_code")))
-    drawn = panel.select("trade_date", "ts_code", *columns)
-    drawn = drawn.withColumn("to", F.row_number().over(day.orderBy(hashed_noise(F.lit(seed), F.col("trade_date"), F.col("ts_code")), "ts_code"))).drop("ts_code")
-    return keyed.drop(*columns).join(drawn, ["trade_date", "to"]).select(*panel.columns)
+def shuffled_by_day(panel: DataFrame, columns: list[str], seed: int | str = 0) -> DataFrame:
+    """panel with the given columns dealt anew among the codes of each day, all by one permutation.
+
+    seed: a number, or the name of a column of seeds; then each seed's rows are dealt among themselves.
+    """
+    by = ["trade_date"] if isinstance(seed, int) else [seed, "trade_date"]
+    noise = hashed_noise(F.lit(seed) if isinstance(seed, int) else F.col(seed), F.col("trade_date"), F.col("ts_code"))
+    keyed = panel.withColumn("to", F.row_number().over(Window.partitionBy(*by).orderBy("ts_code")))
+    drawn = panel.select(*by, *columns, F.row_number().over(Window.partitionBy(*by).orderBy(noise, "ts_code")).alias("to"))
+    return keyed.drop(*columns).join(drawn, [*by, "to"]).select(*panel.columns)
 
 
-def permutation_importance(panel: DataFrame, factors: list[str], weights: dict[str, float], k: int, seeds: int = 3) -> DataFrame:
+def permutation_importance(panel: DataFrame, factors: list[str], weights: dict[str, float], k: int, seeds: int = 5) -> DataFrame:
     """prefix, mean and deviation over seeds of the drop in IC and legacy Sharpe of a linear scorer when its factors are shuffled."""
     score = sum((F.col(f) * weights.get(f, 0.0) for f in factors), F.lit(0.0))
     base = panel.withColumn("score", score)
     groups: dict[str, list[str]] = {}
     for f in factors:
         groups.setdefault(f.split("_")[0], []).append(f)
+    rows = panel.select("trade_date", "ts_code", "fwd_ret", *factors).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     runs = None
     for prefix, columns in groups.items():
-        for seed in range(seeds):
-            run = shuffled_by_day(panel, columns, seed).withColumn("score", score)
-            run = run.select(F.lit(prefix).alias("prefix"), F.lit(seed).alias("seed"), "trade_date", "ts_code", "score", "fwd_ret")
-            runs = run if runs is None else runs.unionByName(run)
+        run = shuffled_by_day(rows, columns, "seed")
+        run = run.select(F.lit(prefix).alias("prefix"), "seed", "trade_date", "ts_code", score.alias("score"), "fwd_ret")
+        runs = run if runs is None else runs.unionByName(run)
     by = ["prefix", "seed"]
     got = ic_summary(daily_ic(runs, by), by).join(sharpes(top_k_returns(runs, k, by), 1, by), by)
     own = ic_summary(daily_ic(base)).crossJoin(sharpes(top_k_returns(base, k)).select("legacy")).select(F.col("ic").alias("ic0"), F.col("legacy").alias("legacy0"))

@@ -85,7 +85,7 @@ def daily_rewards(panel: DataFrame, k: int, cost_bps: float = 30.0, penalty: flo
     picks = capped_top_k(masked_returns(panel), k)
     days = Window.orderBy("trade_date")  # one row per date
     order = picks.select("trade_date").distinct().withColumn("day", F.row_number().over(days))
-    picks = picks.join(F.broadcast(order), "trade_date")  # at most one row per date of the panel
+    picks = picks.join(order, "trade_date")
     before = picks.select((F.col("day") + 1).alias("day"), "ts_code", F.lit(1).alias("kept"))
     got = picks.join(before, ["day", "ts_code"], "left").groupBy("day", "trade_date").agg(
         F.avg("masked_ret").alias("portfolio_return"), F.count(F.lit(1)).alias("n"), F.count("kept").alias("kept")

@@ -137,9 +137,25 @@ def _rolling(op: str, n: int, x: list[Column], extra: tuple) -> Column:
     raise KeyError(op)
 
 
-def ewm_rows(alpha: float) -> int:
-    """Rows after which the remaining weights are below 2^-60 of the whole."""
-    return max(1, math.ceil(60 * math.log(2) / -math.log(1 - alpha)))
+def ewm_block(alpha: float) -> int:
+    """Rows of a block: over one, weights change by less than a million."""
+    return max(1, int(math.log(1e6) / -math.log(1 - alpha)))
+
+
+def with_ewm(df: DataFrame, e: E, own: str, names: dict[E, str]) -> DataFrame:
+    """df with own_n, own_s and own_b, from which the exponential mean of all rows so far follows without a fold over them.
+
+    Non-null rows are numbered (own_n, from 0) and dealt into blocks; inside one a running sum of values over falling
+    weights gives the weighted sum since the block's start (own_s), and own_b lists what the blocks before ended with.
+    """
+    x, keep, size = rows(e.args[0], names), 1 - e.params[0], ewm_block(e.params[0])
+    so_far = _stock().rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn(f"{own}_n", F.count(x).over(so_far) - 1)
+    place, block = F.pmod(f"{own}_n", F.lit(size)), F.floor(F.col(f"{own}_n") / size)
+    inside = Window.partitionBy(STOCK, f"{own}_k").orderBy(DAY).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn(f"{own}_k", block).withColumn(f"{own}_s", F.sum(x * F.pow(F.lit(1 / keep), place)).over(inside) * F.pow(F.lit(keep), place))
+    ended = F.when(x.isNotNull() & (place == size - 1), F.col(f"{own}_s"))
+    return df.withColumn(f"{own}_b", F.collect_list(ended).over(_stock().rowsBetween(Window.unboundedPreceding, -1))).drop(f"{own}_k")
 
 
 def window(e: E, names: dict[E, str]) -> Column:
@@ -147,20 +163,12 @@ def window(e: E, names: dict[E, str]) -> Column:
     if e.kind == "ts":
         if e.op == "index":
             return (F.row_number().over(_stock()) - 1).cast("double")
-        so_far = _stock().rowsBetween(Window.unboundedPreceding, 0)
-        if e.op == "running":
-            return F.sum(x[0]).over(so_far)
-        if e.op == "first":
-            return F.first(F.when(~F.isnan(x[0]) & (F.abs(x[0]) < INF), x[0]), ignorenulls=True).over(so_far)
         if e.op == "ewm":
-            keep = 1 - e.params[0]
-            held = F.collect_list(x[0]).over(_stock().rowsBetween(-ewm_rows(e.params[0]), 0))
-            start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-            folded = F.aggregate(held, start, lambda t, v: F.struct((t["s"] * keep + v).alias("s"), (t["w"] * keep + 1.0).alias("w")), lambda t: t["s"] / t["w"])
-            # what isn't finite never leaves the mean, however long ago it was
-            lasting = F.when(F.isnan(x[0]) | (F.abs(x[0]) == INF), x[0]).otherwise(0.0)
-            lasting = F.sum(lasting).over(so_far)
-            return F.when(x[0].isNotNull(), folded + lasting)
+            keep, size, own = 1 - e.params[0], ewm_block(e.params[0]), names[e]
+            before = F.aggregate(f"{own}_b", F.lit(0.0), lambda t, v: t * keep**size + v)
+            n = F.col(f"{own}_n")
+            total = F.col(f"{own}_s") + before * F.pow(F.lit(keep), F.pmod(n, F.lit(size)) + 1)
+            return F.when(x[0].isNotNull(), total * (F.lit(1 - keep) / (1 - F.pow(F.lit(keep), n + 1))))
         return _rolling(e.op, e.params[0], x, e.params[1:])
     day = Window.partitionBy(DAY)
     if e.op == "rank":
@@ -179,16 +187,60 @@ def window(e: E, names: dict[E, str]) -> Column:
     raise KeyError(e.op)
 
 
+#: How often an operator's column mentions its arguments.
+_MENTIONS = {"div": (5, 2), "log": (4,), "sign": (2,), "clip": (4, 1, 1), "is_finite": (2,), "fill_nan": (2, 1), "nan_to_null": (2,)}
+
+
+def named(df: DataFrame, roots: list[E], have: dict[E, str]) -> DataFrame:
+    """df with a column for every row expression below the roots that is used more than once, so that no plan holds it twice.
+
+    roots are counted as often as they are given.  have gets the new names.
+    """
+    uses: dict[E, int] = {}
+    order: list[E] = []
+
+    def visit(e: E, times: int) -> None:
+        known = e in uses
+        uses[e] = uses.get(e, 0) + times
+        if known or e in have or e.op in ("col", "lit"):
+            return
+        for a, n in zip(e.args, _MENTIONS.get(e.op, (1,) * len(e.args))):
+            visit(a, n)
+        order.append(e)
+
+    for r in roots:
+        visit(r, 1)
+    layer: dict[E, int] = {}  # of the expressions to be named, those below them first
+
+    def depth(e: E) -> int:
+        return max([0, *(layer[a] if a in layer else depth(a) for a in e.args if a not in have and a.op not in ("col", "lit"))])
+
+    for e in order:
+        if uses[e] > 1:
+            layer[e] = depth(e) + 1
+    for k in range(1, max(layer.values(), default=0) + 1):
+        now = {e: f"n{len(have) + j}" for j, e in enumerate(e for e in layer if layer[e] == k)}
+        df = df.select("*", *[rows(e, have).alias(name) for e, name in now.items()])
+        have |= now
+    return df
+
+
 def computed(panel: DataFrame, wanted: dict[str, E], keys: tuple[str, ...] = (STOCK, DAY)) -> DataFrame:
-    """panel's keys and the wanted expressions, all planned together."""
+    """panel's keys and the wanted expressions as doubles, all planned together."""
     found = plan(list(wanted.values()))
     have: dict[E, str] = {}
     df = panel
     for stage in found.stages:
-        if stage.inputs:
-            df = df.select("*", *[rows(e, have).alias(found.names[e]) for e in stage.inputs])
-            have |= {e: found.names[e] for e in stage.inputs}
-        df = df.select("*", *[window(e, have).alias(found.names[e]) for e in stage.windows])
+        df = named(df, stage.inputs, have)
+        new = [e for e in stage.inputs if e not in have]
+        if new:
+            df = df.select("*", *[rows(e, have).alias(found.names[e]) for e in new])
+            have |= {e: found.names[e] for e in new}
+        ewms = {e: found.names[e] for e in stage.windows if e.op == "ewm"}
+        for e, own in ewms.items():
+            df = with_ewm(df, e, own, have)
+        df = df.select("*", *[window(e, have | ewms).alias(found.names[e]) for e in stage.windows])
+        df = df.drop(*[f"{own}_{c}" for own in ewms.values() for c in "nsb"])
         have |= {e: found.names[e] for e in stage.windows}
-    number = lambda e: rows(e, have).cast("double")
-    return df.select(*keys, *[published(number(e)).alias(name) for name, e in wanted.items()])
+    df = named(df, list(wanted.values()), have)
+    return df.select(*keys, *[rows(e, have).cast("double").alias(name) for name, e in wanted.items()])

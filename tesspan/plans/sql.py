@@ -71,10 +71,6 @@ def window(e: E, names: dict[E, str], own: str) -> tuple[list[str], str]:
     if e.op == "index":
         return raws, f"({raw(f'row_number() OVER ({_STOCK})')} - 1)::DOUBLE"
     a = x[0]
-    if e.op == "running":
-        return raws, raw(f"sum({a}) OVER ({_STOCK} ROWS UNBOUNDED PRECEDING)")
-    if e.op == "first":
-        return raws, raw(f"first_value(CASE WHEN isfinite({a}) THEN {a} END IGNORE NULLS) OVER ({_STOCK} ROWS UNBOUNDED PRECEDING)")
     if e.op == "ewm":
         keep = 1 - e.params[0]
         every = raw(f"list({a}) FILTER ({a} IS NOT NULL) OVER ({_STOCK} ROWS UNBOUNDED PRECEDING)")

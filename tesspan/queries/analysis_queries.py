@@ -9,7 +9,7 @@ from ..operators import execution as x
 from ..plans.sql import trimmed
 from ..sources.panel import TRAINING_SQL, training_panel
 from .base import GRID_SQL, K, PERIOD, final, grid, members, out, scores
-from .evaluate_queries import sharpes_sql
+from .evaluate_queries import SIM_NOISE, sharpes_sql
 
 QUARTERS = [("first", "1995-07-01", "1995-09-30"), ("second", "1995-10-01", "1996-03-31"), ("whole", "1995-01-01", "2001-12-31")]
 
@@ -23,7 +23,7 @@ def dates(spark, sf_dir):
 
 def quarters(spark, sf_dir):
     rows = spark.createDataFrame(QUARTERS, "label string, a string, b string").select("label", F.to_date("a").alias("first_date"), F.to_date("b").alias("last_date"))
-    live = scores(spark, sf_dir).join(F.broadcast(dates(spark, sf_dir)), "trade_date", "left_semi")  # one row per date
+    live = scores(spark, sf_dir).join(dates(spark, sf_dir), "trade_date", "left_semi")
     return live, rows
 
 
@@ -79,6 +79,15 @@ def _summary_sql(rows: str, order: str) -> str:
       sum(net) AS total, min(fall) AS max_drawdown FROM (SELECT *, equity / max(equity) OVER (ORDER BY {order}) - 1 AS fall FROM (SELECT *, exp(sum(net) OVER (ORDER BY {order})) AS equity FROM {rows}))"""
 
 
+def _random_sql(sims: int) -> str:
+    """CTEs after the signals, which don't hang on scores: one row per random scoring with its Sharpe over the first sleeve."""
+    return f""", sim_entered AS (
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sim, day ORDER BY score DESC, ts_code) AS r FROM (
+        SELECT sim, day, trade_date, ts_code, gross, {SIM_NOISE.format(sim='sim::VARCHAR')} AS score FROM signals, range({sims}) s(sim) WHERE eligible AND day < (SELECT n FROM n_days) - 11)) WHERE r <= {K}),
+    sim_net AS (SELECT sim, day, avg(gross) - 0.003 AS net FROM sim_entered WHERE day % 10 = 0 GROUP BY sim, day HAVING avg(gross) IS NOT NULL),
+    sim_sharpe AS (SELECT sim, CASE WHEN stddev_samp(net) > 1e-12 THEN avg(net) / stddev_samp(net) * sqrt(25.2) ELSE 0 END AS sharpe FROM sim_net GROUP BY sim HAVING count(*) >= 2)"""
+
+
 _TRADES = GRID_SQL.replace("mf_000 AS score", "mf_000 AS score", 1) + ", " + _LIVE_TRADES
 
 QUERIES = {
@@ -209,4 +218,10 @@ ORACLES = {
     "execution_trades": final(_TRADES, "SELECT trade_date, ts_code, eligible, gross, CASE WHEN gross IS NOT NULL THEN deferred END AS deferred FROM signals", "trade_date ts_code eligible", "gross deferred"),
     "execution_non_overlapping": final(_TRADES, f"SELECT * FROM ({_summary_sql('(SELECT * FROM turned WHERE sleeve = 0)', 'day')}), {_RATES}", "n failed attempts late", "mean std sharpe total max_drawdown turnover"),
     "execution_daily_sleeves": final(_TRADES, _summary_sql("(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY sleeve) AS own FROM turned) WHERE own >= 2)", "sleeve, day"), "n", "mean std sharpe max_drawdown"),
+    "execution_random": final(
+        _TRADES + _random_sql(20),
+        "SELECT count(*) AS n_sims, avg(sharpe) AS mean_sharpe, quantile_cont(sharpe, 0.5) AS p50_sharpe, quantile_cont(sharpe, 0.95) AS p95_sharpe FROM sim_sharpe",
+        "n_sims",
+        "mean_sharpe p50_sharpe p95_sharpe",
+    ),
 }

@@ -5,9 +5,8 @@ from __future__ import annotations
 from ..operators import evaluate as e
 from .base import GRID_SQL, K, PERIOD, final, grid, out, scores
 
-SIMS = 8
-_HASH = "(('0x' || substr(md5('0|' || {sim} || '|' || trade_date::VARCHAR || '|' || ts_code), 1, 12))::UBIGINT::DOUBLE / 281474976710656.0)"
-
+SIMS, SEEDS = 100, 5
+SIM_NOISE = "(('0x' || substr(md5('0|' || {sim} || '|' || trade_date::VARCHAR || '|' || ts_code), 1, 12))::UBIGINT::DOUBLE / 281474976710656.0)"
 
 
 def sharpes_sql(rets: str, period: int, by: str = "", extra: str = "") -> str:
@@ -25,7 +24,7 @@ def sharpes_sql(rets: str, period: int, by: str = "", extra: str = "") -> str:
 
 
 _SIM = f""", sims AS (
-  SELECT s AS sim, trade_date, ts_code, fwd_ret, {_HASH.format(sim='s::VARCHAR')} AS score FROM grid, range({SIMS}) r(s)
+  SELECT s AS sim, trade_date, ts_code, fwd_ret, {SIM_NOISE.format(sim='s::VARCHAR')} AS score FROM grid, range({SIMS}) r(s)
 ), sim_rets AS (
   SELECT sim, trade_date, avg(fwd_ret) AS ret FROM (
     SELECT *, row_number() OVER (PARTITION BY sim, trade_date ORDER BY score DESC, ts_code) AS rank, count(*) OVER (PARTITION BY sim, trade_date) AS n FROM sims)
@@ -50,7 +49,7 @@ _IMPORTANCE = ["alpha_001", "mfp_000"]
 
 
 def importance(spark, sf_dir):
-    return out(e.permutation_importance(grid(spark, sf_dir), _IMPORTANCE, _W, K, seeds=2))
+    return out(e.permutation_importance(grid(spark, sf_dir), _IMPORTANCE, _W, K, seeds=SEEDS))
 
 
 def shuffled(spark, sf_dir):
@@ -58,7 +57,7 @@ def shuffled(spark, sf_dir):
 
 
 def _shuffle_sql(seed: str, cols: list[str]) -> str:
-    noise = _HASH.replace("'0|' || {sim} || '|'", f"'{seed}|'")
+    noise = SIM_NOISE.replace("'0|' || {sim} || '|'", f"'{seed}|'")
     drawn = ", ".join(f"d.{c}" for c in cols)
     return f"""SELECT k.* EXCLUDE (slot, {', '.join(cols)}), {drawn} FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY ts_code) AS slot FROM grid) k
       JOIN (SELECT trade_date, {', '.join(cols)}, row_number() OVER (PARTITION BY trade_date ORDER BY {noise}, ts_code) AS slot FROM grid) d USING (trade_date, slot)"""
@@ -66,7 +65,7 @@ def _shuffle_sql(seed: str, cols: list[str]) -> str:
 
 def _importance_sql() -> str:
     score = " + ".join(f"{c} * {_W[c]}" for c in _IMPORTANCE)
-    runs = [f"SELECT '{c.split('_')[0]}' AS prefix, {seed} AS seed, trade_date, ts_code, fwd_ret, {score} AS score FROM ({_shuffle_sql(str(seed), [c])})" for c in _IMPORTANCE for seed in range(2)]
+    runs = [f"SELECT '{c.split('_')[0]}' AS prefix, {seed} AS seed, trade_date, ts_code, fwd_ret, {score} AS score FROM ({_shuffle_sql(str(seed), [c])})" for c in _IMPORTANCE for seed in range(SEEDS)]
     every = " UNION ALL ".join([f"SELECT '' AS prefix, -1 AS seed, trade_date, ts_code, fwd_ret, {score} AS score FROM grid", *runs])
     return f"""{GRID_SQL}, runs AS ({every}),
     run_ics AS (SELECT prefix, seed, trade_date, covar_pop(score, fwd_ret) / (stddev_pop(score) * stddev_pop(fwd_ret)) AS ic FROM runs GROUP BY ALL

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators.factors import compute, compute_sql, described, factors
 from ..sources.panel import PANEL_SQL
-from .base import panel
+from .base import out, panel
 
 SIZE = 12
 
@@ -23,7 +23,7 @@ GROUPS = _groups()
 
 
 def _query(ids: list[str]):
-    return lambda spark, sf_dir: compute(panel(spark, sf_dir), ids)
+    return lambda spark, sf_dir: out(compute(panel(spark, sf_dir), ids))
 
 
 QUERIES = {name: _query(ids) for name, ids in GROUPS.items()}

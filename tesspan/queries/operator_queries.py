@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import expr as x
 from ..plans.columns import computed
 from ..sources.panel import PANEL_SQL
-from .base import final, panel
+from .base import final, out, panel
 
 C, O, H, L, V, R, W = (x.col(c) for c in ("close", "open", "high", "low", "volume", "returns", "vwap"))  # noqa: E741
 _S = "(PARTITION BY stock_code ORDER BY trade_date)"
@@ -126,7 +126,7 @@ OPERATORS: dict[str, tuple[x.E, str]] = {
 
 
 def _query(e: x.E):
-    return lambda spark, sf_dir: computed(panel(spark, sf_dir), {"value": e})
+    return lambda spark, sf_dir: out(computed(panel(spark, sf_dir), {"value": e}))
 
 
 QUERIES = {f"op_{name}": _query(e) for name, (e, _) in OPERATORS.items()}

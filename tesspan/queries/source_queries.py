@@ -123,7 +123,7 @@ def user_factor(spark, sf_dir):
     """A factor that a user writes and registers, computed beside one of the catalogue."""
     text = "cs_rank(ts_mean(close / open, 5)) - ts_rank(volume, 6)"
     mine = factors.register(factors.Factor("user_strength", "alpha101", "user", "normal", 0, text))
-    return computed(panel(spark, sf_dir), {"user_strength": mine.expression, "alpha101": factors.factor("alpha101").expression})
+    return out(computed(panel(spark, sf_dir), {"user_strength": mine.expression, "alpha101": factors.factor("alpha101").expression}))
 
 
 def score_callback(spark, sf_dir):

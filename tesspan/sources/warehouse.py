@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shared import small
 from ..operators.loader import MAIN_BOARD, PREFIXES
 
-BROADCAST_ROWS = 200_000
 #: Algorithms that a training record may name.
 ALGORITHMS = ("PPO", "A2C", "SAC")
 METRICS = T.StructType(
@@ -84,35 +84,36 @@ def prefix_summary(columns: list[str]) -> dict[str, int]:
     return {p: n for p, n in counts.items() if n}
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def wide_join(fact: DataFrame, static: DataFrame | None = None, keyed: dict[str, DataFrame] | None = None, dated: dict[str, DataFrame] | None = None, industry: dict[str, DataFrame] | None = None) -> DataFrame:
     """fact (ts_code, trade_date, ...) left-joined with feature tables.
 
     static: by ts_code.  keyed: by (ts_code, trade_date); all share the fact's partitioning, so it is dealt once.
     dated: by trade_date.  industry: by (industry_code of static, trade_date).  Static, dated and industry tables are
-    broadcast if they are counted small, else shuffled.  A table with a repeated key raises ValueError: it would
-    multiply rows.
+    broadcast if they are counted small, else shuffled.  A table with a repeated key fails the job where a row of
+    fact has that key: it would multiply rows.
     """
     keys = ["ts_code", "trade_date"]
     out = fact
     for name, df in (keyed or {}).items():
-        out = out.join(_once(df, keys, name), keys, "left")
+        out = _joined(out, df, keys, name, False)
     if static is not None:
-        out = out.join(_small(_once(static, ["ts_code"], "static")), "ts_code", "left")
+        out = _joined(out, static, ["ts_code"], "static", True)
     for name, df in (dated or {}).items():
-        out = out.join(_small(_once(df, ["trade_date"], name)), "trade_date", "left")
+        out = _joined(out, df, ["trade_date"], name, True)
     for name, df in (industry or {}).items():
-        out = out.join(_small(_once(df, ["industry_code", "trade_date"], name)), ["industry_code", "trade_date"], "left")
+        out = _joined(out, df, ["industry_code", "trade_date"], name, True)
     return out
 
 
-def _once(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    if not df.groupBy(*keys).count().where("count > 1").isEmpty():
-        raise ValueError(f"{name} has a repeated key {keys}")
-    return df
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], name: str, try_small: bool) -> DataFrame:
+    """left with the columns of right.  Its keys are counted in a window that deals and sorts it as the join does, so that it is read and shuffled once."""
+    count = "_n"
+    while count in (*left.columns, *right.columns):
+        count += "_"
+    own = right.withColumn(count, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    out = left.join(small(own) if try_small else own, keys, "left")
+    once = F.when(F.coalesce(count, F.lit(1)) == 1, True).otherwise(F.raise_error(F.lit(f"{name} has a repeated key {keys}")).cast("boolean"))
+    return out.where(once).drop(count)
 
 
 def with_membership(df: DataFrame, members: DataFrame, name: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from tesspan.functions import expr as x
-from tesspan.plans.columns import computed, ewm_rows
+from tesspan.plans.columns import computed, ewm_block
 from tesspan.plans.stages import plan
 
 X, Y, C = x.col("x"), x.col("y"), x.col("c")
@@ -87,7 +88,6 @@ def test_ewm_is_the_weighted_mean(spark):
     for i, g in enumerate(got):
         assert (g is None) == (i % 7 == 0)
         assert g is None or g == pytest.approx(want[i], rel=1e-6)
-    assert ewm_rows(0.4) < 100
 
 
 def test_infinite_values_stay_in_ewm(spark):
@@ -96,16 +96,44 @@ def test_infinite_values_stay_in_ewm(spark):
     assert got[0] == 1 and set(got[1:]) == {INF}
 
 
-def test_long_windows_agree_with_short_ones(spark, monkeypatch):
-    data = [(f"S{s}", i, 1000 + ((i * 7919 + s * 31) % 97), (i * 104729 + s) % 89 + i / 7) for s in range(2) for i in range(150)]
-    df = spark.createDataFrame([(s, i, None if i == 3 else float(a), float(b)) for s, i, a, b in data], "stock_code string, trade_date int, x double, y double")
-    long = {"corr": x.ts_corr(X, Y, 70), "cov": x.ts_cov(X, Y, 70), "beta": x.ts_beta(X, Y, 70), "flat": x.ts_corr(X, Y * 0.0, 70)}
-    monkeypatch.setattr(x, "LONG", 1000)
-    short = {"corr0": x.ts_corr(X, Y, 70), "cov0": x.ts_cov(X, Y, 70), "beta0": x.ts_beta(X, Y, 70), "flat0": x.ts_corr(X, Y * 0.0, 70)}
-    for r in computed(df, long | short).collect():
-        for k in long:
-            a, b = r[k], r[f"{k}0"]
-            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, rel=1e-6, nan_ok=True))
+@pytest.mark.parametrize("n, m", [(3, 2), (22, 1), (100, 1)])
+def test_long_histories_keep_their_digits(spark, n, m):
+    """10,000 rows far from zero, with holes, against plain loops over numpy windows."""
+    rng = np.random.default_rng(n)
+    size, w = 10_000, 70
+    data = 1e6 + rng.normal(0, 1, size).cumsum() + np.where(np.arange(size) > 5000, 1e5, 0)
+    other = 1e6 + rng.normal(0, 1, size)
+    live = rng.random(size) > 0.001
+    df = spark.createDataFrame([("A", i, float(a) if k else None, float(b)) for i, (a, b, k) in enumerate(zip(data, other, live))], "stock_code string, trade_date int, x double, y double")
+    wanted = {"ewm": x.ewm(X, n, m), "corr": x.ts_corr(X, Y, w), "cov": x.ts_cov(X, Y, w), "beta": x.ts_beta(X, Y, w), "sum": x.ts_sum(X, w)}
+    got = computed(df, wanted).orderBy("trade_date").toPandas()
+    keep, s, weight = 1 - m / n, 0.0, 0.0
+    assert ewm_block(m / n) < size / 5  # many blocks
+    for i in range(size):
+        if not live[i]:
+            assert np.isnan(got["ewm"][i]) and np.isnan(got["sum"][i])
+            continue
+        s, weight = s * keep + data[i], weight * keep + 1
+        assert got["ewm"][i] == pytest.approx(s / weight, rel=1e-9)
+        if i % 37 == 0 and i >= w and live[i - w + 1 : i + 1].all():
+            a, b = data[i - w + 1 : i + 1], other[i - w + 1 : i + 1]
+            c = np.cov(a, b)
+            assert got["sum"][i] == pytest.approx(a.sum(), rel=1e-12)
+            assert got["cov"][i] == pytest.approx(c[0, 1], rel=1e-7, abs=1e-9)
+            assert got["beta"][i] == pytest.approx(c[0, 1] / c[1, 1], rel=1e-7, abs=1e-9)
+            assert got["corr"][i] == pytest.approx(np.corrcoef(a, b)[0, 1], rel=1e-7, abs=1e-9)
+
+
+def test_values_leave_as_doubles(frame):
+    assert values(frame, X / 3.0) == [(i + 1) / 3 for i in range(5)]
+
+
+def test_expressions_used_often_are_one_column(frame):
+    e = X
+    for _ in range(12):
+        e = (e + 1.0) / (e - 2.0)
+    plan_text = computed(frame, {"v": e})._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan_text) < 60_000
 
 
 def test_equal_expressions_are_one_and_share_stages():

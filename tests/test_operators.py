@@ -164,8 +164,9 @@ def test_batch_scoring_checks_shapes(spark):
 def test_wide_join_rejects_repeated_keys(spark):
     fact = spark.createDataFrame([("a", 1)], "ts_code string, trade_date int")
     twice = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 3.0)], "ts_code string, trade_date int, f double")
-    with pytest.raises(ValueError):
-        warehouse.wide_join(fact, keyed={"twice": twice})
+    for side in ({"keyed": {"twice": twice}}, {"static": twice.select("ts_code", "f")}, {"dated": {"twice": twice.select("trade_date", "f")}}):
+        with pytest.raises(Exception, match="repeated key"):
+            warehouse.wide_join(fact, **side).collect()
     assert warehouse.wide_join(fact, keyed={"once": twice.limit(1)}).first().f == 2.0
 
 
