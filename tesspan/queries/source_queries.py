@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -92,6 +94,17 @@ def parquet_round_trip(spark, sf_dir):
     return out(back)
 
 
+def database(spark, sf_dir):
+    """Suppliers put in an in-memory database of this process and read back by a query, in four ranges at once (local runs)."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    driver = "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("int").alias("K"), F.col("s_nationkey").cast("int").alias("N"), F.col("s_acctbal").cast("double").alias("B"))
+    rows.write.format("jdbc").option("url", url).option("dbtable", "SUPPLIERS").option("driver", driver).save()
+    back = w.read_database(spark, url, "SELECT K, N, B FROM SUPPLIERS WHERE N < 15", driver, split=("K", "0", "1000", 4))
+    return out(back.groupBy(F.col("N").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.max("B").alias("top")))
+
+
 def stream_windows(spark, sf_dir):
     """The events table read as a stream, hourly counts kept up to date, once through."""
     at = shared_path(spark, "stream")
@@ -149,6 +162,7 @@ QUERIES = {
     "source_prefix_summary": prefixes,
     "source_parquet_round_trip": parquet_round_trip,
     "source_json_round_trip": json_round_trip,
+    "source_database": database,
     "metrics_summary": metrics,
     "stream_hourly_events": stream_windows,
     "stream_metrics_tail": stream_tail,
@@ -191,6 +205,7 @@ ORACLES = {
         "close vol alpha_001 mfp_000 ind_change",
     ),
     "source_membership_flags": f"WITH {TRAINING_SQL} SELECT ts_code, trade_date::VARCHAR AS trade_date, is_hs300 AND vol > 300 AS in_a, is_zz500 AS in_b FROM training",
+    "source_database": final("", "SELECT s_nationkey::INT AS nation, count(*) AS n, max(s_acctbal)::DOUBLE AS top FROM supplier WHERE s_nationkey < 15 GROUP BY 1", "nation n", "top"),
     "source_prefix_summary": "SELECT * FROM (VALUES ('alpha_', 2), ('mf_', 1), ('mfp_', 1), ('gtja_', 1)) v(prefix, n)",
     "source_parquet_round_trip": final(TRAINING_SQL, "SELECT * FROM training WHERE trade_date BETWEEN DATE '1997-03-01' AND DATE '1997-06-30'", "ts_code trade_date", "close alpha_001"),
     "source_json_round_trip": _ALL,

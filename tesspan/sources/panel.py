@@ -64,6 +64,43 @@ def line_item_panel(spark: SparkSession, sf_dir: str, stocks: int | None = STOCK
     return enriched(line_item_prices(spark, sf_dir, stocks))
 
 
+def synthetic_prices(spark: SparkSession, stocks: int, days: int, start: str = "2017-01-02", seed: int = 7) -> DataFrame:
+    """A daily panel of any size: the prices that enriched() takes, hashed from (seed, stock, day), so every run has the same.
+
+    A price is its stock's level times a slow wave and a daily change; days are weekdays.  Parts are whole stocks.
+    """
+    noise = lambda name: F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "b", "d"), F.lit(1_000_003)) / 1_000_003.0
+    own = F.pmod(F.xxhash64(F.lit(seed), "b"), F.lit(10_007)) / 10_007.0
+    rows = spark.range(stocks * days).select(F.floor(F.col("id") / days).cast("int").alias("b"), F.pmod("id", F.lit(days)).cast("int").alias("d"))
+    rows = rows.withColumn("level", (own * 80 + 20) * (1 + 0.3 * F.sin(F.col("d") / 40.0 + own * 6)))
+    rows = rows.withColumn("open", F.col("level") * (0.98 + 0.04 * noise("open"))).withColumn("close", F.col("level") * (0.98 + 0.04 * noise("close")))
+    rows = rows.withColumn("volume", 1e6 * (0.5 + own) * F.exp(noise("volume")))
+    return rows.select(
+        stock_code(F.col("b")).alias("stock_code"),
+        F.date_add(F.lit(start).cast("date"), (F.floor(F.col("d") / 5) * 7 + F.pmod("d", F.lit(5))).cast("int")).alias("trade_date"),
+        "open",
+        (F.greatest("open", "close") * (1 + 0.01 * noise("high"))).alias("high"),
+        (F.least("open", "close") * (1 - 0.01 * noise("low"))).alias("low"),
+        "close",
+        "volume",
+        (F.col("close") * F.col("volume") * (0.99 + 0.02 * noise("amount"))).alias("amount"),
+        F.concat(F.lit("I"), F.pmod("b", F.lit(31)).cast("string")).alias("industry"),
+        F.concat(F.lit("S"), F.pmod("b", F.lit(97)).cast("string")).alias("sub_industry"),
+        (own * 1e6).alias("cap"),
+    )
+
+
+def synthetic_training(prices: DataFrame, factors: int = 8) -> DataFrame:
+    """synthetic_prices() in the columns that the loader takes, with as many factors as wanted."""
+    b = F.substring("stock_code", 1, 6).cast("int")
+    value = lambda k: (F.pmod(F.xxhash64(F.lit(k), "stock_code", "trade_date"), F.lit(2001)) / 1000.0 - 1.0).alias(f"alpha_{k:03}")
+    return prices.select(
+        F.col("stock_code").alias("ts_code"), "trade_date", "close", ((F.col("close") - F.col("open")) / F.col("open")).alias("pct_chg"), F.col("volume").alias("vol"),
+        F.concat(F.when(b % 50 == 3, "*ST").otherwise(""), F.lit("stock"), b.cast("string")).alias("name"), (b % 50 == 3).alias("is_st"),
+        F.lit(500).alias("days_since_ipo"), F.pmod(b, F.lit(31)).cast("smallint").alias("industry_code"), *[value(k) for k in range(factors)],
+    )
+
+
 #: The same panel for DuckDB, as common table expressions that end in `panel`.
 PANEL_SQL = """
 rows AS (
