@@ -6,8 +6,9 @@ that is if 9 |A and B| >= 4 (|A| + |B|).
 
 All shingles have one order: by hash, with those that are frequent in a sample last.  Linked
 sets share a shingle among the first |A| - ceil(4/5 |A|) + 1 of each, whatever the order is, so
-the sample decides only how much work there is.  The first shared shingle's places bound the
-overlap; what passes that bound is compared by the texts themselves.
+the sample decides only how much work there is.  Of the two sets the one whose prefix ends first has all
+further shared shingles behind its prefix; so a pair that shares c prefix shingles shares at most c and what is
+behind the longer rest.  Pairs that this bound leaves are compared by the texts themselves.
 
 First each document is compared only with the smallest of each shingle it shares, which takes a large
 group away without its pairs; then all pairs among those left are compared.  Each time the smallest
@@ -32,6 +33,8 @@ from .common import anti, hinted, saved
 from .components import components
 
 WORDS, SEED = 5, 42
+#: Documents that are compared with one copy of the text they are paired with.
+COPIES_PER_SALT = 500
 #: Documents whose shingles are counted, the count there from which a shingle is frequent, and how many of those are kept.
 SAMPLE, FREQUENT, LISTED = 10_000, 4, 200_000
 
@@ -63,7 +66,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """h, doc_id, n, at: the first shingles of every document, with the size of its set and their places."""
+    """h, doc_id, n: the first shingles of every document, with the size of its set."""
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -81,20 +84,20 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                 sizes.append(n)
             if parts:
                 long = [len(p) for p in parts]
-                at = np.concatenate([np.arange(k) for k in long])
-                yield pd.DataFrame({"h": np.concatenate(parts), "doc_id": np.repeat(pdf["doc_id"].to_numpy(), long), "n": np.repeat(sizes, long).astype(np.int32), "at": at.astype(np.int32)})
+                yield pd.DataFrame({"h": np.concatenate(parts), "doc_id": np.repeat(pdf["doc_id"].to_numpy(), long), "n": np.repeat(sizes, long).astype(np.int32)})
 
-    return docs.select("doc_id", "text").mapInPandas(rows, f"h long, doc_id {kind}, n int, at int")
+    return docs.select("doc_id", "text").mapInPandas(rows, f"h long, doc_id {kind}, n int")
 
 
 def _candidates(prefixes: DataFrame, every: bool) -> DataFrame:
-    """a < b: pairs that share a shingle whose places allow a link; unless every, a is the smallest that has the shingle."""
+    """a < b: pairs whose shared prefix shingles allow a link; unless every, a is the smallest that has the shingle."""
     kind = prefixes.schema["doc_id"].dataType.simpleString()
 
     def allowed(pdf: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-        n, left, ids = pdf["n"].to_numpy(np.int64), (pdf["n"] - pdf["at"]).to_numpy(np.int64), pdf["doc_id"].to_numpy()
-        ok = 9 * np.minimum(left[i], left[j]) >= 4 * (n[i] + n[j])
-        return pd.DataFrame({"a": ids[i[ok]], "b": ids[j[ok]]}).drop_duplicates()
+        n, ids = pdf["n"].to_numpy(np.int64), pdf["doc_id"].to_numpy()
+        ok = 9 * np.minimum(n[i], n[j]) >= 4 * (n[i] + n[j])
+        i, j = i[ok], j[ok]
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "na": n[i].astype(np.int32), "nb": n[j].astype(np.int32)})
 
     def paired(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         h = pdf["h"].to_numpy()
@@ -126,21 +129,41 @@ def _candidates(prefixes: DataFrame, every: bool) -> DataFrame:
 
     parts = max(2, int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = prefixes.repartition(parts, "h").sortWithinPartitions("h", "doc_id")
-    return dealt.mapInPandas(runs, f"a {kind}, b {kind}").distinct()
+    shared = dealt.mapInPandas(runs, f"a {kind}, b {kind}, na int, nb int").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    rest = F.ceil(4 * F.greatest("na", "nb") / 5) - 1  # behind the prefix of the larger set
+    return shared.where(9 * (F.col("c") + rest) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b: the pairs whose texts are linked."""
+    """a, b: the pairs whose texts are linked.
+
+    The text of each a goes once to each salt of its pairs, ahead of the texts of its b's, so no text is copied for each
+    pair, and a document with many pairs is compared by many tasks.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    pairs = saved(pairs, "pairs")
+    counts = saved(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / COPIES_PER_SALT).cast("int").alias("salts")), "salts")
+    pairs = saved(pairs.join(hinted(counts), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "pairs")
+    firsts = saved(pairs.select("a", "salt").distinct(), "firsts")
+    texts = docs.select("doc_id", "text")
+    ahead = texts.join(hinted(firsts), F.col("doc_id") == F.col("a")).select("a", "salt", F.col("a").alias("b"), "text")  # a < b, so it sorts first
+    behind = texts.join(hinted(pairs), F.col("doc_id") == F.col("b")).select("a", "salt", "b", "text")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: set[bytes] = set()
         for pdf in batches:
-            ok = [alike(set(shingles(x)), set(shingles(y))) for x, y in zip(pdf["x"], pdf["y"])]
-            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
-
-    left = hinted(saved(pairs, "pairs")).join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(compared, f"a {kind}, b {kind}")
+            a, b = [], []
+            for x, y, text in zip(pdf["a"], pdf["b"], pdf["text"]):
+                if x == y:
+                    own = set(shingles(text))
+                elif alike(own, set(shingles(text))):
+                    a.append(x)
+                    b.append(y)
+            yield pd.DataFrame({"a": a, "b": b}, dtype=pdf["a"].dtype)
+
+    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = ahead.unionByName(behind).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "b")
+    return rows.mapInPandas(compared, f"a {kind}, b {kind}")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
