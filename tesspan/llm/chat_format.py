@@ -46,8 +46,8 @@ def _turn(role: str, text: str) -> str:
     return f"### {_escaped(role).replace(':', chr(92) + ':')}: {_escaped(text)}</turn>\n"
 
 
-#: Prefixes share their turns; short ones are escaped once (32 MB at most are held).
-_short_turn = lru_cache(maxsize=4096)(_turn)
+#: Prefixes share their turns; short ones are escaped once (about 100 MB at most are held).
+_short_turn = lru_cache(maxsize=1 << 16)(_turn)
 
 
 class MarkedTurns:
@@ -56,7 +56,7 @@ class MarkedTurns:
     _one = re.compile(r"### ((?:[^\\#<:]++|\\.)*+): ((?:[^\\#<]++|\\.)*+)</turn>\n", re.DOTALL)
 
     def __call__(self, turns: Turns) -> str:
-        return "".join(_short_turn(role, text) if len(role) + len(text) < 4096 else _turn(role, text) for role, text in turns)
+        return "".join(_short_turn(role, text) if len(role) + len(text) < 512 else _turn(role, text) for role, text in turns)
 
     @staticmethod
     def plain(escaped: str) -> str:
