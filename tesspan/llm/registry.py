@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, packing, quality, secrets_scan, simhash_dedup, token_counts, turn_repair, url_filter, warc
+from . import chat_format, decontaminate, exact_dedup, packing, prefix_trie, quality, secrets_scan, simhash_dedup, token_counts, turn_repair, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc_bundles": warc.op9_warc_bundles,
     "op10_length_buckets": packing.op10_length_buckets,
     "op12_turn_repair": turn_repair.op12_turn_repair,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op5_chat_format": chat_format.OP5_SQL,
     "op9_warc_bundles": warc.OP9_SQL,
     "op12_turn_repair": turn_repair.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
