@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, packing, prefix_trie, quality, secrets_scan, simhash_dedup, token_counts, turn_repair, url_filter, warc
+from . import chat_format, decontaminate, exact_dedup, language_id, packing, prefix_trie, quality, secrets_scan, simhash_dedup, token_counts, turn_repair, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets_scan.op8_secret_scan,
     "op9_warc_bundles": warc.op9_warc_bundles,
     "op10_length_buckets": packing.op10_length_buckets,
+    "op11_language_id": language_id.op11_language_id,
     "op12_turn_repair": turn_repair.op12_turn_repair,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
