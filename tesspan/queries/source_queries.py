@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import shared_path
+from ..functions.shared import shared, shared_path
 from ..operators import factors
 from ..plans.columns import computed
 from ..sources import warehouse as w
 from ..sources.panel import PANEL_SQL, TRAINING_SQL, training_panel
 from ..streaming import tail
+from ..streaming.lines import appended_metrics
+from ..streaming.liveness import current, liveness
+from ..streaming.sink import BatchTable
 from .base import final, out, panel
 
 
@@ -105,31 +111,136 @@ def database(spark, sf_dir):
     return out(back.groupBy(F.col("N").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.max("B").alias("top")))
 
 
+def _events(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _event_stream(spark, sf_dir):
+    return spark.readStream.schema(_events(spark, sf_dir).schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+def _in_slices(spark, sf_dir, at, slices=4):
+    """The events in a folder, in files by time of arrival, which is up to half an hour after their own; a stream takes one a batch."""
+    rows = _events(spark, sf_dir).withColumn("came", F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(1800)))
+    low, high = rows.agg(F.min("came"), F.max("came")).first()
+    part = F.floor((F.col("came") - F.lit(low or 0)) * slices / F.lit((high or 0) - (low or 0) + 1))
+    for k in range(slices):
+        rows.where(part == k).drop("came").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return spark.readStream.schema(_events(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+
 def stream_windows(spark, sf_dir):
-    """The events table read as a stream, hourly counts kept up to date, once through."""
+    """Hourly counts of the events stream, without state: each batch appends its own sums once, and reading adds them up."""
     at = shared_path(spark, "stream")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    parts = BatchTable(spark, f"{at}/sums", tail.windowed_events(_events(spark, sf_dir)).schema)
+    tail.follow(_event_stream(spark, sf_dir), lambda batch, k: parts.put(tail.windowed_events(batch), k), f"{at}/checkpoint").awaitTermination()
+    got = parts.read().groupBy("window_start", "event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return out(got.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", "total"))
+
 
-    def put(batch, _):
-        batch.write.mode("overwrite").parquet(f"{at}/state")
+def stream_closed_windows(spark, sf_dir):
+    """Hourly counts in append mode: a window leaves the state for the table once the watermark has passed it, whatever was late by under an hour."""
+    at = shared_path(spark, "closed")
+    windows = tail.windowed_events(_in_slices(spark, sf_dir, at))
+    closed = BatchTable(spark, f"{at}/windows", windows.schema)
 
-    tail.follow(tail.windowed_events(stream), put, f"{at}/checkpoint", mode="complete").awaitTermination()
-    return out(spark.read.parquet(f"{at}/state").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", "total"))
+    def put(batch, k):
+        closed.put(batch, k)
+        closed.put(batch, k)  # as after a failure between the write and the checkpoint
+
+    tail.follow(windows, put, f"{at}/checkpoint").awaitTermination()
+    return out(closed.read().select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", "total"))
 
 
 def stream_tail(spark, sf_dir):
-    """Records appended as JSON lines, followed as a stream into one summary."""
+    """Records appended as JSON lines, followed as a stream into a table from which the summary is read."""
     at = shared_path(spark, "tail")
     rows = _records(spark, sf_dir)
     for k in range(3):
         w.append_json(rows.where(f"timestep % 3 = {k}").coalesce(1), f"{at}/in")
-
-    def put(batch, _):
-        batch.write.mode("overwrite").parquet(f"{at}/state")
-
-    tail.follow(tail.running_summary(tail.tail_metrics(spark, f"{at}/in", 1)), put, f"{at}/checkpoint", mode="complete").awaitTermination()
-    return out(spark.read.parquet(f"{at}/state"))
+    stream = tail.tail_metrics(spark, f"{at}/in", 1)
+    records = BatchTable(spark, f"{at}/records", stream.schema)
+    tail.follow(stream, records.put, f"{at}/checkpoint").awaitTermination()
+    return out(w.metrics_summary(records.read()))
+
+
+def _append_logs(pieces, root):
+    """Append pieces (run, round, nth, piece) to a log file for each run, one writer a run; done again, it writes the same bytes at the same place."""
+    root = root.removeprefix("file://")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, file = None, None
+        for pdf in batches:
+            for run, k, piece in zip(pdf["run"], pdf["round"], pdf["piece"]):
+                if run != last:
+                    if file:
+                        file.close()
+                    folder, last = f"{root}/run={run}", run
+                    os.makedirs(folder, exist_ok=True)
+                    path, mark = f"{folder}/training_metrics.jsonl", f"{folder}/.size-{k}"
+                    if not os.path.exists(mark):
+                        with open(mark + ".new", "w") as m:
+                            m.write(str(os.path.getsize(path) if os.path.exists(path) else 0))
+                        os.replace(mark + ".new", mark)
+                    with open(mark) as m:
+                        size = int(m.read())
+                    file = open(path, "ab")
+                    file.truncate(size)
+                file.write(piece.encode())
+        if file:
+            file.close()
+        yield pd.DataFrame({"done": [0]})
+
+    dealt = pieces.repartition("run").sortWithinPartitions("run", "nth")
+    dealt.mapInPandas(write, "done int").write.format("noop").mode("overwrite").save()
+
+
+def stream_run_logs(spark, sf_dir, rounds=3):
+    """A log file for each run (user), appended to in rounds that end in the middle of a line, followed by byte offsets in small batches
+    while it grows; after the second round the stream is stopped and goes on from its checkpoint."""
+    at = shared_path(spark, "logs")
+    line = F.to_json(F.struct("timestep", "episode_reward_mean", "fps", "algorithm", "learning_rate"))
+    rows = _records(spark, sf_dir).join(_events(spark, sf_dir).select(F.col("event_id").alias("timestep"), F.col("user_id").alias("run")), "timestep")
+    rows = rows.select("run", F.pmod("timestep", F.lit(rounds)).alias("round"), F.col("timestep").alias("nth"), F.concat(line, F.lit("\n")).alias("line"))
+    rows = rows.withColumn("ends", F.max("nth").over(Window.partitionBy("run", "round")))
+    half = F.floor(F.length("line") / 2).cast("int")
+    cut = F.when(F.col("nth") == F.col("ends"), F.array(
+        F.struct("round", "nth", F.substring("line", F.lit(1), half).alias("piece")),
+        F.struct((F.col("round") + 1).alias("round"), F.lit(-1).cast("long").alias("nth"), F.substring("line", half + 1, F.length("line")).alias("piece")),
+    )).otherwise(F.array(F.struct("round", "nth", F.col("line").alias("piece"))))
+    pieces = shared(rows.select("run", F.inline(cut)), "pieces")
+    stream = appended_metrics(spark, f"{at}/in", maxBytesPerTrigger=200_000)
+    records = BatchTable(spark, f"{at}/records", stream.schema)
+    following = None
+    for k in range(rounds + 1):
+        _append_logs(pieces.where(F.col("round") == k), f"{at}/in")
+        following = following or tail.follow(stream, records.put, f"{at}/checkpoint", every="0 seconds")
+        following.processAllAvailable()
+        if k in (1, rounds):
+            following.stop()
+            following = None
+    run = F.regexp_extract("path", r"run=(-?\d+)", 1).cast("long").alias("run")
+    return out(w.metrics_summary(records.read().select(run, *[c for c in stream.columns if c not in ("path", "start")]), ["run"]))
+
+
+SILENCE_HOURS = 6
+
+
+def stream_liveness(spark, sf_dir):
+    """When each run (user) was live: from a record until none has come for six hours; open intervals are still live."""
+    at = shared_path(spark, "live")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        records = _in_slices(spark, sf_dir, at).select(F.col("user_id").alias("run"), "ts")
+        states = liveness(records, SILENCE_HOURS * 3600, "1 hour")
+        table = BatchTable(spark, f"{at}/intervals", states.schema)
+        tail.follow(states, table.put, f"{at}/checkpoint", mode="update").awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return current(table.read()).select(F.col("run").cast("long").alias("run"), text("live_from"), text("last_record"), "n", "live")
 
 
 def user_factor(spark, sf_dir):
@@ -166,6 +277,9 @@ QUERIES = {
     "metrics_summary": metrics,
     "stream_hourly_events": stream_windows,
     "stream_metrics_tail": stream_tail,
+    "stream_closed_windows": stream_closed_windows,
+    "stream_run_logs": stream_run_logs,
+    "stream_run_liveness": stream_liveness,
     "user_registered_factor": user_factor,
     "user_score_callback": score_callback,
 }
@@ -212,6 +326,23 @@ ORACLES = {
     "metrics_summary": final(_REC, f"SELECT algorithm AS kind, {_SUMMARY} FROM good GROUP BY kind", "kind total_timesteps mean_fps n_checkpoints algorithm", "best_reward final_reward"),
     "stream_hourly_events": final("", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2", "window_start event_type n", "total"),
     "stream_metrics_tail": _ALL,
+    "stream_closed_windows": final(
+        "",
+        """SELECT strftime(h, '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, sum(value) AS total
+           FROM (SELECT *, date_trunc('hour', ts) AS h, date_trunc('milliseconds', max(ts) OVER ()) AS seen FROM events) WHERE h + INTERVAL 1 HOUR <= seen - INTERVAL 1 HOUR GROUP BY 1, 2""",
+        "window_start event_type n",
+        "total",
+    ),
+    "stream_run_logs": final(
+        _REC.replace("SELECT event_id AS timestep", "SELECT user_id AS run, event_id AS timestep", 1),
+        f"SELECT run, {_SUMMARY} FROM good GROUP BY run",
+        "run total_timesteps mean_fps n_checkpoints algorithm",
+        "best_reward final_reward",
+    ),
+    "stream_run_liveness": f"""WITH gaps AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL {SILENCE_HOURS} HOUR, TRUE) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      islands AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM gaps)
+      SELECT user_id AS run, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS live_from, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_record, count(*) AS n,
+        max(ts) + INTERVAL {SILENCE_HOURS} HOUR > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS live FROM islands GROUP BY user_id, k""",
     "user_registered_factor": final(
         PANEL_SQL
         + f""", m AS (SELECT *, CASE WHEN count(close) OVER {_W5.format(4)} = 5 THEN avg(close / open) OVER {_W5.format(4)} END AS a, list(volume) OVER {_W5.format(5)} AS l FROM panel)""",
