@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import affine, block_size
+
 #: Daily limits by board, special treatment, first day of listing; the flat limit of unknown boards.
 LIMITS = {"sh_main": 0.10, "sz_main": 0.10, "gem": 0.20, "star": 0.20, "bj": 0.30}
 SPECIAL_LIMIT, LISTING_UP, LISTING_DOWN, UNLIMITED = 0.05, 0.44, -0.36, 1e9
@@ -161,19 +161,13 @@ def projected_weights(panel: DataFrame, position: float = 0.05, share: float = I
 def advantages(steps: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
     """Generalised advantage estimates: steps has env, step, reward, value, next_value, done (after this step).
 
-    A reverse recursion over an environment's steps, one environment per group.
+    A recurrence that runs back over an environment's steps, composed in blocks of them (see scan), so one long environment is the work of many tasks.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        going = 1.0 - pdf["done"].to_numpy(float)
-        gain = pdf["reward"].to_numpy(float) + gamma * pdf["next_value"].to_numpy(float) * going - pdf["value"].to_numpy(float)
-        out, last = np.zeros(len(pdf)), 0.0
-        for i in range(len(pdf) - 1, -1, -1):
-            out[i] = last = gain[i] + gamma * lam * going[i] * last
-        return pd.DataFrame({"env": pdf["env"], "step": pdf["step"], "advantage": out, "return": out + pdf["value"].to_numpy(float)})
-
-    return steps.groupBy("env").applyInPandas(run, "env long, step long, advantage double, return double")
+    going = F.when(F.col("done"), 0.0).otherwise(1.0)
+    gain = F.col("reward") + gamma * F.col("next_value") * going - F.col("value")
+    rows = steps.select("env", "step", "value", gain.alias("gain"), going.alias("going"), (-F.col("step")).alias("back"))
+    got = affine(rows, ["env"], "back", F.col("going") * (gamma * lam), F.col("gain"), "advantage", block_size(gamma * lam))
+    return got.select(F.col("env").cast("long").alias("env"), F.col("step").cast("long").alias("step"), "advantage", (F.col("advantage") + F.col("value")).alias("return"))
 
 
 def batch_scored(panel: DataFrame, factors: list[str], weights: list[float], bias: float = 0.0) -> DataFrame:

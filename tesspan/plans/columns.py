@@ -142,20 +142,30 @@ def ewm_block(alpha: float) -> int:
     return max(1, int(math.log(1e6) / -math.log(1 - alpha)))
 
 
+#: Blocks before a row's own that its exponential mean is taken from: what lies behind them weighs less than 1e-18 of it.
+EWM_BLOCKS = 3
+
+
 def with_ewm(df: DataFrame, e: E, own: str, names: dict[E, str]) -> DataFrame:
-    """df with own_n, own_s and own_b, from which the exponential mean of all rows so far follows without a fold over them.
+    """df with own_n, own_s, own_x and own_1 to own_3, from which the exponential mean of all rows so far follows without a fold over them.
 
     Non-null rows are numbered (own_n, from 0) and dealt into blocks; inside one a running sum of values over falling
-    weights gives the weighted sum since the block's start (own_s), and own_b lists what the blocks before ended with.
+    weights gives the weighted sum since the block's start (own_s).  own_1 is what the block before ended with, own_2 the one
+    before that, and so on.  own_x sums what isn't finite, as that stays however long ago it was.
     """
     x, keep, size = rows(e.args[0], names), 1 - e.params[0], ewm_block(e.params[0])
-    so_far = _stock().rowsBetween(Window.unboundedPreceding, 0)
+    so_far, past = (_stock().rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
     df = df.withColumn(f"{own}_n", F.count(x).over(so_far) - 1)
     place, block = F.pmod(f"{own}_n", F.lit(size)), F.floor(F.col(f"{own}_n") / size)
     inside = Window.partitionBy(STOCK, f"{own}_k").orderBy(DAY).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn(f"{own}_k", block).withColumn(f"{own}_s", F.sum(x * F.pow(F.lit(1 / keep), place)).over(inside) * F.pow(F.lit(keep), place))
-    ended = F.when(x.isNotNull() & (place == size - 1), F.col(f"{own}_s"))
-    return df.withColumn(f"{own}_b", F.collect_list(ended).over(_stock().rowsBetween(Window.unboundedPreceding, -1))).drop(f"{own}_k")
+    finite = ~F.isnan(x) & (F.abs(x) < INF)
+    df = df.withColumn(f"{own}_x", F.coalesce(F.sum(F.when(~finite, x)).over(past), F.lit(0.0)))
+    ended = x.isNotNull() & (place == size - 1)
+    for k in range(1, EWM_BLOCKS + 1):
+        of = f"{own}_s" if k == 1 else f"{own}_{k - 1}"
+        df = df.withColumn(f"{own}_{k}", F.coalesce(F.last(F.when(ended, F.col(of)), True).over(past), F.lit(0.0)))
+    return df.drop(f"{own}_k")
 
 
 def window(e: E, names: dict[E, str]) -> Column:
@@ -165,7 +175,7 @@ def window(e: E, names: dict[E, str]) -> Column:
             return (F.row_number().over(_stock()) - 1).cast("double")
         if e.op == "ewm":
             keep, size, own = 1 - e.params[0], ewm_block(e.params[0]), names[e]
-            before = F.aggregate(f"{own}_b", F.lit(0.0), lambda t, v: t * keep**size + v)
+            before = sum((F.col(f"{own}_{k}") * keep ** (size * (k - 1)) for k in range(2, EWM_BLOCKS + 1)), F.col(f"{own}_1")) + F.col(f"{own}_x")
             n = F.col(f"{own}_n")
             total = F.col(f"{own}_s") + before * F.pow(F.lit(keep), F.pmod(n, F.lit(size)) + 1)
             return F.when(x[0].isNotNull(), total * (F.lit(1 - keep) / (1 - F.pow(F.lit(keep), n + 1))))
@@ -240,7 +250,7 @@ def computed(panel: DataFrame, wanted: dict[str, E], keys: tuple[str, ...] = (ST
         for e, own in ewms.items():
             df = with_ewm(df, e, own, have)
         df = df.select("*", *[window(e, have | ewms).alias(found.names[e]) for e in stage.windows])
-        df = df.drop(*[f"{own}_{c}" for own in ewms.values() for c in "nsb"])
+        df = df.drop(*[f"{own}_{c}" for own in ewms.values() for c in "nsx123"])
         have |= {e: found.names[e] for e in stage.windows}
     df = named(df, list(wanted.values()), have)
     return df.select(*keys, *[rows(e, have).cast("double").alias(name) for name, e in wanted.items()])
