@@ -166,7 +166,7 @@ def advantages(steps: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> Data
     going = F.when(F.col("done"), 0.0).otherwise(1.0)
     gain = F.col("reward") + gamma * F.col("next_value") * going - F.col("value")
     rows = steps.select("env", "step", "value", gain.alias("gain"), going.alias("going"), (-F.col("step")).alias("back"))
-    got = affine(rows, ["env"], "back", F.col("going") * (gamma * lam), F.col("gain"), "advantage", block_size(gamma * lam))
+    got = affine(rows, ["env"], "back", F.col("going") * (gamma * lam), {"advantage": F.col("gain")}, block_size(gamma * lam))
     return got.select(F.col("env").cast("long").alias("env"), F.col("step").cast("long").alias("step"), "advantage", (F.col("advantage") + F.col("value")).alias("return"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import loader
-from ..sources.panel import TRAINING_SQL, training_panel
+from ..sources.made import made_panel
+from ..sources.panel import TRAINING_SQL, line_item_prices, training_panel
 from .base import FACTORS, GRID_SQL, PERIOD, final, grid, out
 
 _FLAGS = "is_st is_suspended days_since_ipo industry_code"
@@ -66,7 +67,34 @@ def loaded(spark, sf_dir):
     return out(df.select("ts_code", "trade_date", "is_st", "fwd_ret", "alpha_000", "alpha_001", "gtja_000"))
 
 
+MADE = ["alpha_000", "alpha_001", "mf_000"]
+
+
+def made(spark, sf_dir):
+    """An autoregressive panel over the supplier weeks of the line items."""
+    return out(made_panel(line_item_prices(spark, sf_dir, stocks=None).select("stock_code", "trade_date"), MADE))
+
+
+def _made_sql() -> str:
+    def noise(kind: str, name: str, dated: bool = True) -> str:
+        text = f"'{kind}42|{name}|' || ts_code" + (" || '|' || trade_date::VARCHAR" if dated else "")
+        return f"(('0x' || substr(md5({text}), 1, 12))::UBIGINT::DOUBLE / 281474976710656.0)"
+
+    shock = lambda name: f"sqrt(-2.0 * ln(1.0 - {noise('r|', name)})) * cos({noise('a|', name)} * (2 * pi()))"
+    ar = [f"list_reduce(list(CASE WHEN nth = 0 THEN 1.0 ELSE sqrt(1 - 0.3 * 0.3::DOUBLE) END * {shock(f)}) OVER (PARTITION BY ts_code ORDER BY trade_date), lambda x, y: 0.3::DOUBLE * x + y) AS {f}" for f in MADE]
+    scored = [f"({f} - avg({f}) OVER d) / (stddev_pop({f}) OVER d + 1e-8) AS {f}" for f in MADE]
+    return f"""keys AS (
+  SELECT DISTINCT (600000 + l_suppkey)::VARCHAR || '.SH' AS ts_code, date_trunc('week', l_shipdate)::DATE AS trade_date FROM lineitem WHERE l_shipdate IS NOT NULL AND l_quantity > 0
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY trade_date) - 1 AS nth FROM keys),
+series AS (SELECT *, {", ".join(ar)} FROM numbered), by_day AS (SELECT ts_code, trade_date, nth, {", ".join(scored)} FROM series WINDOW d AS (PARTITION BY trade_date)),
+changes AS (SELECT *, least(greatest(({" + ".join(MADE)}) / {len(MADE)} * 0.005 + ({shock("change")}) * 0.018, -0.098), 0.098) AS pct_chg FROM by_day),
+made AS (SELECT *, greatest((10.0 + 40.0 * {noise("", "price", False)}) * product(CASE WHEN nth = 0 THEN 1.0 ELSE 1.0 + pct_chg END) OVER (PARTITION BY ts_code ORDER BY trade_date), 1.0) AS close,
+  CASE WHEN {noise("", "suspended")} < 0.005 THEN 0.0 ELSE exp(14.0 + 0.8 * ({shock("volume")})) END AS vol, {noise("", "special", False)} < 0.05 AS is_st,
+  (floor(200 + 2300 * {noise("", "listed", False)}) + nth)::INT AS days_since_ipo, (1 + floor(10 * {noise("", "industry", False)}))::SMALLINT AS industry_code FROM changes)"""
+
+
 QUERIES = {
+    "panel_made_series": made,
     "panel_scan_date_range": scan_range,
     "panel_discover_factor_columns": discovered,
     "panel_universe_all": _universe("all_a"),
@@ -86,6 +114,12 @@ QUERIES = {
 _FACTOR_COLS = " ".join(FACTORS)
 _ZS = ", ".join(f"{_z(f)} AS {f}" for f in FACTORS)
 ORACLES = {
+    "panel_made_series": final(
+        _made_sql(),
+        "SELECT *, CASE WHEN is_st THEN '*ST' ELSE '' END || 'made' || substr(ts_code, 1, 6) AS name FROM made",
+        "ts_code trade_date is_st days_since_ipo industry_code name",
+        "close pct_chg vol " + " ".join(MADE),
+    ),
     "panel_scan_date_range": final(TRAINING_SQL, "SELECT * FROM training WHERE trade_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'", "ts_code trade_date", "close pct_chg vol"),
     "panel_discover_factor_columns": "SELECT * FROM (VALUES (0, 'alpha_000'), (1, 'alpha_001'), (2, 'gtja_000'), (3, 'mf_000')) v(place, name)",
     "panel_universe_all": _universe_sql("TRUE"),

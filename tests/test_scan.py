@@ -30,8 +30,8 @@ def test_against_a_loop(spark, size, group, monkeypatch):
             want |= {(key, int(k)): v for k, v in zip(places, loop(a, b))}
             rows += [(key, int(k), float(p), float(q), 1) for k, p, q in zip(places, a, b)]
     df = spark.createDataFrame(rows, "k string, at long, a double, b double, block int")
-    got = {(r.k, r["at"]): r.v for r in scan.affine(df, ["k"], "at", F.col("a"), F.col("b"), "v", size).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    got = {(r.k, r["at"]): (r.v, r.w) for r in scan.affine(df, ["k"], "at", F.col("a"), {"v": F.col("b"), "w": -2 * F.col("b")}, size).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k]) < 1e-9 and abs(got[k][1] + 2 * want[k]) < 1e-9 for k in want)
 
 
 def test_one_long_environment(spark):
@@ -55,6 +55,6 @@ def test_one_long_environment(spark):
 def test_too_long_blocks_fail(spark):
     df = spark.range(2000).withColumn("k", F.lit(1))
     with pytest.raises(PySparkException, match="too long"):
-        scan.affine(df, ["k"], "id", F.lit(0.5), F.lit(1.0), "v", 4096).count()
-    assert scan.affine(df, ["k"], "id", F.lit(0.5), F.lit(1.0), "v", scan.block_size(0.5)).where("id = 1999").first().v == pytest.approx(2)
-    assert scan.affine(df.limit(0), ["k"], "id", F.lit(0.5), F.lit(1.0), "v").count() == 0
+        scan.affine(df, ["k"], "id", F.lit(0.5), {"v": F.lit(1.0)}, 4096).count()
+    assert scan.affine(df, ["k"], "id", F.lit(0.5), {"v": F.lit(1.0)}, scan.block_size(0.5)).where("id = 1999").first().v == pytest.approx(2)
+    assert scan.affine(df.limit(0), ["k"], "id", F.lit(0.5), {"v": F.lit(1.0)}).count() == 0
