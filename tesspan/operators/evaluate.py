@@ -6,6 +6,8 @@ score, fwd_ret.  A pair counts if both are finite.  Ties in scores go to the sma
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,26 +163,40 @@ def shuffled_by_day(panel: DataFrame, columns: list[str], seed: int | str = 0) -
     return keyed.drop(*columns).join(drawn, [*by, "to"]).select(*panel.columns)
 
 
-def permutation_importance(panel: DataFrame, factors: list[str], weights: dict[str, float], k: int, seeds: int = 5) -> DataFrame:
-    """prefix, mean and deviation over seeds of the drop in IC and legacy Sharpe of a linear scorer when its factors are shuffled."""
-    score = sum((F.col(f) * weights.get(f, 0.0) for f in factors), F.lit(0.0))
-    base = panel.withColumn("score", score)
+def linear_scorer(weights: dict[str, float]) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """A scorer that weighs factors."""
+    return lambda rows, by: rows.withColumn("score", sum((F.col(f) * w for f, w in weights.items()), F.lit(0.0)))
+
+
+def permutation_importance(
+    panel: DataFrame, factors: list[str], score: Callable[[DataFrame, list[str]], DataFrame], k: int, seeds: int = 5, period: int = 1
+) -> DataFrame:
+    """prefix, n_factors, n_seeds, and over the seeds mean and deviation of the drop in IC and adjusted Sharpe when the prefix's factors are shuffled by day.
+
+    score: any scorer, from rows and the columns that tell runs apart (besides trade_date) to rows with a score.  All shuffled
+    runs and the unshuffled one are scored together.
+    """
+    keep = ["trade_date", "ts_code", "fwd_ret", *factors]
+    rows = without_tail(panel.select(*keep), period)
     groups: dict[str, list[str]] = {}
     for f in factors:
         groups.setdefault(f.split("_")[0], []).append(f)
-    rows = panel.select("trade_date", "ts_code", "fwd_ret", *factors).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    runs = None
+    runs = rows.select(F.lit("").alias("prefix"), F.lit(-1).alias("seed"), *keep)
+    seeded = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     for prefix, columns in groups.items():
-        run = shuffled_by_day(rows, columns, "seed")
-        run = run.select(F.lit(prefix).alias("prefix"), "seed", "trade_date", "ts_code", score.alias("score"), "fwd_ret")
-        runs = run if runs is None else runs.unionByName(run)
+        run = shuffled_by_day(seeded, columns, "seed")
+        runs = runs.unionByName(run.select(F.lit(prefix).alias("prefix"), "seed", *keep))
     by = ["prefix", "seed"]
-    got = ic_summary(daily_ic(runs, by), by).join(sharpes(top_k_returns(runs, k, by), 1, by), by)
-    own = ic_summary(daily_ic(base)).crossJoin(sharpes(top_k_returns(base, k)).select("legacy")).select(F.col("ic").alias("ic0"), F.col("legacy").alias("legacy0"))
-    drops = got.crossJoin(own).select("prefix", (F.col("ic0") - F.col("ic")).alias("d_ic"), (F.col("legacy0") - F.col("legacy")).alias("d_sharpe"))
+    scored = score(runs, by).select(*by, "trade_date", "ts_code", "score", "fwd_ret")
+    got = ic_summary(daily_ic(scored, by), by).join(sharpes(top_k_returns(scored, k, by), period, by), by).select(*by, "ic", F.col("adjusted").alias("sharpe"))
+    own = F.broadcast(got.where("seed = -1").select(F.col("ic").alias("ic0"), F.col("sharpe").alias("sharpe0")))  # one row
+    drops = got.where("seed >= 0").crossJoin(own).select("prefix", (F.col("ic0") - F.col("ic")).alias("d_ic"), (F.col("sharpe0") - F.col("sharpe")).alias("d_sharpe"))
+    sizes = F.create_map(*[F.lit(x) for g, columns in groups.items() for x in (g, len(columns))])
     return drops.groupBy("prefix").agg(
+        F.max(sizes[F.col("prefix")]).cast("int").alias("n_factors"),
+        F.count(F.lit(1)).cast("int").alias("n_seeds"),
         F.avg("d_ic").alias("ic_drop_mean"),
-        F.coalesce(F.stddev_pop("d_ic"), F.lit(0.0)).alias("ic_drop_std"),
+        F.coalesce(F.stddev_samp("d_ic"), F.lit(0.0)).alias("ic_drop_std"),
         F.avg("d_sharpe").alias("sharpe_drop_mean"),
-        F.coalesce(F.stddev_pop("d_sharpe"), F.lit(0.0)).alias("sharpe_drop_std"),
+        F.coalesce(F.stddev_samp("d_sharpe"), F.lit(0.0)).alias("sharpe_drop_std"),
     )

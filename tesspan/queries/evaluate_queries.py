@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ..operators import evaluate as e
-from .base import GRID_SQL, K, PERIOD, final, grid, out, scores
+from ..operators import network as n
+from .base import FACTORS, GRID_SQL, K, PERIOD, final, grid, out, scores
+from .network_model import MODEL_SQL, hashed_network, layers_sql
 
 SIMS, SEEDS = 100, 5
 SIM_NOISE = "(('0x' || substr(md5('0|' || {sim} || '|' || trade_date::VARCHAR || '|' || ts_code), 1, 12))::UBIGINT::DOUBLE / 281474976710656.0)"
@@ -45,11 +47,16 @@ _CUT = GRID_SQL.replace("scores AS (SELECT *, mf_000 AS score FROM grid)", f"kep
 _IC = "SELECT coalesce(avg(ic), 0) AS ic, CASE WHEN count(ic) >= 2 AND stddev_samp(ic) >= 1e-12 THEN avg(ic) / stddev_samp(ic) ELSE 0 END AS ic_ir FROM ics"
 
 _W = {"alpha_001": 1.0, "mf_000": -0.5, "mfp_000": 0.25}
-_IMPORTANCE = ["alpha_001", "mfp_000"]
 
 
 def importance(spark, sf_dir):
-    return out(e.permutation_importance(grid(spark, sf_dir), _IMPORTANCE, _W, K, seeds=SEEDS))
+    return out(e.permutation_importance(grid(spark, sf_dir), list(_W), e.linear_scorer(_W), K, SEEDS))
+
+
+def network_importance(spark, sf_dir):
+    """Of a network's factors, over forward windows of PERIOD days."""
+    model = hashed_network(spark)
+    return out(e.permutation_importance(grid(spark, sf_dir), FACTORS, n.scorer(model, FACTORS), K, 2, PERIOD))
 
 
 def shuffled(spark, sf_dir):
@@ -63,17 +70,30 @@ def _shuffle_sql(seed: str, cols: list[str]) -> str:
       JOIN (SELECT trade_date, {', '.join(cols)}, row_number() OVER (PARTITION BY trade_date ORDER BY {noise}, ts_code) AS slot FROM grid) d USING (trade_date, slot)"""
 
 
-def _importance_sql() -> str:
-    score = " + ".join(f"{c} * {_W[c]}" for c in _IMPORTANCE)
-    runs = [f"SELECT '{c.split('_')[0]}' AS prefix, {seed} AS seed, trade_date, ts_code, fwd_ret, {score} AS score FROM ({_shuffle_sql(str(seed), [c])})" for c in _IMPORTANCE for seed in range(SEEDS)]
-    every = " UNION ALL ".join([f"SELECT '' AS prefix, -1 AS seed, trade_date, ts_code, fwd_ret, {score} AS score FROM grid", *runs])
-    return f"""{GRID_SQL}, runs AS ({every}),
-    run_ics AS (SELECT prefix, seed, trade_date, covar_pop(score, fwd_ret) / (stddev_pop(score) * stddev_pop(fwd_ret)) AS ic FROM runs GROUP BY ALL
+def _importance_sql(start: str, factors: list[str], seeds: int, period: int, scored: str) -> str:
+    """CTEs from start (which ends in grid): all runs, scored by `scored` (CTEs from runs to run_scores), and run_all, their IC and Sharpe."""
+    groups: dict[str, list[str]] = {}
+    for f in factors:
+        groups.setdefault(f.split("_")[0], []).append(f)
+    cols = ", ".join(factors)
+    runs = [f"SELECT '{g}' AS prefix, {seed} AS seed, trade_date, ts_code, fwd_ret, {cols} FROM ({_shuffle_sql(str(seed), own).replace('FROM grid', 'FROM kept')})" for g, own in groups.items() for seed in range(seeds)]
+    every = " UNION ALL ".join([f"SELECT '' AS prefix, -1 AS seed, trade_date, ts_code, fwd_ret, {cols} FROM kept", *runs])
+    tail = "SELECT * FROM grid" if period <= 1 else f"SELECT * FROM grid SEMI JOIN (SELECT trade_date FROM (SELECT DISTINCT trade_date FROM grid) ORDER BY trade_date DESC OFFSET {period}) USING (trade_date)"
+    sizes = " ".join(f"WHEN '{g}' THEN {len(own)}" for g, own in groups.items())
+    return f"""{start}, kept AS ({tail}), runs AS ({every}), {scored},
+    run_usable AS (SELECT * FROM run_scores WHERE isfinite(score) AND isfinite(fwd_ret)),
+    run_ics AS (SELECT prefix, seed, trade_date, covar_pop(score, fwd_ret) / (stddev_pop(score) * stddev_pop(fwd_ret)) AS ic FROM run_usable GROUP BY ALL
       HAVING count(*) >= 2 AND stddev_pop(score) >= 1e-12 AND stddev_pop(fwd_ret) >= 1e-12),
     run_rets AS (SELECT prefix, seed, trade_date, avg(fwd_ret) AS ret FROM (SELECT *, row_number() OVER (PARTITION BY prefix, seed, trade_date ORDER BY score DESC, ts_code) AS rank,
-      count(*) OVER (PARTITION BY prefix, seed, trade_date) AS m FROM runs) WHERE rank <= {K} AND m >= {K} GROUP BY ALL),
-    run_all AS (SELECT * FROM (SELECT prefix, seed, avg(ic) AS ic FROM run_ics GROUP BY ALL) JOIN {sharpes_sql('run_rets', 1, 'prefix, seed')} USING (prefix, seed))"""
+      count(*) OVER (PARTITION BY prefix, seed, trade_date) AS m FROM run_usable) WHERE rank <= {K} AND m >= {K} GROUP BY ALL),
+    run_all AS (SELECT * FROM (SELECT prefix, seed, avg(ic) AS ic FROM run_ics GROUP BY ALL) JOIN {sharpes_sql('run_rets', period, 'prefix, seed')} USING (prefix, seed)),
+    drops AS (SELECT prefix, CASE prefix {sizes} END AS n_factors, count(*)::INT AS n_seeds, avg(b.ic - r.ic) AS ic_drop_mean, coalesce(stddev_samp(b.ic - r.ic), 0) AS ic_drop_std,
+      avg(b.adjusted - r.adjusted) AS sharpe_drop_mean, coalesce(stddev_samp(b.adjusted - r.adjusted), 0) AS sharpe_drop_std
+      FROM (SELECT * FROM run_all WHERE seed >= 0) r, (SELECT ic, adjusted FROM run_all WHERE seed = -1) b GROUP BY prefix)"""
+
 
+_DROPS = "ic_drop_mean ic_drop_std sharpe_drop_mean sharpe_drop_std"
+_LINEAR = f"run_scores AS (SELECT *, {' + '.join(f'{c} * {w}' for c, w in _W.items())} AS score FROM runs)"
 
 QUERIES = {
     "eval_daily_ic": lambda s, d: out(e.daily_ic(scores(s, d))),
@@ -89,6 +109,7 @@ QUERIES = {
     "eval_daily_series": lambda s, d: out(e.daily_series(scores(s, d), K)),
     "eval_shuffle_by_day": shuffled,
     "eval_permutation_importance": importance,
+    "eval_network_importance": network_importance,
 }
 
 _SERIES = f"""SELECT trade_date, coalesce(ic, 0) AS ic, coalesce(ret, 0) AS ret FROM (SELECT DISTINCT trade_date FROM scores) LEFT JOIN ics USING (trade_date) LEFT JOIN rets USING (trade_date)"""
@@ -110,11 +131,11 @@ ORACLES = {
     ),
     "eval_daily_series": final(GRID_SQL, f"SELECT *, product(1 + ret) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS equity FROM ({_SERIES})", "trade_date", "ic ret equity"),
     "eval_shuffle_by_day": final(GRID_SQL, _shuffle_sql("5", ["alpha_001", "mfp_000"]), "ts_code trade_date", "alpha_001 mfp_000 gtja_000"),
-    "eval_permutation_importance": final(
-        _importance_sql(),
-        """SELECT prefix, avg(b.ic - r.ic) AS ic_drop_mean, stddev_pop(b.ic - r.ic) AS ic_drop_std, avg(b.legacy - r.legacy) AS sharpe_drop_mean,
-           stddev_pop(b.legacy - r.legacy) AS sharpe_drop_std FROM (SELECT * FROM run_all WHERE seed >= 0) r, (SELECT ic, legacy FROM run_all WHERE seed = -1) b GROUP BY prefix""",
-        "prefix",
-        "ic_drop_mean ic_drop_std sharpe_drop_mean sharpe_drop_std",
+    "eval_permutation_importance": final(_importance_sql(GRID_SQL, list(_W), SEEDS, 1, _LINEAR), "SELECT * FROM drops", "prefix n_factors n_seeds", _DROPS),
+    "eval_network_importance": final(
+        _importance_sql(GRID_SQL + MODEL_SQL, FACTORS, 2, PERIOD, layers_sql("runs", FACTORS, "prefix, seed, ", "run_").removeprefix(", ")),
+        "SELECT * FROM drops",
+        "prefix n_factors n_seeds",
+        _DROPS,
     ),
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared
+from ..operators import network as n
 from ..operators import rewards as w
 from ..operators import rules as r
 from ..sources.panel import TRAINING_SQL, training_panel
 from .base import FACTORS, GRID_SQL, K, final, grid, out, scores
+from .network_model import MODEL_SQL, hashed_network, layers_sql, values_sql
 
 EXTRA = ["600519", "300750.SZ", "301001.SZ", "688001.SH", "430047.BJ", "830799.BJ", "000001.SZ", "003816.SZ", "004000.SZ", "900901.SH", "ABC.SH", "601398.SH"]
 
@@ -108,6 +110,16 @@ def scored(spark, sf_dir):
     return out(r.batch_scored(grid(spark, sf_dir), FACTORS, [0.5, -1.0, 0.25, 2.0, 0.125], 0.5))
 
 
+def network_scored(spark, sf_dir):
+    return out(n.network_scores(grid(spark, sf_dir), hashed_network(spark), FACTORS))
+
+
+def network_values(spark, sf_dir):
+    """For every order the value of the week that it was placed in: weeks are encoded once, however many orders ask for them."""
+    weeks = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.date_trunc("week", "o_orderdate").cast("date").alias("trade_date"))
+    return out(n.slot_values(weeks, grid(spark, sf_dir), hashed_network(spark), FACTORS))
+
+
 _LIVE = f"""(CASE WHEN board IS NULL THEN abs(pct_chg) < 0.095 ELSE NOT (pct_chg >= ({_BASE}) - 1e-3 OR pct_chg <= -({_BASE}) + 1e-3) END
   AND NOT is_st AND NOT is_suspended AND days_since_ipo >= 60)"""
 _MASKED = GRID_SQL + f""", boarded AS (SELECT * REPLACE (alpha_001 AS score), {_BOARD} AS board FROM scores),
@@ -165,6 +177,8 @@ QUERIES = {
     "reward_mean_variance": mean_variance,
     "reward_advantages": advantages,
     "score_batch": scored,
+    "score_network": network_scored,
+    "score_network_values": network_values,
 }
 
 _F = lambda f: f"(CASE WHEN isfinite({f}) THEN {f} ELSE 0 END)"
@@ -243,4 +257,11 @@ ORACLES = {
         'advantage "return"',
     ),
     "score_batch": final(GRID_SQL, f"SELECT ts_code, trade_date, {_F('alpha_000')} * 0.5 + {_F('alpha_001')} * -1.0 + {_F('gtja_000')} * 0.25 + {_F('mf_000')} * 2.0 + {_F('mfp_000')} * 0.125 + 0.5 AS score FROM grid", "ts_code trade_date", "score"),
+    "score_network": final(GRID_SQL + MODEL_SQL + layers_sql("grid", FACTORS, "", "net_"), "SELECT ts_code, trade_date, score FROM net_scores", "ts_code trade_date", "score"),
+    "score_network_values": final(
+        GRID_SQL + MODEL_SQL + layers_sql("grid", FACTORS, "", "net_") + values_sql("net_"),
+        "SELECT o_orderkey, trade_date, value FROM (SELECT o_orderkey, date_trunc('week', o_orderdate)::DATE AS trade_date FROM orders) LEFT JOIN day_values USING (trade_date)",
+        "o_orderkey trade_date",
+        "value",
+    ),
 }
