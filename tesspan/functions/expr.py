@@ -103,6 +103,7 @@ def log1p(x) -> E: return row("log", 1.0 + node(x))
 def sign(x) -> E: return row("sign", x)
 def sqrt(x) -> E: return row("sqrt", x)
 def exp(x) -> E: return row("exp", x)
+def tanh(x) -> E: return row("tanh", x)
 def power(a, b) -> E: return row("pow", a, b)
 def signed_power(x, e) -> E: return row("mul", sign(x), row("pow", absolute(x), e))
 def clip(x, low, high=float("inf")) -> E: return row("clip", x, low, high)

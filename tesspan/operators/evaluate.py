@@ -11,6 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import E, col
+from ..functions.gradient import gradients
+from ..plans.columns import computed
+
 INF = float("inf")
 YEAR = 252.0
 
@@ -200,3 +204,31 @@ def permutation_importance(
         F.avg("d_sharpe").alias("sharpe_drop_mean"),
         F.coalesce(F.stddev_samp("d_sharpe"), F.lit(0.0)).alias("sharpe_drop_std"),
     )
+
+
+def integrated_gradients(panel: DataFrame, score: E, factors: list[str], steps: int = 50) -> DataFrame:
+    """ts_code, trade_date and for each factor its share of score(x) - score(0): x times the mean derivative at `steps` midpoints between 0 and x.
+
+    score: an expression over the factors' columns (see functions.expr), of one row or with daily means; its derivatives are columns as
+    well.  abs_<factor> is the mean of the absolute shares of the steps.  A factor that isn't finite counts as zero.
+    """
+    rows = panel.select("ts_code", "trade_date", *[F.when(finite(f), F.col(f)).otherwise(0.0).alias(f) for f in factors])
+    at = rows.withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    share = (F.col("__step") + 0.5) / steps
+    at = at.select(
+        F.struct("ts_code", *[F.col(f).alias(f"x{i}") for i, f in enumerate(factors)]).alias("stock_code"),
+        F.struct("trade_date", "__step").alias("trade_date"),  # a day of each step is a day of its own
+        *[(F.col(f) * share).alias(f) for f in factors],
+    )
+    wanted = {f"g{i}": g for i, g in enumerate(gradients(score, [col(f) for f in factors]))}
+    got = computed(at, wanted)
+    shares = [F.col(f"stock_code.x{i}") * F.col(f"g{i}") for i in range(len(factors))]
+    return got.groupBy(F.col("stock_code.ts_code").alias("ts_code"), F.col("trade_date.trade_date").alias("trade_date")).agg(
+        *[F.avg(s).alias(f) for s, f in zip(shares, factors)], *[F.avg(F.abs(s)).alias(f"abs_{f}") for s, f in zip(shares, factors)]
+    )
+
+
+def saliency(attributions: DataFrame, factors: list[str]) -> DataFrame:
+    """factor, saliency: the mean absolute share of each factor over all rows of integrated_gradients()."""
+    one = attributions.agg(*[F.avg(f"abs_{f}").alias(f) for f in factors])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("saliency")) for f in factors])))

@@ -69,6 +69,7 @@ _ROW = {
     "sign": lambda x: F.when(F.isnan(x), F.lit(NAN)).otherwise(F.signum(x)),
     "sqrt": F.sqrt,
     "exp": F.exp,
+    "tanh": F.tanh,
     "clip": lambda x, low, high: F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(x, low), high)).otherwise(x),
     "number": lambda b: b.cast("double"),
     "is_null": lambda x: x.isNull(),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import expr as x
 from ..operators import evaluate as e
 from ..operators import network as n
 from .base import FACTORS, GRID_SQL, K, PERIOD, final, grid, out, scores
@@ -59,6 +60,21 @@ def network_importance(spark, sf_dir):
     return out(e.permutation_importance(grid(spark, sf_dir), FACTORS, n.scorer(model, FACTORS), K, 2, PERIOD))
 
 
+def attributions(spark, sf_dir):
+    """Shares of a small scorer: two ramps, a product, and a term against the day's mean."""
+    a, b, c, d = (x.col(f) for f in FACTORS[:4])
+    score = x.tanh(a * 0.6 + b * c * 0.4 + 0.1) * 1.5 + b * x.tanh(d) * 0.5 + x.tanh(d - x.cs_mean(d))
+    return e.integrated_gradients(grid(spark, sf_dir), score, FACTORS[:4])
+
+
+_GRADIENTS = GRID_SQL + """, plain AS (SELECT ts_code, trade_date, """ + ", ".join(f"CASE WHEN isfinite({f}) THEN {f} ELSE 0 END AS {n}" for f, n in zip(FACTORS, "abcd")) + """ FROM grid),
+  steps AS (SELECT ts_code, trade_date, k, a AS xa, b AS xb, c AS xc, d AS xd, a * s AS a, b * s AS b, c * s AS c, d * s AS d FROM (SELECT *, (k + 0.5::DOUBLE) / 50 AS s FROM plain, range(50) r(k))),
+  parts AS (SELECT *, 1.5 * (1 - pow(tanh(a * 0.6 + b * c * 0.4 + 0.1), 2)) AS u, 1 - pow(tanh(d - avg(d) OVER (PARTITION BY trade_date, k)), 2) AS m FROM steps),
+  shares AS (SELECT ts_code, trade_date, xa * u * 0.6 AS a, xb * (u * 0.4 * c + tanh(d) * 0.5) AS b, xc * u * 0.4 * b AS c,
+    xd * (b * 0.5 * (1 - pow(tanh(d), 2)) + m - avg(m) OVER (PARTITION BY trade_date, k)) AS d FROM parts),
+  attributed AS (SELECT ts_code, trade_date, """ + ", ".join(f"avg({n}) AS {f}, avg(abs({n})) AS abs_{f}" for f, n in zip(FACTORS, "abcd")) + """ FROM shares GROUP BY ts_code, trade_date)"""
+
+
 def shuffled(spark, sf_dir):
     return out(e.shuffled_by_day(grid(spark, sf_dir), ["alpha_001", "mfp_000"], 5).select("ts_code", "trade_date", "alpha_001", "mfp_000", "gtja_000"))
 
@@ -110,6 +126,8 @@ QUERIES = {
     "eval_shuffle_by_day": shuffled,
     "eval_permutation_importance": importance,
     "eval_network_importance": network_importance,
+    "eval_integrated_gradients": lambda s, d: out(attributions(s, d)),
+    "eval_gradient_saliency": lambda s, d: out(e.saliency(attributions(s, d), FACTORS[:4])),
 }
 
 _SERIES = f"""SELECT trade_date, coalesce(ic, 0) AS ic, coalesce(ret, 0) AS ret FROM (SELECT DISTINCT trade_date FROM scores) LEFT JOIN ics USING (trade_date) LEFT JOIN rets USING (trade_date)"""
@@ -138,4 +156,8 @@ ORACLES = {
         "prefix n_factors n_seeds",
         _DROPS,
     ),
+    "eval_integrated_gradients": final(_GRADIENTS, "SELECT * FROM attributed", "ts_code trade_date", " ".join([*FACTORS[:4], *(f"abs_{f}" for f in FACTORS[:4])])),
+    "eval_gradient_saliency": final(
+        _GRADIENTS, "SELECT unnest(" + repr(FACTORS[:4]) + ") AS factor, unnest([" + ", ".join(f"avg(abs_{f})" for f in FACTORS[:4]) + "]) AS saliency FROM attributed", "factor", "saliency"
+    ),
 }
