@@ -42,16 +42,39 @@ def sortino(rows: int = ROWS, target: float = 0.0, ret: str = "ret") -> Column:
     return (F.avg(ret).over(w) - target) / deviation * YEAR**0.5
 
 
+#: Days of a block of returns.
+BLOCK_DAYS = 64
+
+
 def mean_variance(weights: DataFrame, returns: DataFrame, aversion: float = 1.0) -> DataFrame:
     """trade_date, value: with the day's weights held over all days so far, mean less aversion times variance.
 
-    w'Sw is the variance of the returns that the fixed weights would have had, so no covariance matrix is formed.
-    Days are joined with the days before them: both have one row per date, and the codes meet by equality.
+    w'Sw is the variance of the returns that the fixed weights would have had, so no covariance matrix is formed, and of these
+    returns only two sums are needed.  A code's returns lie in arrays of BLOCK_DAYS days; a held weight meets each block of
+    its code up to its own day once, the blocks of a day's weights are added up place by place, and each gives its two
+    sums.  Weights of zero take no part.  A day on which a code has no return counts as none.
     """
-    past = returns.select(F.col("trade_date").alias("past"), "ts_code", "masked_ret")
-    held = weights.join(past, "ts_code").where("past <= trade_date")
-    each = held.groupBy("trade_date", "past").agg(F.sum(F.col("weight") * F.col("masked_ret")).alias("r"))
-    return each.groupBy("trade_date").agg((F.avg("r") - aversion * F.coalesce(F.var_samp("r"), F.lit(0.0))).alias("value"))
+    number = F.datediff("trade_date", F.lit("1970-01-01"))
+    place = lambda c: F.pmod(c, F.lit(BLOCK_DAYS)).cast("int")
+    day = returns.select("ts_code", number.alias("d"), F.coalesce("masked_ret", F.lit(0.0)).alias("r"))
+    blocks = day.groupBy("ts_code", F.floor(F.col("d") / BLOCK_DAYS).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(place(F.col("d")), "r"))).alias("m"))
+    blocks = blocks.select("ts_code", "block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK_DAYS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("past"))
+    held = weights.where("weight != 0").select("trade_date", "ts_code", "weight", number.alias("d"))
+    met = held.join(blocks, "ts_code").where(F.col("block") * BLOCK_DAYS <= F.col("d"))
+    until = F.col("d") - F.col("block") * BLOCK_DAYS  # the last place that counts
+    own = F.transform("past", lambda r, k: F.when(k <= until, r * F.col("weight")).otherwise(0.0))
+    day_blocks = met.select("trade_date", "block", own.alias("own")).groupBy("trade_date", "block").agg(F.collect_list("own").alias("all"))  # one array for each held code
+    zero = F.array_repeat(F.lit(0.0), BLOCK_DAYS)
+    day_blocks = day_blocks.select("trade_date", F.aggregate("all", zero, lambda x, y: F.zip_with(x, y, lambda p, q: p + q)).alias("r"))
+    fold = lambda f: F.sum(F.aggregate("r", F.lit(0.0), lambda t, r: t + f(r)))
+    sums = day_blocks.groupBy("trade_date").agg(fold(lambda r: r).alias("total"), fold(lambda r: r * r).alias("squares"))
+    dates = weights.select("trade_date", F.lit(0).alias("has"), F.lit(1).alias("asked")).unionByName(returns.select("trade_date", F.lit(1).alias("has"), F.lit(0).alias("asked")))
+    dates = dates.groupBy("trade_date").agg(F.max("has").alias("has"), F.max("asked").alias("asked"))
+    dates = dates.withColumn("n", F.sum("has").over(Window.orderBy("trade_date"))).where("asked = 1 AND n > 0")  # one row per date
+    got = dates.join(sums, "trade_date", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("total", "squares")})
+    mean = F.col("total") / F.col("n")
+    spread = F.when(F.col("n") > 1, F.greatest(F.col("squares") - F.col("total") * mean, F.lit(0.0)) / (F.col("n") - 1)).otherwise(0.0)
+    return got.select("trade_date", (mean - aversion * spread).alias("value"))
 
 
 def rewards(series: DataFrame, kind: str, rows: int = ROWS, target: float = 0.0) -> DataFrame:
