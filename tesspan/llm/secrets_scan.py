@@ -1,22 +1,22 @@
 """Secret scans by a battery of randomness tests.
 
 Base spans come from fixed patterns.  Beside them every long token, in a base span or not,
-is tried as a secret: its encoding is inferred from its characters, and four tests ask how far it is from
-random text of that encoding: chi-squared uniformity over the alphabet and over its digits, capitals and small letters, the
-runs test about the alphabet's middle, and lag-one serial correlation.  Four times the smallest
-p-value is its score: near 1 for random characters, tiny for words.
+is tried as a secret: its encoding is inferred from its characters, and eight tests ask how far it is from
+random text of that encoding: chi-squared uniformity over the alphabet, over its letters whatever their case, over kinds (digits,
+capitals, small letters), over vowels and over pairs of kinds; runs tests over kinds and over vowels among neighbouring
+letters; and lag-one serial correlation.  The logarithms of their p-values are combined with weights.
 
 A run is cut at every '=' that is not padding at its end; what no alphabet holds is cut at '/',
 and what still has none at '-' and '_'.  Pieces of SHORTEST or more characters are tried.
 Plain numbers and letters in one case (or capitalised) are not.
 
-What scores plain words of the same length reach is known from a fixed reference: REFERENCE
-words of each length band (in one case, capitalised, of mixed case, of mixed case with digits; judged
-over the alphabet of mixed tokens), the same for every table.  A token's p-value is the share of such words that score
-as high, and in every length band the Benjamini-Hochberg rule keeps the share of false finds
-against such words at RATE.  As
-p-values are no smaller than 1 / (1 + REFERENCE), a token is found only if a thousandth of the
-band's tokens score so; how large the table is doesn't matter.
+What ordinary tokens reach is known from a fixed reference, the same for every table: for each
+alphabet and length band REFERENCE tokens of each of several kinds (words of a vocabulary and made-up syllables, in the cases
+that the alphabet has, with and without dates and counters, joined as paths and slugs are).  The weights are those that tell
+random tokens best from it (Fisher's discriminant).  A token's p-value is the share of reference tokens that look as
+random; of each kind, beyond the TAIL lowest, it goes on falling at the exponential rate of these, down to LEAST.  What looks less random than RANDOM_SHARE of random tokens do is never found.  In every length band the Benjamini-Hochberg rule keeps the share of false
+finds at RATE.  So how rare secrets may be depends on how far the tests tell a length apart, and how
+large the table is doesn't matter.
 
 Defined results: null text counts as empty; rows are scanned one by one, so repeated rows
 and null ids come back as they are; a whole text is scanned whatever its length; spans are
@@ -27,8 +27,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-RATE, REFERENCE, SHORTEST = 0.01, 100_000, 20
+RATE, REFERENCE, SHORTEST = 0.01, 10_000, 20
+TAIL, LEAST, RANDOM_SHARE = 100, 1e-9, 0.97
 KINDS = ("assign", "access", "hex", "random")
 #: Patterns of the base spans (fixed values).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -61,8 +62,8 @@ ALPHABETS = [
 ]
 _PLACES = {name: {c: i for i, c in enumerate(chars)} for name, chars in ALPHABETS}
 _SETS = [(name, frozenset(chars)) for name, chars in ALPHABETS]
-#: Scores are counted by tenths of a decade, from 1 down to 10^-20.
-BINS = 200
+#: P-values are counted by tenths of a decade, from 1 down to LEAST.
+BINS = round(-10 * math.log10(LEAST)) + 1
 BANDS = (20, 24, 28, 32, 40, 48, 64, 96, 128, 256)
 
 
@@ -107,50 +108,70 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
             pieces = left
 
 
-def _kinds(chars: str) -> np.ndarray:
-    """0, 1 or 2 for each character: digit, capital or sign, small letter; numbered without gaps."""
-    return np.unique([0 if c.isdigit() else 2 if c.islower() else 1 for c in chars], return_inverse=True)[1]
+def _classes(chars: str) -> dict[str, np.ndarray]:
+    """For each character: its kind (digit, capital or sign, small letter; without gaps), its letter whatever the case (without gaps), and whether it is a letter and a vowel."""
+    kinds = np.unique([0 if c.isdigit() else 2 if c.islower() else 1 for c in chars], return_inverse=True)[1]
+    letters = np.unique([c.lower() if c.isalpha() else "0" for c in chars], return_inverse=True)[1]
+    return {"kind": kinds, "letter": letters, "is_letter": np.array([c.isalpha() for c in chars]), "is_vowel": np.array([c in "aeiouAEIOU" for c in chars])}
 
 
-_KIND_OF = {name: _kinds(chars) for name, chars in ALPHABETS}
-_SHARES = {name: np.bincount(kinds) / len(kinds) for name, kinds in _KIND_OF.items()}
+_CLASS = {name: _classes(chars) for name, chars in ALPHABETS}
+#: Natural logarithms of p-values that count, at most.
+_MOST = 60.0
+_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def _upper(z: np.ndarray) -> np.ndarray:
+    return 0.5 * _erfc(z / math.sqrt(2))
 
 
-def _upper(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def _counted(x: np.ndarray, size: int) -> np.ndarray:
+    m = len(x)
+    return np.bincount((np.arange(m)[:, None] * size + x).ravel(), minlength=m * size).reshape(m, size)
 
 
-def score(token: str, name: str) -> float:
-    """Four times the least p-value of uniformity (characters and kinds), runs and serial correlation under random characters, 1 at most."""
-    places = _PLACES[name]
-    size = len(places)
-    x = [places[c] for c in token.rstrip("=") if c in places]
-    n = len(x)
-    if n < 2:
-        return 0.0
-    chi = sum(c * c for c in Counter(x).values()) * size / n - n
-    k = size - 1  # Wilson-Hilferty: the cube root of chi-squared over its freedom is nearly normal
-    uniform = _upper(((max(chi, 0) / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
-    kinds, shares = _KIND_OF[name], _SHARES[name].tolist()
-    per = Counter(kinds[v] for v in x)
-    chi = sum((per.get(j, 0) - n * q) ** 2 / (n * q) for j, q in enumerate(shares))
-    of_kinds = math.exp(-chi / 2) if len(shares) == 3 else math.erfc(math.sqrt(chi / 2))
-    high = [v * 2 >= size for v in x]
-    up = sum(high)
-    runs = 0.0
-    if 0 < up < n:
-        mean = 1 + 2 * up * (n - up) / n
-        spread = (mean - 1) * (mean - 2) / (n - 1)
-        count = 1 + sum(a != b for a, b in zip(high, high[1:]))
-        runs = 2 * _upper(abs(count - mean) / math.sqrt(spread)) if spread > 0 else 1.0
-    mid = sum(x) / n
-    power = sum((v - mid) ** 2 for v in x)
-    serial = 2 * _upper(abs(sum((a - mid) * (b - mid) for a, b in zip(x, x[1:])) / power + 1 / n) * math.sqrt(n)) if power else 0.0
-    return min(1.0, 4 * min(uniform, of_kinds, runs, serial))
+def _uniform(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Chi-squared p-values of rows of counts (Wilson-Hilferty: the cube root of chi-squared over its freedom is nearly normal)."""
+    want = counts.sum(1, keepdims=True) * shares
+    chi, k = ((counts - want) ** 2 / want).sum(1), len(shares) - 1
+    return _upper(((chi / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
 
 
-def _bin(s: float) -> int:
-    return min(BINS - 1, int(-10 * math.log10(s))) if s > 10 ** (-BINS / 10) else BINS - 1
+def _two_sided(away: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """P-values of normal deviations; where there is no spread nothing is known."""
+    return np.where(spread > 1e-9, 2 * _upper(np.abs(away) / np.sqrt(np.where(spread > 1e-9, spread, 1))), 1.0)
+
+
+def battery(x: np.ndarray, name: str) -> np.ndarray:
+    """Minus the logarithm of the p-value of each test, for tokens of one length (two characters at least): x holds their places in the alphabet."""
+    of = _CLASS[name]
+    size, (_, n) = len(of["kind"]), x.shape
+    kind_shares, letter_shares = (np.bincount(of[c]) / size for c in ("kind", "letter"))
+    kinds, letters, vowels = of["kind"][x], of["is_letter"][x], of["is_vowel"][x]
+    k = len(kind_shares)
+    per = _counted(kinds, k).astype(float)
+    two, three = (per**2).sum(1), (per**3).sum(1)
+    runs = 1 + (kinds[:, 1:] != kinds[:, :-1]).sum(1)
+    runs_spread = (two * (two + n * (n + 1)) - 2 * n * three - n**3) / (n * n * (n - 1.0))
+    one_kind = per.max(1) == n  # as far from random as runs can be
+    share = of["is_vowel"].sum() / of["is_letter"].sum()
+    n_letters, n_vowels = letters.sum(1), vowels.sum(1)
+    both = letters[:, 1:] & letters[:, :-1]
+    turns, n_both, turn = (both & (vowels[:, 1:] != vowels[:, :-1])).sum(1), both.sum(1), 2 * share * (1 - share)
+    off = x - x.mean(1, keepdims=True)
+    power = (off * off).sum(1)
+    near = (off[:, 1:] * off[:, :-1]).sum(1) / np.where(power > 0, power, 1)
+    found = [
+        _uniform(_counted(x, size), np.full(size, 1 / size)),
+        _uniform(_counted(of["letter"][x], len(letter_shares)), letter_shares),
+        _uniform(per, kind_shares),
+        np.where(one_kind, 0.0, _two_sided(runs - 1 - (n * n - two) / n, runs_spread)),
+        np.where(power > 0, 2 * _upper(np.abs(near + 1 / n) * math.sqrt(n)), 0.0),
+        _two_sided(n_vowels - n_letters * share, n_letters * share * (1 - share)),
+        _uniform(_counted(kinds[:, :-1] * k + kinds[:, 1:], k * k), np.outer(kind_shares, kind_shares).ravel()),
+        _two_sided(turns - n_both * turn, n_both * turn * (1 - turn)),
+    ]
+    return np.minimum(-np.log(np.clip(np.stack(found, 1), 1e-300, 1.0)), _MOST)
 
 
 def _band(n: int) -> int:
@@ -168,93 +189,154 @@ _PARTS = (
     "setting shape shared size source stage start state status storage store stream string style submit system table target task template test text thread time title total "
     "trace transfer type update upload user value vector version view width window worker write"
 ).split()
+_HEX_PARTS = "ad add bad bead bed cab cafe dad dead deaf deed face fad fade fed fee feed ace ab be da fa fab dab bee".split()
+#: Cases of which a part gets one at random.
+_CASES = {"mixed": ["lower", "capitalize", "upper"], "acronyms": ["capitalize"] * 6 + ["upper"]}
+#: For each alphabet the kinds of ordinary tokens: case of the words, share of numbers among the parts, sign between parts.
+_ORDINARY = {
+    "hex": [("lower", 0.5, ""), ("lower", 0.8, "")],
+    "HEX": [("upper", 0.5, ""), ("upper", 0.8, "")],
+    "base32": [("upper", 0.2, ""), ("upper", 0.5, "")],
+    "base36": [("lower", 0.1, ""), ("lower", 0.2, ""), ("lower", 0.5, "")],
+    "base62": [("capitalize", 0.0, ""), ("capitalize", 0.2, ""), ("capitalize", 0.5, ""), ("acronyms", 0.0, ""), ("acronyms", 0.2, ""), ("mixed", 0.2, "")],
+    "base64": [("capitalize", 0.1, "/"), ("mixed", 0.2, "/"), ("lower", 0.2, "/"), ("mixed", 0.2, "+")],
+    "base64url": [("lower", 0.2, "-"), ("mixed", 0.3, "-"), ("lower", 0.2, "_"), ("mixed", 0.3, "_"), ("upper", 0.2, "_")],
+}
+
+
+def ordinary(rng: np.random.Generator, name: str, n: int, kind: tuple[str, float, str], count: int) -> np.ndarray:
+    """Places of `count` ordinary tokens of n characters: each begins with a part of one long text of parts."""
+    case, numbers, sign = kind
+    digits = [c for c in _PLACES[name] if c.isdigit()]
+    words = _HEX_PARTS if name in ("hex", "HEX") else _PARTS
+    made = "bcdf" if name in ("hex", "HEX") else "bcdfghjklmnprstvwz"
+    vowels = "ae" if name in ("hex", "HEX") else "aeiou"
+    parts = []
+    for _ in range(count + n):
+        if rng.random() < numbers:
+            year, month, day, low = rng.integers(1990, 2035), rng.integers(1, 13), rng.integers(1, 29), rng.integers(0, 1000)
+            part = [f"{year}", f"{year}{month:02}{day:02}", f"{low % 10}", f"{low:04}"][rng.integers(4)]
+            part = "".join(c if c in digits else digits[int(c) % len(digits)] for c in part)
+        else:
+            if rng.random() < 0.5:
+                part = words[rng.integers(len(words))]
+            else:
+                part = "".join(made[int(abs(rng.normal()) * 6) % len(made)] + vowels[rng.integers(len(vowels))] for _ in range(rng.integers(1, 5)))
+            part = getattr(part, _CASES[case][rng.integers(len(_CASES[case]))] if case in _CASES else case)()
+        parts.append(part + (sign if rng.random() < 0.8 else ""))
+    places = np.array([_PLACES[name][c] for c in "".join(parts)])
+    first = np.cumsum([0, *map(len, parts)])[:count]
+    return places[first[:, None] + np.arange(n)]
+
+
+@dataclass
+class Reference:
+    """Weights of the tests, the sum that RANDOM_SHARE of random tokens stay under, and for each kind of ordinary token the lowest sums, in order."""
+
+    weights: np.ndarray
+    most: float
+    lowest: list[np.ndarray]
+    count: int
+
+    def sums(self, found: np.ndarray) -> np.ndarray:
+        return np.sqrt(found) @ self.weights
+
+    def p_values(self, found: np.ndarray) -> np.ndarray:
+        """P-values of rows of battery(): the larger, the more ordinary tokens look as random."""
+        y, out = self.sums(found), np.zeros(len(found))
+        for low in self.lowest:
+            edge = low[TAIL]
+            rate = 1 / max(float((edge - low[:TAIL]).mean()), 1e-9)
+            far = (TAIL + 1) / self.count * np.exp(np.minimum(rate * (y - edge), 0.0))
+            near = np.searchsorted(low, y, "right") / self.count
+            out += np.where(y <= edge, far, np.where(y >= low[-1], 1.0, near)) / len(self.lowest)
+        return np.where(y > self.most, 1.0, np.clip(out, LEAST, 1.0))
+
+
+def battery_in_parts(x: np.ndarray, name: str) -> np.ndarray:
+    return np.concatenate([battery(x[at : at + 2_000], name) for at in range(0, len(x), 2_000)])
 
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
+@lru_cache(maxsize=None)
+def reference(name: str, band: int) -> Reference:
+    rng, n = np.random.default_rng([band, [a for a, _ in ALPHABETS].index(name)]), BANDS[band]
+    random = battery_in_parts(rng.integers(0, len(_PLACES[name]), (4_000, n)), name)
+    kinds = [battery_in_parts(ordinary(rng, name, n, kind, REFERENCE), name) for kind in _ORDINARY[name]]
+    a, b = np.sqrt(random), np.sqrt(np.concatenate(kinds))
+    weights = np.linalg.solve(np.cov(a.T) + np.cov(b.T) + 0.01 * np.eye(a.shape[1]), b.mean(0) - a.mean(0))
+    lowest = [np.sort(np.sqrt(found) @ weights)[: max(TAIL + 1, REFERENCE // 10)] for found in kinds]
+    return Reference(weights, float(np.quantile(a @ weights, RANDOM_SHARE)), lowest, REFERENCE)
+
+
+SPANS = "array<struct<start: int, end: int, kind: string>>"
+FOUND = f"doc_id string, base {SPANS}, tried array<struct<start: int, end: int, name: string, band: int, tests: array<double>>>"
+JUDGED = f"doc_id string, base {SPANS}, tried array<struct<start: int, end: int, band: int, bin: int>>"
+
+
+def batteries(tokens: list[tuple[str, str]]) -> list[np.ndarray]:
+    """battery() of each (token, alphabet); those of one length and alphabet are tested together."""
+    groups: dict[tuple[str, int], list[int]] = {}
+    for i, (token, name) in enumerate(tokens):
+        groups.setdefault((name, len(token)), []).append(i)
+    out: list = [None] * len(tokens)
+    for (name, _), rows in groups.items():
+        places = _PLACES[name]
+        for at in range(0, len(rows), 1_000):
+            part = rows[at : at + 1_000]
+            for i, own in zip(part, battery(np.array([[places[c] for c in tokens[i][0]] for i in part]), name)):
+                out[i] = own
+    return out
 
 
-def scores(x: np.ndarray, name: str) -> np.ndarray:
-    """score() of many tokens of one length (two characters at least): x holds their places in the alphabet."""
-    size = len(_PLACES[name])
-    m, n = x.shape
-    upper = lambda z: 0.5 * _erfc(z / math.sqrt(2))
-    counts = np.bincount((np.arange(m)[:, None] * size + x).ravel(), minlength=m * size).reshape(m, size)
-    k = size - 1
-    chi = (counts * counts).sum(1) * size / n - n
-    uniform = upper(((np.maximum(chi, 0) / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
-    shares, kinds = _SHARES[name], _KIND_OF[name][x]
-    chi = sum(((kinds == j).sum(1) - n * q) ** 2 / (n * q) for j, q in enumerate(shares))
-    of_kinds = np.exp(-chi / 2) if len(shares) == 3 else _erfc(np.sqrt(chi / 2))
-    high = x * 2 >= size
-    up = high.sum(1)
-    mean = 1 + 2 * up * (n - up) / n
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    away = np.abs(1 + (high[:, 1:] != high[:, :-1]).sum(1) - mean)
-    runs = np.where(spread > 0, 2 * upper(away / np.sqrt(np.where(spread > 0, spread, 1))), 1.0)
-    runs[(up == 0) | (up == n)] = 0.0
-    off = x - x.mean(1, keepdims=True)
-    power = (off * off).sum(1)
-    near = (off[:, 1:] * off[:, :-1]).sum(1)
-    serial = np.where(power > 0, 2 * upper(np.abs(near / np.where(power > 0, power, 1) + 1 / n) * math.sqrt(n)), 0.0)
-    return np.minimum(1.0, 4 * np.minimum(np.minimum(uniform, of_kinds), np.minimum(runs, serial)))
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        base, spans, tokens = [], [], []
+        for row, text in enumerate(pdf["text"]):
+            text = text or ""
+            base.append([dict(zip(("start", "end", "kind"), x)) for x in base_spans(text)])
+            for x, y, name in candidates(text):
+                spans.append((row, x, y))
+                tokens.append((text[x:y].rstrip("="), name))
+        tried: list[list[dict]] = [[] for _ in base]
+        for (row, x, y), (token, name), own in zip(spans, tokens, batteries(tokens)):
+            tried[row].append({"start": x, "end": y, "name": name, "band": _band(len(token)), "tests": own})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "base": base, "tried": tried})
 
 
-@lru_cache(maxsize=None)
-def reference(band: int) -> tuple[int, ...]:
-    """How many of the reference's words have each bin, judged over base62.
-
-    A fifth each: small letters, capitalised, capitals, mixed case (parts capitalised), mixed case with a digit after three parts in ten.
-    """
-    rng, n, out = np.random.default_rng(band), BANDS[band], np.zeros(BINS, np.int64)
-    kind = np.arange(REFERENCE) % 5
-    for k in range(5):
-        parts = [_PARTS[j] for j in rng.integers(0, len(_PARTS), REFERENCE // 5 + n)]
-        if k == 2:
-            parts = [p.upper() for p in parts]
-        elif k > 2:
-            digit = rng.integers(0, 10, len(parts)), rng.random(len(parts)) < 0.3
-            parts = [p.capitalize() + (str(d) if k == 4 and some else "") for p, d, some in zip(parts, *digit)]
-        places = np.array([_PLACES["base62"][c] for c in "".join(parts)])
-        first = np.cumsum([0, *map(len, parts)])[: int((kind == k).sum())]  # a word begins with every part
-        for at in range(0, len(first), 10_000):
-            x = places[first[at : at + 10_000, None] + np.arange(n)]
-            if k == 1:
-                x[:, 0] += _PLACES["base62"]["A"] - _PLACES["base62"]["a"]
-            out += np.bincount([_bin(v) for v in scores(x, "base62")], minlength=BINS)
-    return tuple(out.tolist())
-
-
-ROW = "doc_id string, base array<struct<start: int, end: int, kind: string>>, tried array<struct<start: int, end: int, band: int, bin: int>>"
+def _judged(references: dict[tuple[str, int], Reference]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for tried in pdf["tried"]:
+                own = []
+                for t in tried:
+                    p = references[t["name"], t["band"]].p_values(np.asarray(t["tests"], float)[None])[0]
+                    own.append({"start": t["start"], "end": t["end"], "band": t["band"], "bin": bin_of(p)})
+                rows.append(own)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "base": pdf["base"], "tried": rows})
 
+    return run
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def bin_of(p: float) -> int:
+    return min(BINS - 1, int(-10 * math.log10(p) + 1e-9))
+
+
+def _referred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-            text = text or ""
-            base = base_spans(text)
-            tried = [(x, y, _band(len(text[x:y].rstrip("="))), _bin(score(text[x:y], name))) for x, y, name in candidates(text)]
-            rows.append((doc_id, base, tried))
-        yield pd.DataFrame(
-            {
-                "doc_id": [r[0] for r in rows],
-                "base": [[dict(zip(("start", "end", "kind"), x)) for x in r[1]] for r in rows],
-                "tried": [[dict(zip(("start", "end", "band", "bin"), x)) for x in r[2]] for r in rows],
-            }
-        )
+        got = [reference(name, int(band)) for name, band in zip(pdf["name"], pdf["band"])]
+        yield pd.DataFrame({"name": pdf["name"], "band": pdf["band"], "weights": [r.weights for r in got], "most": [r.most for r in got], "lowest": [list(r.lowest) for r in got]})
 
 
 def limits(tried: dict[tuple[int, int], int], rate: float = RATE) -> list[int]:
-    """For each length band the largest bin that counts as random (-1: none), by Benjamini-Hochberg."""
+    """For each length band the smallest bin that counts as random (BINS: none), by Benjamini-Hochberg; a bin's p-value is its largest."""
     out = []
     for band in range(len(BANDS)):
-        all_tried = sum(tried.get((band, b), 0) for b in range(BINS))
-        nulls = reference(band) if all_tried else ()
-        best, as_high, found = -1, 0, 0
-        for b, n in enumerate(nulls):
-            as_high += n
+        all_tried = sum(n for (b, _), n in tried.items() if b == band)
+        best, found = BINS, 0
+        for b in range(BINS - 1, -1, -1):
             found += tried.get((band, b), 0)
-            if found and (1 + as_high) / (1 + REFERENCE) <= rate * found / all_tried:
+            if found and 10 ** (-b / 10) <= rate * found / all_tried:
                 best = b
         out.append(best)
     return out
@@ -264,13 +346,17 @@ def secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, base and random, arrays of spans (start, end and kind)."""
     kind = docs.schema["doc_id"].dataType
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as text, so that pandas keeps ids beside nulls
-    found = saved(rows.mapInPandas(_scan, ROW), "spans")
+    found = saved(rows.mapInPandas(_scan, FOUND), "spans")
+    pairs = found.select(F.explode("tried").alias("t")).select("t.name", "t.band").distinct().repartition("name", "band")  # each alphabet with each band at most
+    got = pairs.mapInPandas(_referred, "name string, band int, weights array<double>, most double, lowest array<array<double>>").collect()
+    references = {(r["name"], r["band"]): Reference(np.array(r["weights"]), r["most"], [np.array(x) for x in r["lowest"]], REFERENCE) for r in got}
+    judged = saved(found.mapInPandas(_judged(references), JUDGED), "judged")
     # len(BANDS) * BINS rows at most
-    tried = {(r.band, r.bin): r.n for r in found.select(F.explode("tried").alias("t")).groupBy("t.band", "t.bin").agg(F.count(F.lit(1)).alias("n")).collect()}
-    top = F.array(*[F.lit(b) for b in limits(tried)])
-    found_random = F.filter("tried", lambda t: t["bin"] <= F.element_at(top, t["band"] + 1))
+    tried = {(r["band"], r["bin"]): r["n"] for r in judged.select(F.explode("tried").alias("t")).groupBy("t.band", "t.bin").agg(F.count(F.lit(1)).alias("n")).collect()}
+    least = F.array(*[F.lit(b) for b in limits(tried)])
+    found_random = F.filter("tried", lambda t: t["bin"] >= F.element_at(least, t["band"] + 1))
     found_random = F.transform(found_random, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("random").alias("kind")))
-    return found.select(F.col("doc_id").cast(kind).alias("doc_id"), "base", found_random.alias("random"))
+    return judged.select(F.col("doc_id").cast(kind).alias("doc_id"), "base", found_random.alias("random"))
 
 
 def _joined(spans: Column) -> Column:
