@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.expr import ALPHA, GTJA, E, formula
+from ..functions.expr import ALPHA, GTJA, E, formula, user
 from ..plans.columns import computed
 from ..plans.sql import sql
 from . import alpha_formulas, gtja_formulas
@@ -24,10 +24,11 @@ class Factor:
     direction: str
     quality: int
     text: str
+    node: E | None = field(default=None, compare=False)  # of a factor in code; its text names it
 
     @property
     def expression(self) -> E:
-        return _expression(self.family, self.text)
+        return _expression(self.family, self.text) if self.node is None else self.node
 
 
 @cache
@@ -54,6 +55,12 @@ def register(factor: Factor) -> Factor:
     return factor
 
 
+def register_function(name: str, build: Callable, *inputs: E, side: str = "row", category: str = "user", direction: str = "normal", quality: int = 0) -> Factor:
+    """Add a factor that a function builds (see functions.expr.user): inputs are columns or any expressions."""
+    node = user(name, build, *inputs, side=side)
+    return register(Factor(name, "user", category, direction, quality, f"{name}({len(inputs)} inputs, by {side})", node))
+
+
 for _family, (_, _module) in FAMILIES.items():
     for _row in _module.FORMULAS:
         register(Factor(_row[0], _family, *_row[1:]))

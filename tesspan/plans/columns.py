@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.expr import E
+from ..functions.expr import E, builder
 from .stages import plan
 
 STOCK, DAY = "stock_code", "trade_date"
@@ -88,7 +88,7 @@ def rows(e: E, names: dict[E, str]) -> Column:
         return F.col(e.params[0])
     if e.op == "lit":
         return F.lit(e.params[0]).cast("double")
-    return _ROW[e.op](*[rows(a, names) for a in e.args])
+    return (builder(e) if e.op == "user" else _ROW[e.op])(*[rows(a, names) for a in e.args])
 
 
 def _stock() -> WindowSpec:
@@ -171,6 +171,8 @@ def with_ewm(df: DataFrame, e: E, own: str, names: dict[E, str]) -> DataFrame:
 
 def window(e: E, names: dict[E, str]) -> Column:
     x = [rows(a, names) for a in e.args]
+    if e.op == "user":
+        return builder(e)(*x, _stock() if e.kind == "ts" else Window.partitionBy(DAY))
     if e.kind == "ts":
         if e.op == "index":
             return (F.row_number().over(_stock()) - 1).cast("double")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import col, ts_mean
 from ..functions.shared import shared, shared_path
 from ..operators import factors
 from ..plans.columns import computed
@@ -250,6 +251,34 @@ def user_factor(spark, sf_dir):
     return out(computed(panel(spark, sf_dir), {"user_strength": mine.expression, "alpha101": factors.factor("alpha101").expression}))
 
 
+def _spread(high, low):
+    def spread(high: pd.Series, low: pd.Series) -> pd.Series:
+        return (high - low) / low
+
+    return F.pandas_udf(spread, "double")(high, low)
+
+
+def _since_high(close, window):
+    """Weeks since the highest close of the last eight rows."""
+    at = F.max(F.struct(close.alias("c"), F.col("trade_date").alias("d"))).over(window.rowsBetween(-7, 0))["d"]
+    return F.datediff("trade_date", at).cast("double") / 7.0
+
+
+def _share(volume, window):
+    return volume / F.sum(volume).over(window)
+
+
+def user_functions(spark, sf_dir):
+    """Factors that a user writes as functions (of a row in Python, of a stock's days, of a day's stocks, one upon another) beside one of the catalogue, in one plan."""
+    close, high, low, volume = map(col, ("close", "high", "low", "volume"))
+    spread = factors.register_function("user_spread", _spread, high, low)
+    since = factors.register_function("user_since_high", _since_high, close, side="stock")
+    share = factors.register_function("user_share", _share, volume, side="day")
+    mixed = ts_mean(share.expression * spread.expression, 3)
+    wanted = {f.id: f.expression for f in (spread, since, share)} | {"user_mixed": mixed, "alpha101": factors.factor("alpha101").expression}
+    return out(computed(panel(spark, sf_dir), wanted))
+
+
 def score_callback(spark, sf_dir):
     """A score function of the user's as a vectorised Python function."""
 
@@ -281,6 +310,7 @@ QUERIES = {
     "stream_run_logs": stream_run_logs,
     "stream_run_liveness": stream_liveness,
     "user_registered_factor": user_factor,
+    "user_functions": user_functions,
     "user_score_callback": score_callback,
 }
 
@@ -353,4 +383,14 @@ ORACLES = {
         "user_strength alpha101",
     ),
     "user_score_callback": final(TRAINING_SQL, "SELECT ts_code, trade_date, least(greatest(coalesce(pct_chg, 0) * 2 - coalesce(mfp_000, 1), -5), 5) AS score FROM training", "ts_code trade_date", "score"),
+    "user_functions": final(
+        PANEL_SQL
+        + """, m AS (SELECT *, (high - low) / low AS user_spread, volume / sum(volume) OVER (PARTITION BY trade_date) AS user_share,
+             list({'c': close, 'd': trade_date}) OVER (PARTITION BY stock_code ORDER BY trade_date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS l FROM panel)""",
+        """SELECT stock_code, trade_date, user_spread, user_share, (trade_date - list_max(l).d) / 7.0 AS user_since_high, (close - open) / (high - low + 0.001) AS alpha101,
+           CASE WHEN count(user_share) OVER w = 3 THEN avg(user_share * user_spread) OVER w END AS user_mixed FROM m
+           WINDOW w AS (PARTITION BY stock_code ORDER BY trade_date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
+        "stock_code trade_date",
+        "user_spread user_share user_since_high user_mixed alpha101",
+    ),
 }
