@@ -4,14 +4,18 @@ A text's set holds its runs of WORDS words (A-Z lower-cased, ASCII space between
 fewer words is one run.  Two texts are linked if their sets' Jaccard similarity is 4/5 or more,
 that is if 9 |A and B| >= 4 (|A| + |B|).
 
-All shingles have one order: by hash, with those that are frequent in a sample last.  Linked
+All shingles have one order: by hash, with the frequent ones last.  Linked
 sets share a shingle among the first |A| - ceil(4/5 |A|) + 1 of each, whatever the order is, so
-the sample decides only how much work there is.  Of the two sets the one whose prefix ends first has all
+what counts as frequent decides only how much work there is.  Frequent are first those of a sample; then the shingles of all
+prefixes are counted, and those in more than HOT of them go to the end as well, for which only the
+documents that had them in their prefix are ordered anew.  Of the two sets the one whose prefix ends first has all
 further shared shingles behind its prefix; so a pair that shares c prefix shingles shares at most c and what is
 behind the longer rest.  Pairs that this bound leaves are compared by the texts themselves.
 
 First each document is compared only with the smallest of each shingle it shares, which takes a large
-group away without its pairs; then all pairs among those left are compared.  Each time the smallest
+group away without its pairs; then all pairs among those left are compared.  Shingles of one document
+are dropped, and those of more than RUN are dealt in pairs of blocks, so no task holds more than two blocks; pairs
+whose sizes, or places of the shingle in both sets, allow no link never leave the task.  Each time the smallest
 document of every connected component of the links found stays.  So no two documents that stay are linked, and a
 chain of links leads from each that goes to one that stays.
 
@@ -26,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti, hinted, saved
+from .common import anti, hinted, saved, semi
 from .components import components
 
 WORDS, SEED = 5, 42
@@ -37,6 +41,8 @@ WORDS, SEED = 5, 42
 COPIES_PER_SALT = 500
 #: Documents whose shingles are counted, the count there from which a shingle is frequent, and how many of those are kept.
 SAMPLE, FREQUENT, LISTED = 10_000, 4, 200_000
+#: Prefixes that a shingle may be in before it goes to the end of the order, how often that is looked at, and documents of a block.
+HOT, ROUNDS, RUN = 1_000, 3, 2_000
 
 
 def shingles(text: str | None) -> list[bytes]:
@@ -65,9 +71,9 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.h for r in rows.orderBy(F.desc("count"), "h").limit(LISTED).collect()], np.int64))
 
 
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """h, doc_id, n: the first shingles of every document, with the size of its set."""
-    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
+def _ordered(docs: DataFrame, late: np.ndarray) -> DataFrame:
+    """h, doc_id, n, p: the first shingles of every document, with the size of its set and their places in it."""
+    sent = docs.sparkSession.sparkContext.broadcast(late)  # LISTED numbers at most
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,52 +90,96 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                 sizes.append(n)
             if parts:
                 long = [len(p) for p in parts]
-                yield pd.DataFrame({"h": np.concatenate(parts), "doc_id": np.repeat(pdf["doc_id"].to_numpy(), long), "n": np.repeat(sizes, long).astype(np.int32)})
+                places = np.concatenate([np.arange(n) for n in long]).astype(np.int32)
+                yield pd.DataFrame({"h": np.concatenate(parts), "doc_id": np.repeat(pdf["doc_id"].to_numpy(), long), "n": np.repeat(sizes, long).astype(np.int32), "p": places})
 
-    return docs.select("doc_id", "text").mapInPandas(rows, f"h long, doc_id {kind}, n int")
+    return docs.select("doc_id", "text").mapInPandas(rows, f"h long, doc_id {kind}, n int, p int")
 
 
-def _candidates(prefixes: DataFrame, every: bool) -> DataFrame:
-    """a < b: pairs whose shared prefix shingles allow a link; unless every, a is the smallest that has the shingle."""
+def _prefixes(docs: DataFrame) -> DataFrame:
+    """The first shingles of every document, in an order that has those of many prefixes last."""
+    late = _frequent(docs)
+    got = saved(_ordered(docs, late), "prefixes")
+    for _ in range(ROUNDS):
+        counts = got.groupBy("h").count().where(F.col("count") > HOT).orderBy(F.desc("count"), "h").limit(LISTED)
+        hot = np.setdiff1d(np.array([r.h for r in counts.collect()], np.int64), late)[: max(0, LISTED - len(late))]
+        if not len(hot):
+            break
+        late = np.union1d(late, hot)
+        side = F.broadcast(docs.sparkSession.createDataFrame([(int(h),) for h in hot], "h long"))  # LISTED rows at most
+        moved = saved(got.join(side, "h", "left_semi").select("doc_id").distinct(), "moved")
+        got = saved(anti(got, moved, "doc_id").unionByName(_ordered(semi(docs, moved, "doc_id"), late)), "prefixes")
+    return got
+
+
+def _may_link(na: Column, nb: Column, pa: Column, pb: Column) -> Column:
+    """Whether sets of these sizes that share the shingles at these places can be linked: before and behind them no more is shared than either has."""
+    most = F.least(pa, pb) + F.least(na - pa, nb - pb)
+    return 9 * F.least(most, na, nb) >= 4 * (na + nb)
+
+
+def _with_smallest(prefixes: DataFrame) -> DataFrame:
+    """a < b, na, nb for each shingle's documents b with the smallest of them, a."""
+    first = prefixes.groupBy("h").agg(F.min(F.struct("doc_id", "n", "p")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "f")
+    both = prefixes.join(first, "h").where(F.col("doc_id") != F.col("f.doc_id"))
+    both = both.where(_may_link(F.col("f.n"), F.col("n"), F.col("f.p"), F.col("p")))
+    return both.select(F.col("f.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"))
+
+
+def _every_pair(prefixes: DataFrame) -> DataFrame:
+    """a < b, na, nb for each shingle's pairs of documents."""
     kind = prefixes.schema["doc_id"].dataType.simpleString()
-
-    def allowed(pdf: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-        n, ids = pdf["n"].to_numpy(np.int64), pdf["doc_id"].to_numpy()
-        ok = 9 * np.minimum(n[i], n[j]) >= 4 * (n[i] + n[j])
-        i, j = i[ok], j[ok]
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "na": n[i].astype(np.int32), "nb": n[j].astype(np.int32)})
+    several = prefixes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    rows = prefixes.join(several, "h").withColumn("blocks", F.ceil(F.col("c") / RUN).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "n", "p")
 
     def paired(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        h = pdf["h"].to_numpy()
-        index = np.arange(len(h))
-        if not every:
-            first = np.searchsorted(h, h)
-            yield allowed(pdf, first[first < index], index[first < index])
-            return
-        step = 1
-        i = index
+        ids, block, cross = pdf["doc_id"].to_numpy(), pdf["block"].to_numpy(), (pdf["low"] != pdf["high"]).to_numpy()
+        n, p, run = pdf["n"].to_numpy(np.int64), pdf["p"].to_numpy(np.int64), pdf["run"].to_numpy()
+        i, step = np.arange(len(pdf)), 1
         while True:
-            i = i[i + step < len(h)]
-            i = i[h[i] == h[i + step]]
+            i = i[i + step < len(run)]
+            i = i[run[i] == run[i + step]]
             if not len(i):
                 return
-            yield allowed(pdf, i, i + step)
+            j = i + step
+            most = np.minimum(np.minimum(p[i], p[j]) + np.minimum(n[i] - p[i], n[j] - p[j]), np.minimum(n[i], n[j]))
+            ok = (9 * most >= 4 * (n[i] + n[j])) & (~cross[i] | (block[i] != block[j]))
+            if ok.any():
+                yield pd.DataFrame({"a": ids[i[ok]], "b": ids[j[ok]], "na": n[i[ok]].astype(np.int32), "nb": n[j[ok]].astype(np.int32)})
             step += 1
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []
         for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if len(pdf):
-                cut = int(np.searchsorted(pdf["h"].to_numpy(), pdf["h"].iloc[-1]))
-                held = pdf[cut:].reset_index(drop=True)
-                yield from paired(pdf[:cut])
-        if held is not None:
-            yield from paired(held)
+            if not len(pdf):
+                continue
+            keys = pdf[["h", "low", "high"]].to_numpy()
+            last = (keys == keys[-1]).all(1)
+            cut = len(pdf) if not last.any() else int(np.argmax(last))  # the rows of a run are neighbours
+            if held and (held[-1][["h", "low", "high"]].to_numpy()[-1] == keys[-1]).all() and cut == 0:
+                held.append(pdf)  # the whole batch goes on with the run
+                continue
+            whole = pd.concat([*held, pdf[:cut]], ignore_index=True)
+            held = [pdf[cut:]]
+            if len(whole):
+                yield from paired(numbered(whole))
+        if held:
+            yield from paired(numbered(pd.concat(held, ignore_index=True)))
+
+    def numbered(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = pdf[["h", "low", "high"]].to_numpy()
+        return pdf.assign(run=np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(1))]))
 
     parts = max(2, int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = prefixes.repartition(parts, "h").sortWithinPartitions("h", "doc_id")
-    shared = dealt.mapInPandas(runs, f"a {kind}, b {kind}, na int, nb int").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    dealt = rows.repartition(parts, "h", "low", "high").sortWithinPartitions("h", "low", "high", "doc_id")
+    return dealt.mapInPandas(runs, f"a {kind}, b {kind}, na int, nb int")
+
+
+def _candidates(prefixes: DataFrame, every: bool) -> DataFrame:
+    """a < b: pairs whose shared prefix shingles allow a link; unless every, a is the smallest that has the shingle."""
+    shared = (_every_pair if every else _with_smallest)(prefixes).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
     rest = F.ceil(4 * F.greatest("na", "nb") / 5) - 1  # behind the prefix of the larger set
     return shared.where(9 * (F.col("c") + rest) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
@@ -170,7 +220,7 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     """docs without those that a chain of links leads to a smaller id, with all columns."""
     docs = saved(docs, "docs")
     known = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    prefixes = saved(_prefixes(known), "prefixes")
+    prefixes = _prefixes(known)
     for every in (False, True):
         found = components(_linked(known, _candidates(prefixes, every)))
         go = saved(found.where("node != root").select(F.col("node").alias("doc_id")).distinct(), "go")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tesspan.llm import jaccard_dedup as j
@@ -35,9 +36,11 @@ def texts():
     return rows
 
 
-@pytest.mark.parametrize("sample", [10_000, 5])
-def test_against_all_pairs(spark, sample, monkeypatch):
+@pytest.mark.parametrize("sample, hot, run", [(10_000, 1_000, 2_000), (5, 10, 2_000), (5, 30, 4)])
+def test_against_all_pairs(spark, sample, hot, run, monkeypatch):
     monkeypatch.setattr(j, "SAMPLE", sample)
+    monkeypatch.setattr(j, "HOT", hot)
+    monkeypatch.setattr(j, "RUN", run)
     rows = texts()
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, n int")
     out = j.without_near_copies(df)
@@ -64,3 +67,23 @@ def test_stage_takes_pairs_that_fingerprints_miss(spark):
     left = lambda kept: sum(similar(x, y) for a, x in kept for b, y in kept if a < b)
     assert left(stay(simhash_dedup.one_of_each(df))) > 0
     assert left(stay(corpus_pipeline.near(spark, df, ""))) == 0
+
+
+def test_a_shingle_of_many_unlike_documents(spark, monkeypatch):
+    """A sentence that 20,000 otherwise unlike documents share is moved out of their prefixes: no pairs come of it."""
+    monkeypatch.setattr(j, "SAMPLE", 1)  # the sample sees nothing
+    own = lambda k: F.concat_ws(" ", *[F.concat(F.lit("w"), F.conv(F.xxhash64("id", F.lit(f"{k}{i}")).cast("string"), 10, 36)) for i in range(4)])
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", own("a"), F.lit("all of these share one common line of text"), own("b")).alias("text"))
+    df = df.unionByName(spark.range(5).select((F.col("id") + 90_000).alias("doc_id"), F.lit("one two three four five six seven eight nine ten eleven twelve").alias("text")))
+    prefixes = j._prefixes(df)
+    most = prefixes.groupBy("h").count().agg(F.max("count")).first()[0]
+    assert most <= j.HOT
+    assert j._candidates(prefixes, True).count() < 20_000
+    assert {r.doc_id for r in j.without_near_copies(df).where("doc_id >= 90000").collect()} == {90_000}
+
+
+def test_long_runs_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(j, "RUN", 7)
+    rows = [(1, i, 10, 0) for i in range(50)] + [(2, i, 10, 1) for i in range(3)] + [(3, 9, 10, 2)]
+    got = [tuple(r)[:2] for r in j._every_pair(spark.createDataFrame(rows, "h long, doc_id long, n int, p int")).collect()]
+    assert sorted(got) == sorted([(a, b) for a in range(50) for b in range(a + 1, 50)] + [(0, 1), (0, 2), (1, 2)])
