@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.shared import shared
+from ..functions.shared import shared, shared_path
 from ..operators import network as n
 from ..operators import rewards as w
 from ..operators import rules as r
+from ..sources.cache import ResultCache
 from ..sources.panel import TRAINING_SQL, training_panel
 from .base import FACTORS, GRID_SQL, K, final, grid, out, scores
 from .network_model import MODEL_SQL, hashed_network, layers_sql, values_sql
@@ -110,6 +111,16 @@ def scored(spark, sf_dir):
     return out(r.batch_scored(grid(spark, sf_dir), FACTORS, [0.5, -1.0, 0.25, 2.0, 0.125], 0.5))
 
 
+def cached_scores(spark, sf_dir):
+    """Scores found again in the cache by a second call; those of other weights aren't there."""
+    cache = ResultCache(spark, shared_path(spark, "cache"))
+    scored = lambda w: r.batch_scored(grid(spark, sf_dir), FACTORS, w, 0.5)
+    cache.get(scored([0.5, -1.0, 0.25, 2.0, 0.125]), "first weights")
+    again, other = scored([0.5, -1.0, 0.25, 2.0, 0.125]), scored([1.0] * 5)
+    known = [F.lit(cache.has(df, v)).alias(name) for df, v, name in ((again, "first weights", "found"), (other, "other weights", "other_found"))]
+    return out(cache.get(again, "first weights").select("ts_code", "trade_date", "score", *known))
+
+
 def network_scored(spark, sf_dir):
     return out(n.network_scores(grid(spark, sf_dir), hashed_network(spark), FACTORS))
 
@@ -177,6 +188,7 @@ QUERIES = {
     "reward_mean_variance": mean_variance,
     "reward_advantages": advantages,
     "score_batch": scored,
+    "score_cached": cached_scores,
     "score_network": network_scored,
     "score_network_values": network_values,
 }
@@ -257,6 +269,12 @@ ORACLES = {
         'advantage "return"',
     ),
     "score_batch": final(GRID_SQL, f"SELECT ts_code, trade_date, {_F('alpha_000')} * 0.5 + {_F('alpha_001')} * -1.0 + {_F('gtja_000')} * 0.25 + {_F('mf_000')} * 2.0 + {_F('mfp_000')} * 0.125 + 0.5 AS score FROM grid", "ts_code trade_date", "score"),
+    "score_cached": final(
+        GRID_SQL,
+        f"SELECT ts_code, trade_date, {_F('alpha_000')} * 0.5 + {_F('alpha_001')} * -1.0 + {_F('gtja_000')} * 0.25 + {_F('mf_000')} * 2.0 + {_F('mfp_000')} * 0.125 + 0.5 AS score, TRUE AS found, FALSE AS other_found FROM grid",
+        "ts_code trade_date found other_found",
+        "score",
+    ),
     "score_network": final(GRID_SQL + MODEL_SQL + layers_sql("grid", FACTORS, "", "net_"), "SELECT ts_code, trade_date, score FROM net_scores", "ts_code trade_date", "score"),
     "score_network_values": final(
         GRID_SQL + MODEL_SQL + layers_sql("grid", FACTORS, "", "net_") + values_sql("net_"),
