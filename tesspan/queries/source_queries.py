@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from ..functions.expr import col, ts_mean
 from ..functions.shared import shared, shared_path
 from ..operators import factors
 from ..plans.columns import computed
+from ..sources import export
 from ..sources import warehouse as w
 from ..sources.panel import PANEL_SQL, TRAINING_SQL, training_panel
 from ..streaming import tail
@@ -112,6 +114,20 @@ def database(spark, sf_dir):
     return out(back.groupBy(F.col("N").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.max("B").alias("top")))
 
 
+def database_export(spark, sf_dir):
+    """The training panel put in an in-memory database of this process and exported by a query with parameters, in ten ranges of dates at once (local runs)."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = training_panel(spark, sf_dir).select("ts_code", "trade_date", "close", "pct_chg", "vol", "is_st", "name", "alpha_001")
+    rows.select(*[F.col(c).alias(c.upper()) for c in rows.columns]).write.format("jdbc").option("url", url).option("dbtable", "QUOTES").option("driver", driver).option("createTableColumnTypes", "TS_CODE VARCHAR(16), NAME VARCHAR(64)").save()
+    text = """
+      SELECT ts_code, trade_date, "CLOSE", pct_chg, vol, is_st, name, alpha_001 FROM QUOTES -- :not_a_parameter
+      WHERE trade_date BETWEEN :start_date AND :end_date AND vol > :least AND name <> :odd_name AND ts_code NOT IN :codes;"""
+    values = {"least": 100.0, "odd_name": "it's :start_date", "codes": ["600005.SH", "000001.SZ"]}
+    got = export.export_panel(spark, url, text, dt.date(1996, 1, 1), dt.date(1998, 6, 30), "main_board_non_st", values, 10, driver)
+    return out(got.select("ts_code", "trade_date", "name", "close", "pct_chg", "vol", "alpha_001"))
+
+
 def _events(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -303,6 +319,7 @@ QUERIES = {
     "source_parquet_round_trip": parquet_round_trip,
     "source_json_round_trip": json_round_trip,
     "source_database": database,
+    "source_database_export": database_export,
     "metrics_summary": metrics,
     "stream_hourly_events": stream_windows,
     "stream_metrics_tail": stream_tail,
@@ -393,4 +410,10 @@ ORACLES = {
         "stock_code trade_date",
         "user_spread user_share user_since_high user_mixed alpha101",
     ),
+    "source_database_export": final(
+        TRAINING_SQL,
+        f"""SELECT * FROM training WHERE trade_date BETWEEN DATE '1996-01-01' AND DATE '1998-06-30' AND vol > 100 AND ts_code NOT IN ('600005.SH', '000001.SZ') AND {_MAIN} AND NOT is_st""",
+        "ts_code trade_date name",
+        "close pct_chg vol alpha_001",
+    ),
 }
