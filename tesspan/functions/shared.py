@@ -10,9 +10,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side of a few numbers and short codes a row is broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -34,6 +35,18 @@ def shared(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """side (narrow rows, written by shared()), to be broadcast if it has no more rows than that; else as it is, for a shuffled join."""
-    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+def measured(side: DataFrame) -> tuple[int, int]:
+    """Rows of a table, and about how many bytes they take in memory."""
+    width = F.lit(16)
+    for field in side.schema:
+        plain = isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))
+        text = F.col(field.name) if isinstance(field.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(field.name))
+        width = width + 16 + (F.lit(0) if plain else F.coalesce(F.octet_length(text), F.lit(0)))
+    rows, size = side.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return rows, size or 0
+
+
+def small(side: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """side (written by shared(), as it is measured here), to be broadcast if it has no more rows and bytes than that; else as it is, for a shuffled join."""
+    n, held = measured(side)
+    return F.broadcast(side) if n <= rows and held <= size else side

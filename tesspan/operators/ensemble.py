@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import small
+from ..functions.shared import shared, small
 from ..plans.columns import trimmed
 from .evaluate import daily_ic, finite, ic_summary, sharpes, top_k, top_k_returns, usable
 
@@ -67,7 +67,7 @@ def leave_one_out(scores: DataFrame, k: int, period: int = 1) -> DataFrame:
     """variant, ic, adjusted: the rank mean of all members, and without each."""
     places = daily_place(scores)
     left = scores.select(F.col("member").alias("left")).distinct().select("left").unionByName(scores.sparkSession.createDataFrame([("",)], "left string"))
-    rows = places.join(small(left), F.col("member") != F.col("left"))
+    rows = places.join(small(shared(left, "left")), F.col("member") != F.col("left"))
     rows = rows.groupBy("left", "trade_date", "ts_code").agg(trimmed(F.avg("place")).alias("score"), F.first("fwd_ret").alias("fwd_ret"))
     rows = rows.withColumn("variant", F.when(F.col("left") == "", "all").otherwise(F.concat(F.lit("minus_"), "left")))
     return ranked_variants(rows, k, period, ["variant"])
@@ -97,7 +97,7 @@ def dispersion(scores: DataFrame) -> DataFrame:
 
 def by_window(scores: DataFrame, windows: DataFrame, k: int, period: int = 1) -> DataFrame:
     """label, n_days, ic, adjusted of the days of each window (label, first_date, last_date); windows may overlap."""
-    rows = usable(scores).join(small(windows), F.col("trade_date").between(F.col("first_date"), F.col("last_date")))
+    rows = usable(scores).join(small(shared(windows, "windows")), F.col("trade_date").between(F.col("first_date"), F.col("last_date")))
     by = ["label"]
     days = rows.groupBy("label").agg(F.count_distinct("trade_date").alias("n_days"))
     ics = ic_summary(daily_ic(rows, by), by)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ensemble as n
@@ -17,8 +18,8 @@ QUARTERS = [("first", "1995-07-01", "1995-09-30"), ("second", "1995-10-01", "199
 def dates(spark, sf_dir):
     """The dates whose forward return lies inside the panel."""
     g = grid(spark, sf_dir).select("trade_date").distinct()
-    last = [r[0] for r in g.orderBy(F.desc("trade_date")).limit(PERIOD).collect()]  # PERIOD dates
-    return g.where(F.col("trade_date") < min(last)) if last else g
+    back = F.row_number().over(Window.orderBy(F.desc("trade_date")))  # one row per date
+    return g.withColumn("back", back).where(F.col("back") > PERIOD).select("trade_date")
 
 
 def quarters(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators.factors import compute, compute_sql, described, factors
 from ..sources.panel import PANEL_SQL
 from .base import out, panel
@@ -29,5 +31,15 @@ def _query(ids: list[str]):
 QUERIES = {name: _query(ids) for name, ids in GROUPS.items()}
 ORACLES = {name: f"SELECT * REPLACE (trade_date::VARCHAR AS trade_date) FROM ({compute_sql(ids, PANEL_SQL)})" for name, ids in GROUPS.items()}
 
-QUERIES["factor_registry"] = lambda spark, sf_dir: described(spark).where("category <> 'user'").groupBy("family", "quality").count().withColumnRenamed("count", "n")
-ORACLES["factor_registry"] = "SELECT * FROM (VALUES ('alpha101', 0, 94), ('alpha101', 1, 13), ('gtja191', 0, 172), ('gtja191', 1, 17), ('gtja191', 2, 2)) v(family, quality, n)"
+
+
+def registry(spark, sf_dir):
+    """The registry by family and quality: how many factors, and how many stock days of the panel each is computed on."""
+    rows = described(spark).where("category <> 'user'").groupBy("family", "quality").agg(F.count(F.lit(1)).alias("n"))
+    days = panel(spark, sf_dir).agg(F.count(F.lit(1)).alias("panel_rows"))
+    return rows.crossJoin(F.broadcast(days))  # one row
+
+
+QUERIES["factor_registry"] = registry
+ORACLES["factor_registry"] = f"""WITH {PANEL_SQL} SELECT v.*, (SELECT count(*) FROM panel) AS panel_rows
+  FROM (VALUES ('alpha101', 0, 94), ('alpha101', 1, 13), ('gtja191', 0, 172), ('gtja191', 1, 17), ('gtja191', 2, 2)) v(family, quality, n)"""

@@ -70,8 +70,7 @@ def membership(spark, sf_dir):
 
 
 def prefixes(spark, sf_dir):
-    counts = w.prefix_summary(training_panel(spark, sf_dir).columns)
-    return spark.createDataFrame(list(counts.items()), "prefix string, n long")
+    return w.prefix_coverage(training_panel(spark, sf_dir))
 
 
 def _records(spark, sf_dir):
@@ -367,7 +366,8 @@ ORACLES = {
     ),
     "source_membership_flags": f"WITH {TRAINING_SQL} SELECT ts_code, trade_date::VARCHAR AS trade_date, is_hs300 AND vol > 300 AS in_a, is_zz500 AS in_b FROM training",
     "source_database": final("", "SELECT s_nationkey::INT AS nation, count(*) AS n, max(s_acctbal)::DOUBLE AS top FROM supplier WHERE s_nationkey < 15 GROUP BY 1", "nation n", "top"),
-    "source_prefix_summary": "SELECT * FROM (VALUES ('alpha_', 2), ('mf_', 1), ('mfp_', 1), ('gtja_', 1)) v(prefix, n)",
+    "source_prefix_summary": f"""WITH {TRAINING_SQL} SELECT prefix, count(DISTINCT name) AS n, count(*) FILTER (isfinite(value)) AS n_values FROM (
+      SELECT unnest(['alpha_', 'alpha_', 'mf_', 'mfp_', 'gtja_']) AS prefix, unnest(['alpha_000', 'alpha_001', 'mf_000', 'mfp_000', 'gtja_000']) AS name, unnest([alpha_000, alpha_001, mf_000, mfp_000, gtja_000]) AS value FROM training) GROUP BY prefix""",
     "source_parquet_round_trip": final(TRAINING_SQL, "SELECT * FROM training WHERE trade_date BETWEEN DATE '1997-03-01' AND DATE '1997-06-30'", "ts_code trade_date", "close alpha_001"),
     "source_json_round_trip": _ALL,
     "metrics_summary": final(_REC, f"SELECT algorithm AS kind, {_SUMMARY} FROM good GROUP BY kind", "kind total_timesteps mean_fps n_checkpoints algorithm", "best_reward final_reward"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.shared import small
+from ..functions.shared import shared, small
 from ..operators.loader import MAIN_BOARD, PREFIXES
 
 #: Algorithms that a training record may name.
@@ -84,6 +84,15 @@ def prefix_summary(columns: list[str]) -> dict[str, int]:
     return {p: n for p, n in counts.items() if n}
 
 
+def prefix_coverage(df: DataFrame) -> DataFrame:
+    """prefix, n (columns that start with it) and n_values (their values that are there and finite), in one pass over df."""
+    counts = prefix_summary(df.columns)
+    there = lambda c: F.count_if(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    sums = [sum((there(c) for c in df.columns if c.startswith(p)), F.lit(0)).alias(p) for p in counts]
+    rows = [F.struct(F.lit(p).alias("prefix"), F.lit(n).cast("long").alias("n"), F.col(p).cast("long").alias("n_values")) for p, n in counts.items()]
+    return df.agg(*sums).select(F.inline(F.array(*rows))) if counts else df.sparkSession.createDataFrame([], "prefix string, n long, n_values long")
+
+
 def wide_join(fact: DataFrame, static: DataFrame | None = None, keyed: dict[str, DataFrame] | None = None, dated: dict[str, DataFrame] | None = None, industry: dict[str, DataFrame] | None = None) -> DataFrame:
     """fact (ts_code, trade_date, ...) left-joined with feature tables.
 
@@ -106,12 +115,12 @@ def wide_join(fact: DataFrame, static: DataFrame | None = None, keyed: dict[str,
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], name: str, try_small: bool) -> DataFrame:
-    """left with the columns of right.  Its keys are counted in a window that deals and sorts it as the join does, so that it is read and shuffled once."""
+    """left with the columns of right.  Its keys are counted in a window that deals and sorts it as the join does, so that it is read and shuffled once; one that may be small is written, then measured."""
     count = "_n"
     while count in (*left.columns, *right.columns):
         count += "_"
     own = right.withColumn(count, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    out = left.join(small(own) if try_small else own, keys, "left")
+    out = left.join(small(shared(own, "side")) if try_small else own, keys, "left")
     once = F.when(F.coalesce(count, F.lit(1)) == 1, True).otherwise(F.raise_error(F.lit(f"{name} has a repeated key {keys}")).cast("boolean"))
     return out.where(once).drop(count)
 
