@@ -25,7 +25,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, anti, hinted, saved, table, unused
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, anti, hinted, saved, sized, table, unused
 
 WINDOW, RAREST, SLOP = 13, 3, 8
 SEGMENT, BLOCK = 256, 4096
@@ -68,7 +68,8 @@ def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _known(words: DataFrame) -> tuple[DataFrame, bool]:
     """A distinct word list, saved, and whether it is small enough to broadcast."""
     words = saved(words.distinct(), "list")
-    small = words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows, size = sized(words)
+    small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     return (F.broadcast(words) if small else words), small
 
 

@@ -4,7 +4,7 @@ A text's set holds its runs of WORDS words (A-Z lower-cased, ASCII space between
 fewer words is one run.  Two texts are linked if their sets' Jaccard similarity is 4/5 or more,
 that is if 9 |A and B| >= 4 (|A| + |B|).
 
-All shingles have one order: by hash, with the frequent ones last.  Linked
+All shingles have one order: by hash, with the frequent ones last, by count.  Linked
 sets share a shingle among the first |A| - ceil(4/5 |A|) + 1 of each, whatever the order is, so
 what counts as frequent decides only how much work there is.  Frequent are first those of a sample; then the shingles of all
 prefixes are counted, and those in more than HOT of them go to the end as well, for which only the
@@ -26,6 +26,7 @@ doc_id stay; ids are otherwise taken as distinct (simhash_dedup.one_of_each leav
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ COPIES_PER_SALT = 500
 #: Documents whose shingles are counted, the count there from which a shingle is frequent, and how many of those are kept.
 SAMPLE, FREQUENT, LISTED = 10_000, 4, 200_000
 #: Prefixes that a shingle may be in before it goes to the end of the order, how often that is looked at, and documents of a block.
-HOT, ROUNDS, RUN = 1_000, 3, 2_000
+HOT, ROUNDS, RUN = 50, 3, 2_000
 
 
 def shingles(text: str | None) -> list[bytes]:
@@ -59,7 +60,34 @@ def alike(a: set[bytes], b: set[bytes]) -> bool:
     return 9 * len(a & b) >= 4 * (len(a) + len(b))
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
+@dataclass(frozen=True)
+class Late:
+    """Shingles that come last, in order of their hashes, with the count that each was found with."""
+
+    h: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, counts: dict[int, int]) -> Late:
+        h = np.array(sorted(counts), np.int64)
+        return cls(h, np.array([counts[x] for x in h.tolist()], np.int64))
+
+    def with_more(self, counts: dict[int, int]) -> Late:
+        return Late.of(counts | dict(zip(self.h.tolist(), self.count.tolist())))
+
+    def ordered(self, h: np.ndarray) -> np.ndarray:
+        """A set's hashes (in order), the late ones at the end by count."""
+        if not len(self.h):
+            return h
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        last = self.h[at] == h
+        if not last.any():
+            return h
+        own = h[last]
+        return np.concatenate([h[~last], own[np.argsort(self.count[at[last]], kind="stable")]])
+
+
+def _frequent(docs: DataFrame) -> Late:
     n = docs.count()
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,10 +96,10 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
     rows = some.mapInPandas(counted, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
-    return np.sort(np.array([r.h for r in rows.orderBy(F.desc("count"), "h").limit(LISTED).collect()], np.int64))
+    return Late.of({r["h"]: r["count"] * max(1, n // SAMPLE) for r in rows.orderBy(F.desc("count"), "h").limit(LISTED).collect()})
 
 
-def _ordered(docs: DataFrame, late: np.ndarray) -> DataFrame:
+def _ordered(docs: DataFrame, late: Late) -> DataFrame:
     """h, doc_id, n, p: the first shingles of every document, with the size of its set and their places in it."""
     sent = docs.sparkSession.sparkContext.broadcast(late)  # LISTED numbers at most
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -83,10 +111,7 @@ def _ordered(docs: DataFrame, late: np.ndarray) -> DataFrame:
             for text in pdf["text"]:
                 h = hashes(text)
                 n = len(h)
-                if len(late):
-                    last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
-                    h = np.concatenate([h[~last], h[last]])
-                parts.append(h[: n - -(-4 * n // 5) + 1])
+                parts.append(late.ordered(h)[: n - -(-4 * n // 5) + 1])
                 sizes.append(n)
             if parts:
                 long = [len(p) for p in parts]
@@ -102,11 +127,13 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     got = saved(_ordered(docs, late), "prefixes")
     for _ in range(ROUNDS):
         counts = got.groupBy("h").count().where(F.col("count") > HOT).orderBy(F.desc("count"), "h").limit(LISTED)
-        hot = np.setdiff1d(np.array([r.h for r in counts.collect()], np.int64), late)[: max(0, LISTED - len(late))]
-        if not len(hot):
+        known = set(late.h.tolist())
+        hot = {r["h"]: r["count"] for r in counts.collect() if r["h"] not in known}
+        hot = dict(list(hot.items())[: max(0, LISTED - len(known))])
+        if not hot:
             break
-        late = np.union1d(late, hot)
-        side = F.broadcast(docs.sparkSession.createDataFrame([(int(h),) for h in hot], "h long"))  # LISTED rows at most
+        late = late.with_more(hot)
+        side = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in hot], "h long"))  # LISTED rows at most
         moved = saved(got.join(side, "h", "left_semi").select("doc_id").distinct(), "moved")
         got = saved(anti(got, moved, "doc_id").unionByName(_ordered(semi(docs, moved, "doc_id"), late)), "prefixes")
     return got

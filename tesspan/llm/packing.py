@@ -74,8 +74,9 @@ def _above(a: tuple, b: tuple, c: tuple) -> bool:
 
 
 def packed(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """lengths: doc_id, n_tokens (1 at least), saved.  doc_id, n_tokens, bucket, padded_length, batch_id, slot."""
-    lengths = lengths.select("doc_id", "n_tokens")
+    """lengths: doc_id, n_tokens (1 at least), saved, and where ids repeat a number of the row, spread.  doc_id, n_tokens, bucket, padded_length, batch_id, slot."""
+    spread = F.col("spread") if "spread" in lengths.columns else F.lit(0).cast("long")
+    lengths = lengths.select("doc_id", "n_tokens", spread.alias("spread"))
     bars = [(r.g, r.n) for r in lengths.groupBy(F.col("n_tokens").alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()]
     tops = boundaries(bars, buckets) or [1]
     rows = [sum(n for g, n in bars if (tops[i - 1] if i else 0) < g <= top) for i, top in enumerate(tops)]
@@ -86,12 +87,12 @@ def packed(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, sha
         total += -(-n // r)
     of = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("bucket") + 1)
     bucket = sum(((F.col("n_tokens") > top).cast("int") for top in tops[:-1]), F.lit(0))
-    h = F.xxhash64("doc_id", "n_tokens")
+    h = F.xxhash64("doc_id", "n_tokens", "spread")
     rows_of = lengths.withColumn("bucket", bucket).withColumn("h", h)
     rows_of = rows_of.withColumn("shard", F.pmod("h", of([max(1, -(-n // shard_rows)) for n in rows], "long")).cast("int"))
     counts = rows_of.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("bucket", "shard", (F.sum("n").over(Window.partitionBy("bucket").orderBy("shard")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("h", "doc_id", "n_tokens")) - 1
+    rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("h", "doc_id", "n_tokens", "spread")) - 1
     placed = rows_of.withColumn("rank", rank).join(hinted(saved(before, "before")), ["bucket", "shard"])
     at = F.col("before") + F.col("rank")
     return placed.select(
@@ -105,9 +106,10 @@ def packed(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, sha
 
 
 def token_lengths(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens with one end mark, of every row; written once."""
+    """doc_id, n_tokens with one end mark, of every row, and a number that tells rows without an id apart (spread); written once."""
     counted = with_token_count(docs.select("doc_id", "text"), "n_tokens", path)
-    return saved(counted.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens")), "lengths")
+    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0).alias("spread")
+    return saved(counted.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens"), spread), "lengths")
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def texts():
     return rows
 
 
-@pytest.mark.parametrize("sample, hot, run", [(10_000, 1_000, 2_000), (5, 10, 2_000), (5, 30, 4)])
+@pytest.mark.parametrize("sample, hot, run", [(10_000, 50, 2_000), (5, 10, 2_000), (5, 30, 4)])
 def test_against_all_pairs(spark, sample, hot, run, monkeypatch):
     monkeypatch.setattr(j, "SAMPLE", sample)
     monkeypatch.setattr(j, "HOT", hot)

@@ -68,3 +68,11 @@ def test_texts(spark):
 def test_long_white_space(spark, run):
     df = spark.createDataFrame([(1, f"a{run * (2_000_000 // len(run))}b")], "doc_id long, text string")
     assert p.packed_documents(df).first().n_tokens > 3
+
+
+def test_rows_without_an_id_are_dealt_over_shards(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 60 + [(1, "other")], "doc_id long, text string")
+    lengths = p.token_lengths(docs)
+    assert lengths.where("doc_id IS NULL").select("spread").distinct().count() == 60
+    out = p.packed(lengths, shard_rows=10).collect()
+    assert len(out) == 61 and len({(r.batch_id, r.slot) for r in out}) == 61

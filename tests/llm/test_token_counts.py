@@ -79,7 +79,7 @@ def test_given_spans(spark):
 @pytest.mark.parametrize("run", [" ", "\n", "\t", "\u3000", "\x1c", " \n\t\u00a0", "\n\n "])
 def test_tokens_of_long_runs_are_those_of_the_pattern(run):
     encoding, _ = t.encoder()
-    for n in (1, 4095, 4096, 4097, 4098, 100_000, 400_000):
+    for n in (1, 31, 32, 33, 34, 4095, 4096, 4097, 4098, 100_000, 400_000):
         own = (run * n)[:n]
         for text in (own, f"a{own}", f"{own}b", f"a{own}b {own}", f"a{own}'s{own}!{own}1", f"{own}\u00e9{own}"):
             assert t.tokens(text) == encoding.encode_ordinary(text)
