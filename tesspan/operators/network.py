@@ -7,6 +7,7 @@ encodings: each row is one number, less the day's mean of these numbers.
 
 Rows are encoded as matrix blocks in Arrow batches; only dates, codes and single numbers are shuffled.  A model is a table
 (part, layer, row, col, weight), row -1 for biases; parts are hidden, norm (row 0 gains, row 1 shifts), score and value.
+Scores are cut to 33 significant bits, so equal rows tie however they were batched.
 
 Defined results: a factor that is null or not finite counts as zero; a model whose shapes don't fit is refused before any
 job of the panel starts; a day without rows has no value.
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.columns import trimmed
+
 EPSILON = 1e-5
 #: Weights that a model may have: it is held by the driver and every task.
 MOST_WEIGHTS = 10_000_000
@@ -113,14 +116,14 @@ def with_scores(rows: DataFrame, model: Network, factors: list[str], by: list[st
     """rows with the score of every stock of a day (and of the columns by)."""
     day = Window.partitionBy(*by, "trade_date")
     rows = rows.withColumn("__number", stock_number(model, factors))
-    return rows.withColumn(name, F.col("__number") - F.avg("__number").over(day) + float(model.score[1][0])).drop("__number")
+    return rows.withColumn(name, trimmed(F.col("__number") - F.avg("__number").over(day) + float(model.score[1][0]))).drop("__number")
 
 
 def network_scores(panel: DataFrame, model: Network, factors: list[str]) -> DataFrame:
     """trade_date, ts_code, score; only these narrow rows are dealt by day."""
     rows = panel.select("trade_date", "ts_code", stock_number(model, factors).alias("__number"))
     day = Window.partitionBy("trade_date")
-    return rows.select("trade_date", "ts_code", (F.col("__number") - F.avg("__number").over(day) + float(model.score[1][0])).alias("score"))
+    return rows.select("trade_date", "ts_code", trimmed(F.col("__number") - F.avg("__number").over(day) + float(model.score[1][0])).alias("score"))
 
 
 def scorer(model: Network, factors: list[str]) -> Callable[[DataFrame, list[str]], DataFrame]:

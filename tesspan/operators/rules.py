@@ -187,7 +187,9 @@ def batch_scored(panel: DataFrame, factors: list[str], weights: list[float], bia
     def score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for batch in batches:
             x = matrix(batch)
-            yield pa.array(np.where(np.isfinite(x), x, 0.0) @ own + bias)
+            total = np.where(np.isfinite(x), x, 0.0) @ own + bias
+            big = total * float(2**20 + 1)
+            yield pa.array(big - (big - total))  # 33 significant bits, so equal rows tie however they were batched
 
     score.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     if not factors:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import shared
 from ..operators.evaluate import hashed_noise
 from ..operators.network import Network, load_network
+from ..plans.sql import trimmed
 from .base import FACTORS
 
 #: part, layer, inputs, outputs, whether it has biases.
@@ -54,7 +55,7 @@ def layers_sql(source: str, factors: list[str], more: str = "", prefix: str = ""
   FROM {prefix}second s JOIN model g ON g.part = 'norm' AND g.row = 0 AND g.col = s.j JOIN model h ON h.part = 'norm' AND h.row = 1 AND h.col = s.j WINDOW w AS (PARTITION BY {keys}))
 , {prefix}centred AS (SELECT {keys}, j, v - avg(v) OVER (PARTITION BY {more}trade_date, j) AS v FROM {prefix}encoded)"""
         + _linear(f"{prefix}head", f"{prefix}centred", keys, "score", 0, False)
-        + f", {prefix}scores AS (SELECT r.*, h.v AS score FROM {source} r JOIN {prefix}head h {using})"
+        + f", {prefix}scores AS (SELECT r.*, {trimmed('h.v')} AS score FROM {source} r JOIN {prefix}head h {using})"
     )
 
 

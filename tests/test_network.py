@@ -61,7 +61,7 @@ def test_scores_and_values(spark, panel, days):
     assert len(got) == sum(map(len, days.values()))
     for d, x in days.items():
         scores, value = plain(rows, x)
-        assert np.allclose([got[d, i] for i in range(len(x))], scores) and abs(values[d] - value) < 1e-9
+        assert np.allclose([got[d, i] for i in range(len(x))], scores, rtol=1e-9) and abs(values[d] - value) < 1e-9
     slots = spark.createDataFrame([(d, k) for d in [*days, dt.date(2030, 1, 1)] for k in range(4)], "trade_date date, slot int")
     asked = network.slot_values(slots, panel, model, FACTORS).collect()
     assert len(asked) == 40 and all(r.value is None if r.trade_date not in days else abs(r.value - values[r.trade_date]) < 1e-12 for r in asked)
