@@ -178,7 +178,7 @@ def advantages(steps: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> Data
 def batch_scored(panel: DataFrame, factors: list[str], weights: list[float], bias: float = 0.0) -> DataFrame:
     """trade_date, ts_code, score of a fitted linear model; what isn't finite counts as zero.  Its shape is checked before the job starts.
 
-    A product of a batch's matrix with the weights, in Arrow batches: over 64 factors four times as fast as one expression of as many terms.
+    A batch's matrix is weighed at once, in Arrow batches: over 64 factors four times as fast as one expression of as many terms.
     """
     own = np.array([float(w) for w in weights])
     if len(own) != len(factors):
@@ -187,9 +187,7 @@ def batch_scored(panel: DataFrame, factors: list[str], weights: list[float], bia
     def score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for batch in batches:
             x = matrix(batch)
-            total = np.where(np.isfinite(x), x, 0.0) @ own + bias
-            big = total * float(2**20 + 1)
-            yield pa.array(big - (big - total))  # 33 significant bits, so equal rows tie however they were batched
+            yield pa.array((np.where(np.isfinite(x), x, 0.0) * own).sum(1) + bias)  # row by row, so equal rows tie however they are batched
 
     score.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     if not factors:
