@@ -95,6 +95,13 @@ def _stock() -> WindowSpec:
     return Window.partitionBy(STOCK).orderBy(DAY)
 
 
+def _covariance(a: Column, b: Column, n: int) -> Column:
+    """The sample covariance of two arrays of n numbers: their means first, then the products of what they differ by, each summed in the arrays' order."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    means = F.array(F.struct((total(a) / n).alias("a"), (total(b) / n).alias("b")))  # one entry, so that they are taken once
+    return F.transform(means, lambda m: total(F.zip_with(a, b, lambda v, u: (v - m["a"]) * (u - m["b"]))))[0] / max(1, n - 1)
+
+
 def _rolling(op: str, n: int, x: list[Column], extra: tuple) -> Column:
     w = _stock().rowsBetween(1 - n, 0)
     full = lambda e, *of: F.when(F.count(of[0] if len(of) == 1 else F.when(of[0].isNotNull() & of[1].isNotNull(), 1)).over(w) == n, e)
@@ -114,9 +121,9 @@ def _rolling(op: str, n: int, x: list[Column], extra: tuple) -> Column:
     if op in ("cov", "corr", "beta"):
         b = x[1]
         both_a, both_b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+        if op == "cov":  # no correlation, so not settled: the noise of a zero decides ranks, and has to be that of the plain definition
+            return full(_covariance(F.collect_list(both_a).over(w), F.collect_list(both_b).over(w), n), a, b)
         cov = F.covar_samp(a, b).over(w)
-        if op == "cov":
-            return full(cov, a, b)
         if op == "beta":
             spread = F.var_samp(both_b).over(w)
             return full(F.when(spread != 0, cov / spread), a, b)

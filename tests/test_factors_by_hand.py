@@ -7,9 +7,10 @@ import os
 import duckdb
 import pytest
 
-from tesspan.operators.factors import compute
+from tesspan.operators.factors import compute, compute_sql
 from tesspan.queries import factor_queries
-from tesspan.sources.panel import PANEL_SQL, line_item_panel
+from tesspan.queries.base import out
+from tesspan.sources.panel import PANEL_SQL, enriched, line_item_panel, synthetic_prices
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,3 +96,13 @@ def test_by_hand(both, name):
 
 def test_every_factor_is_in_a_query():
     assert sum(map(len, factor_queries.GROUPS.values())) == 298
+
+
+def test_ranks_of_covariances_that_are_zero(spark, tmp_path):
+    """Of ranks that stay as they are for days the covariance is zero but for its noise; several stocks of a day have such."""
+    ids, path = ["alpha013", "alpha016"], f"{tmp_path}/panel"
+    enriched(synthetic_prices(spark, 20, 120)).write.parquet(path)
+    got = out(compute(spark.read.parquet(path), ids)).toPandas()
+    want = duckdb.sql(compute_sql(ids, f"panel AS (SELECT * FROM '{path}/*.parquet')")).df()
+    same = lambda df: sorted(zip(df["stock_code"], df["trade_date"].astype(str).str[:10], *[df[i].map(repr) for i in ids]))
+    assert same(got) == same(want)
