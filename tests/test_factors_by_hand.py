@@ -100,7 +100,7 @@ def test_every_factor_is_in_a_query():
 
 def test_ranks_of_covariances_that_are_zero(spark, tmp_path):
     """Of ranks that stay as they are for days the covariance is zero but for its noise; several stocks of a day have such."""
-    ids, path = ["alpha013", "alpha016"], f"{tmp_path}/panel"
+    ids, path = ["alpha013", "alpha016", "gtja_083", "gtja_099"], f"{tmp_path}/panel"
     enriched(synthetic_prices(spark, 20, 120)).write.parquet(path)
     got = out(compute(spark.read.parquet(path), ids)).toPandas()
     want = duckdb.sql(compute_sql(ids, f"panel AS (SELECT * FROM '{path}/*.parquet')")).df()
