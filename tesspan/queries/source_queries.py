@@ -17,6 +17,7 @@ from ..operators import factors
 from ..plans.columns import computed
 from ..sources import export
 from ..sources import warehouse as w
+from ..sources.embedded import DRIVER, embedded_database
 from ..sources.panel import PANEL_SQL, TRAINING_SQL, training_panel
 from ..streaming import tail
 from ..streaming.lines import appended_metrics
@@ -103,13 +104,11 @@ def parquet_round_trip(spark, sf_dir):
 
 
 def database(spark, sf_dir):
-    """Suppliers put in an in-memory database of this process and read back by a query, in four ranges at once (local runs)."""
-    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
-    driver = "org.apache.derby.jdbc.EmbeddedDriver"
+    """Suppliers put in an embedded database and read back by a query, in ranges of keys at once."""
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("int").alias("K"), F.col("s_nationkey").cast("int").alias("N"), F.col("s_acctbal").cast("double").alias("B"))
-    rows.write.format("jdbc").option("url", url).option("dbtable", "SUPPLIERS").option("driver", driver).save()
-    back = w.read_database(spark, url, "SELECT K, N, B FROM SUPPLIERS WHERE N < 15", driver, split=("K", "0", "1000", 4))
+    url = embedded_database(spark, {"SUPPLIERS": (rows, "K INTEGER, N INTEGER, B DOUBLE")})
+    low, high = rows.agg(F.min("K"), F.max("K")).first()
+    back = w.read_database(spark, url, "SELECT K, N, B FROM SUPPLIERS WHERE N < 15", DRIVER, split=("K", str(low or 0), str((high or 0) + 1), 4))
     return out(back.groupBy(F.col("N").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.max("B").alias("top")))
 
 
