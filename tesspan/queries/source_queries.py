@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -113,16 +112,15 @@ def database(spark, sf_dir):
 
 
 def database_export(spark, sf_dir):
-    """The training panel put in an in-memory database of this process and exported by a query with parameters, in ten ranges of dates at once (local runs)."""
-    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    """The training panel put in an embedded database and exported by a query with parameters, in ten ranges of dates at once."""
     rows = training_panel(spark, sf_dir).select("ts_code", "trade_date", "close", "pct_chg", "vol", "is_st", "name", "alpha_001")
-    rows.select(*[F.col(c).alias(c.upper()) for c in rows.columns]).write.format("jdbc").option("url", url).option("dbtable", "QUOTES").option("driver", driver).option("createTableColumnTypes", "TS_CODE VARCHAR(16), NAME VARCHAR(64)").save()
+    columns = 'TS_CODE VARCHAR(16), TRADE_DATE DATE, "CLOSE" DOUBLE, PCT_CHG DOUBLE, VOL DOUBLE, IS_ST BOOLEAN, NAME VARCHAR(64), ALPHA_001 DOUBLE'
+    url = embedded_database(spark, {"QUOTES": (rows, columns)})
     text = """
       SELECT ts_code, trade_date, "CLOSE", pct_chg, vol, is_st, name, alpha_001 FROM QUOTES -- :not_a_parameter
       WHERE trade_date BETWEEN :start_date AND :end_date AND vol > :least AND name <> :odd_name AND ts_code NOT IN :codes;"""
     values = {"least": 100.0, "odd_name": "it's :start_date", "codes": ["600005.SH", "000001.SZ"]}
-    got = export.export_panel(spark, url, text, dt.date(1996, 1, 1), dt.date(1998, 6, 30), "main_board_non_st", values, 10, driver)
+    got = export.export_panel(spark, url, text, dt.date(1996, 1, 1), dt.date(1998, 6, 30), "main_board_non_st", values, 10, DRIVER)
     return out(got.select("ts_code", "trade_date", "name", "close", "pct_chg", "vol", "alpha_001"))
 
 
