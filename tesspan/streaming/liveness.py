@@ -1,8 +1,8 @@
 """Which runs are live: a run goes live with a record and falls silent when none has come for a while of event time.
 
 Each run's state is a short list of intervals that may still grow.  A record joins the intervals that it is no further from than `silence`
-(two of them become one if it lies between); an event-time timer closes an interval once the watermark has passed
-its last record by more than that, so state is dropped when a run falls silent.  Records in disorder by less than
+(two of them become one if it lies between); the run's event-time timer closes its intervals once the watermark has passed
+their last record by more than that, so state is dropped when a run falls silent.  Records in disorder by less than
 the watermark's delay change nothing; later ones are dropped by the watermark.
 """
 
@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUT = "run string, live_from timestamp, last_record timestamp, n long, live boolean"
+OUT = "run string, live_from long, last_record long, n long, live boolean"
 _STATE = "first long, last long, n long"
 
 
@@ -31,9 +30,9 @@ def joined(intervals: list[tuple[int, int, int]], times: list[int], silence: int
     return out
 
 
-def _rows(run, intervals: list[tuple[int, int, int]], live: bool) -> pd.DataFrame:
-    at = lambda k: pd.to_datetime([i[k] for i in intervals], unit="us")
-    return pd.DataFrame({"run": [run] * len(intervals), "live_from": at(0), "last_record": at(1), "n": [i[2] for i in intervals], "live": [live] * len(intervals)})
+def _rows(run, intervals: list[tuple[int, int, int]], live: bool) -> Iterator[Row]:
+    for first, last, n in intervals:
+        yield Row(run=run, live_from=first, last_record=last, n=n, live=live)
 
 
 class Liveness(StatefulProcessor):
@@ -44,33 +43,36 @@ class Liveness(StatefulProcessor):
         self.handle = handle
         self.state = handle.getListState("intervals", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = [int(t) for pdf in rows for t in pdf["us"]]
-        known = [tuple(int(x) for x in i) for i in self.state.get()] if self.state.exists() else []
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        times = [row["us"] for row in rows]
+        known = self._known()
         now = joined(known, times, self.silence)
         self.state.put(now)
-        self._set_timers(now)
-        yield _rows(key[0], now, True)
+        self._set_timer(known, now)
+        yield from _rows(key[0], now, True)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        known = [tuple(int(x) for x in i) for i in self.state.get()] if self.state.exists() else []
+        known = self._known()
         closed = [i for i in known if self._ends(i) <= mark]
         rest = [i for i in known if self._ends(i) > mark]
         if rest:
             self.state.put(rest)
+            self.handle.registerTimer(self._ends(rest[0]))
         else:
             self.state.clear()
-        if closed:
-            yield _rows(key[0], closed, False)
+        yield from _rows(key[0], closed, False)
+
+    def _known(self) -> list[tuple[int, int, int]]:
+        return [tuple(int(x) for x in i) for i in self.state.get()] if self.state.exists() else []
 
     def _ends(self, interval: tuple[int, int, int]) -> int:
         """The millisecond in which an interval is over."""
         return (interval[1] + self.silence) // 1000 + 1
 
-    def _set_timers(self, intervals: list[tuple[int, int, int]]) -> None:
-        wanted = {self._ends(i) for i in intervals}
-        have = set(self.handle.listTimers())
+    def _set_timer(self, known: list[tuple[int, int, int]], now: list[tuple[int, int, int]]) -> None:
+        """A run has one timer, for its first interval, which ends before the others; when it expires, all that are over are closed at once."""
+        have, wanted = ({self._ends(i) for i in intervals[:1]} for intervals in (known, now))
         for t in have - wanted:
             self.handle.deleteTimer(t)
         for t in wanted - have:
@@ -88,7 +90,8 @@ def liveness(records: DataFrame, silence_seconds: int = 10, delay: str = "10 sec
     """
     rows = records.select(F.col("run").cast("string").alias("run"), F.col("ts").cast("timestamp").alias("ts")).where("run IS NOT NULL AND ts IS NOT NULL")
     rows = rows.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy("run").transformWithStateInPandas(Liveness(silence_seconds * 1_000_000), outputStructType=OUT, outputMode="update", timeMode="eventtime")
+    found = rows.groupBy("run").transformWithState(Liveness(silence_seconds * 1_000_000), outputStructType=OUT, outputMode="update", timeMode="eventtime")
+    return found.select("run", F.timestamp_micros("live_from").alias("live_from"), F.timestamp_micros("last_record").alias("last_record"), "n", "live")
 
 
 def current(rows: DataFrame) -> DataFrame:

@@ -120,3 +120,49 @@ def test_open_intervals_are_those_of_the_last_batch(spark):
     df = df.withColumn("live_from", F.timestamp_seconds("live_from")).withColumn("last_record", F.timestamp_seconds("last_record"))
     got = {(r.run, int(r.live_from.timestamp()), r.n, r.live) for r in liveness.current(df).collect()}
     assert {(r[0], r[2], r[3]) for r in got} == {("a", 3, False), ("a", 1, True), ("b", 1, True), ("c", 2, False)} and len(got) == 4
+
+
+def test_a_run_has_one_timer_however_many_intervals():
+    from tesspan.streaming.liveness import Liveness
+
+    class Handle:
+        def __init__(self):
+            self.kept, self.timers, self.calls = [], set(), 0
+
+        def getListState(self, *_):
+            return self
+
+        def exists(self):
+            return bool(self.kept)
+
+        def get(self):
+            return iter(self.kept)
+
+        def put(self, kept):
+            self.kept = list(kept)
+
+        def clear(self):
+            self.kept = []
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, t):
+            self.calls += 1
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def getCurrentWatermarkInMs(self):
+            return 52_000
+
+    handle, second = Handle(), 1_000_000
+    live = Liveness(second)
+    live.init(handle)
+    opened = list(live.handleInputRows(("a",), iter([{"us": k * 10 * second} for k in range(9)]), None))
+    assert len(opened) == 9 and len(handle.timers) == handle.calls == 1
+    handle.timers.clear()  # the timer expires
+    closed = list(live.handleExpiredTimer(("a",), handle, None))
+    assert [(r["live_from"] // second, r["live"]) for r in closed] == [(k * 10, False) for k in range(6)]
+    assert handle.timers == {61_001} and [i[0] // second for i in handle.kept] == [60, 70, 80]
