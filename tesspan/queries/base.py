@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared
 from ..operators import loader
 from ..plans.columns import published as published_column
 from ..plans.sql import published as published_sql
@@ -36,8 +37,8 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense training panel with forward returns."""
-    return loader.with_forward_return(loader.dense(training_panel(spark, sf_dir), FACTORS), PERIOD)
+    """The dense training panel with forward returns; the panel is written once, as the line items it is made from would be read for each of its uses."""
+    return loader.with_forward_return(loader.dense(shared(training_panel(spark, sf_dir), "training"), FACTORS), PERIOD)
 
 
 def scores(spark: SparkSession, sf_dir: str, factor: str = "mf_000") -> DataFrame:

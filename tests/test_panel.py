@@ -37,3 +37,10 @@ def test_capped_picks_of_a_skewed_day(spark):
     df = synthetic_prices(spark, 2000, 1).selectExpr("trade_date", "stock_code AS ts_code", "close AS score", "CASE WHEN hash(stock_code) % 20 = 0 THEN abs(hash(stock_code)) % 7 ELSE 9 END AS industry_code")
     got = rules.capped_top_k(df, 50).toPandas()
     assert len(got) == 50 and (got.industry_code == 9).sum() == 15
+
+
+def test_the_grid_reads_the_line_items_once(spark):
+    """They are read when its panel is written, not again for each use of the grid."""
+    from tesspan.queries.base import grid
+
+    assert not [f for f in grid(spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
