@@ -73,11 +73,11 @@ def prefixes(spark, sf_dir):
     return w.prefix_coverage(training_panel(spark, sf_dir))
 
 
-def _records(spark, sf_dir):
+def _records(spark, sf_dir, *more):
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     pick = F.element_at(F.array(F.lit("PPO"), F.lit("A2C"), F.lit("SAC"), F.lit("OTHER")), (F.col("user_id") % 4 + 1).cast("int"))
     return ev.select(
-        F.col("event_id").alias("timestep"), F.col("value").alias("episode_reward_mean"), (F.col("event_id") % 500).alias("fps"),
+        *more, F.col("event_id").alias("timestep"), F.col("value").alias("episode_reward_mean"), (F.col("event_id") % 500).alias("fps"),
         pick.alias("algorithm"), F.when(F.col("event_id") % 9 == 0, 0.0).otherwise(0.001).alias("learning_rate"),
     )
 
@@ -178,27 +178,19 @@ def stream_tail(spark, sf_dir):
 
 
 def _append_logs(pieces, root):
-    """Append pieces (run, round, nth, piece) to a log file for each run, one writer a run; done again, it writes the same bytes at the same place."""
+    """Append pieces (run, nth, at, piece) to a log file for each run, one writer a run; at is a piece's place in its file, so done again it writes the same bytes at the same place."""
     root = root.removeprefix("file://")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(root, exist_ok=True)
         last, file = None, None
         for pdf in batches:
-            for run, k, piece in zip(pdf["run"], pdf["round"], pdf["piece"]):
+            for run, at, piece in zip(pdf["run"], pdf["at"], pdf["piece"]):
                 if run != last:
                     if file:
                         file.close()
-                    folder, last = f"{root}/run={run}", run
-                    os.makedirs(folder, exist_ok=True)
-                    path, mark = f"{folder}/training_metrics.jsonl", f"{folder}/.size-{k}"
-                    if not os.path.exists(mark):
-                        with open(mark + ".new", "w") as m:
-                            m.write(str(os.path.getsize(path) if os.path.exists(path) else 0))
-                        os.replace(mark + ".new", mark)
-                    with open(mark) as m:
-                        size = int(m.read())
-                    file = open(path, "ab")
-                    file.truncate(size)
+                    last, file = run, os.fdopen(os.open(f"{root}/run={run}.jsonl", os.O_WRONLY | os.O_CREAT, 0o644), "wb")
+                    file.seek(at)
                 file.write(piece.encode())
         if file:
             file.close()
@@ -213,15 +205,19 @@ def stream_run_logs(spark, sf_dir, rounds=3):
     while it grows; after the second round the stream is stopped and goes on from its checkpoint."""
     at = shared_path(spark, "logs")
     line = F.to_json(F.struct("timestep", "episode_reward_mean", "fps", "algorithm", "learning_rate"))
-    rows = _records(spark, sf_dir).join(_events(spark, sf_dir).select(F.col("event_id").alias("timestep"), F.col("user_id").alias("run")), "timestep")
-    rows = rows.select("run", F.pmod("timestep", F.lit(rounds)).alias("round"), F.col("timestep").alias("nth"), F.concat(line, F.lit("\n")).alias("line"))
-    rows = rows.withColumn("ends", F.max("nth").over(Window.partitionBy("run", "round")))
+    rows = _records(spark, sf_dir, F.coalesce(F.col("user_id").cast("string"), F.lit("none")).alias("run"))
+    rows = rows.select("run", F.coalesce(F.pmod("timestep", F.lit(rounds)), F.lit(0)).alias("round"), F.col("timestep").alias("nth"), F.concat(line, F.lit("\n")).alias("line"))
+    in_file = Window.partitionBy("run").orderBy("round", "nth")
+    rows = rows.withColumn("ends", F.coalesce(F.lead("round").over(in_file) != F.col("round"), F.lit(True)))
     half = F.floor(F.length("line") / 2).cast("int")
-    cut = F.when(F.col("nth") == F.col("ends"), F.array(
+    cut = F.when(F.col("ends"), F.array(
         F.struct("round", "nth", F.substring("line", F.lit(1), half).alias("piece")),
         F.struct((F.col("round") + 1).alias("round"), F.lit(-1).cast("long").alias("nth"), F.substring("line", half + 1, F.length("line")).alias("piece")),
     )).otherwise(F.array(F.struct("round", "nth", F.col("line").alias("piece"))))
-    pieces = shared(rows.select("run", F.inline(cut)), "pieces")
+    before = F.sum(F.octet_length("piece")).over(in_file.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = rows.select("run", F.inline(cut)).withColumn("at", F.coalesce(before, F.lit(0)))
+    pieces.write.partitionBy("round").parquet(f"{at}/pieces")  # a round reads its own
+    pieces = spark.read.schema(pieces.schema).parquet(f"{at}/pieces")
     stream = appended_metrics(spark, f"{at}/in", maxBytesPerTrigger=200_000)
     records = BatchTable(spark, f"{at}/records", stream.schema)
     following = None
@@ -232,7 +228,7 @@ def stream_run_logs(spark, sf_dir, rounds=3):
         if k in (1, rounds):
             following.stop()
             following = None
-    run = F.regexp_extract("path", r"run=(-?\d+)", 1).cast("long").alias("run")
+    run = F.regexp_extract("path", r"run=(-?\d+)\.jsonl$", 1).try_cast("long").alias("run")
     return out(w.metrics_summary(records.read().select(run, *[c for c in stream.columns if c not in ("path", "start")]), ["run"]))
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tesspan.queries.source_queries import _append_logs
 from tesspan.streaming import lines, liveness
 from tesspan.streaming.sink import BatchTable
 from tesspan.streaming.tail import follow
@@ -67,6 +68,51 @@ def test_missing_folder_and_shorter_file(tmp_path):
     assert reader.latestOffset() == at
 
 
+def test_driver_opens_no_file_and_small_files_are_dealt(tmp_path, monkeypatch):
+    """Planning a batch takes a listing alone, and thousands of small files don't land in one task."""
+    for i in range(3000):
+        (tmp_path / f"{i}.log").write_bytes(b"line\nhalf")
+    reader, opened, found = lines.LineReader({"path": str(tmp_path)}), [], lines.opened
+
+    class Store:
+        def __init__(self, store):
+            self.get_file_info = store.get_file_info
+
+        def open_input_file(self, path):
+            opened.append(path)
+            return found(path)[0].open_input_file(path)
+
+    monkeypatch.setattr(lines, "opened", lambda path: (Store(found(path)[0]), found(path)[1]))
+    end = reader.latestOffset()
+    parts = reader.partitions({}, end)
+    assert not opened
+    assert len(parts) > 2 and max(len(p.pieces) for p in parts) < 1200
+    assert sum(b.num_rows for b in reader.read(parts[0])) == len(parts[0].pieces) == len(opened)
+    assert not any(p.pieces for p in reader.partitions(end, reader.latestOffset()))
+
+
+def test_a_line_is_given_by_the_batch_that_holds_its_end(tmp_path, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 3)
+    log, reader, at, got = tmp_path / "a", lines.LineReader({"path": str(tmp_path)}), {}, []
+    for text in (b"one\nlong li", b"ne with", b" more\n\nla", b"st\n"):
+        with log.open("ab") as f:
+            f.write(text)
+        new = reader.latestOffset()
+        got.append([(s, line) for _, s, line in texts_of(reader, at, new)])
+        at = new
+    assert got == [[(0, "one")], [], [(4, "long line with more")], [(25, "last")]]
+
+
+def test_logs_appended_again_are_the_same(spark, tmp_path):
+    """A writer that fails and starts anew leaves what it would have left, and nothing but the logs lies in the folder."""
+    rows = [("7", 0, 0, "ab\nc"), ("7", 1, 4, "é\n"), ("none", 0, 0, "x")]
+    pieces = spark.createDataFrame(rows, "run string, nth long, at long, piece string")
+    for _ in range(2):
+        _append_logs(pieces, str(tmp_path / "in"))
+    _append_logs(spark.createDataFrame([("7", 0, 7, "end\n")], pieces.schema), f"file://{tmp_path}/in")
+    assert {p.name: p.read_bytes() for p in (tmp_path / "in").iterdir()} == {"run=7.jsonl": "ab\ncé\nend\n".encode(), "run=none.jsonl": b"x"}
+
+
 def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     folder, log = tmp_path / "in", tmp_path / "in" / "run=1" / "m.jsonl"
     log.parent.mkdir(parents=True)
