@@ -36,9 +36,14 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_item_panel(spark, sf_dir)
 
 
+def gridded(training: DataFrame) -> DataFrame:
+    """A training panel made dense, with forward returns.  The panel is read several times, so it has to be written."""
+    return loader.with_forward_return(loader.dense(training, FACTORS), PERIOD)
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense training panel with forward returns; the panel is written once, as the line items it is made from would be read for each of its uses."""
-    return loader.with_forward_return(loader.dense(shared(training_panel(spark, sf_dir), "training"), FACTORS), PERIOD)
+    return gridded(shared(training_panel(spark, sf_dir), "training"))
 
 
 def scores(spark: SparkSession, sf_dir: str, factor: str = "mf_000") -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import rewards as w
 from ..operators import rules as r
 from ..sources.cache import ResultCache
 from ..sources.panel import TRAINING_SQL, training_panel
-from .base import FACTORS, GRID_SQL, K, final, grid, out, scores
+from .base import FACTORS, GRID_SQL, K, final, grid, gridded, out, scores
 from .network_model import MODEL_SQL, hashed_network, layers_sql, values_sql
 
 EXTRA = ["600519", "300750.SZ", "301001.SZ", "688001.SH", "430047.BJ", "830799.BJ", "000001.SZ", "003816.SZ", "004000.SZ", "900901.SH", "ABC.SH", "601398.SH"]
@@ -111,10 +111,15 @@ def scored(spark, sf_dir):
     return out(r.batch_scored(grid(spark, sf_dir), FACTORS, [0.5, -1.0, 0.25, 2.0, 0.125], 0.5))
 
 
+def kept_scores(cache, sf_dir, weights):
+    """Linear scores whose panel the cache keeps too: each call's plan then reads the same files, where grid() writes new ones, under which nothing is found."""
+    return r.batch_scored(gridded(cache.get(training_panel(cache.spark, sf_dir))), FACTORS, weights, 0.5)
+
+
 def cached_scores(spark, sf_dir):
     """Scores found again in the cache by a second call; those of other weights aren't there."""
     cache = ResultCache(spark, shared_path(spark, "cache"))
-    scored = lambda w: r.batch_scored(grid(spark, sf_dir), FACTORS, w, 0.5)
+    scored = lambda w: kept_scores(cache, sf_dir, w)
     cache.get(scored([0.5, -1.0, 0.25, 2.0, 0.125]), "first weights")
     again, other = scored([0.5, -1.0, 0.25, 2.0, 0.125]), scored([1.0] * 5)
     known = [F.lit(cache.has(df, v)).alias(name) for df, v, name in ((again, "first weights", "found"), (other, "other weights", "other_found"))]

@@ -7,6 +7,9 @@ an empty file; of several writers the first by name counts, and what a failed on
 
 Plans that aren't determined by files and text need a version, which then stands for what the key can't see: Python functions, rows
 that came from the driver or from another system.  Without one they are refused, as are plans that aren't deterministic.
+
+A plan over files that are written anew for each call (as `functions/shared.py` does) has another key each time and is never found: keep
+what it reads in the cache too, so that the way back to the tables is one of keys.
 """
 
 from __future__ import annotations

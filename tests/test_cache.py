@@ -1,6 +1,7 @@
 """Kept results: hits, misses, changed inputs, several writers, other sessions."""
 
 import os
+import shutil
 import subprocess
 import sys
 
@@ -90,3 +91,26 @@ print("found", ResultCache(spark, {str(tmp_path / 'cache')!r}).has(total(spark,
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert "found True" in out.stdout, out.stderr[-2000:]
+
+
+def test_a_query_finds_its_scores_again(spark):
+    """The panel below the scores is written on the way; a second call has to meet the same files."""
+    from tesspan import queries
+
+    got = queries.QUERIES["score_cached"](spark, "/root/testdata/sf0.001")
+    assert [tuple(r) for r in got.select("found", "other_found").distinct().collect()] == [(True, False)]
+
+
+def test_scores_over_a_panel_that_is_kept(spark, tmp_path):
+    from tesspan.queries.rule_queries import kept_scores
+
+    shutil.copy("/root/testdata/sf0.001/lineitem.parquet", tmp_path / "lineitem.parquet")
+    weights, root = [0.5, -1.0, 0.25, 2.0, 0.125], str(tmp_path / "cache")
+    cache = ResultCache(spark, root)
+    first = rows(cache.get(kept_scores(cache, str(tmp_path), weights), "1"))
+    other = ResultCache(spark.newSession(), root)
+    again = kept_scores(other, str(tmp_path), weights)
+    assert other.has(again, "1") and rows(other.get(again, "1")) == first
+    assert len(os.listdir(root)) == 2 and not [f for f in again.inputFiles() if "lineitem" in f]  # one panel, one table of scores
+    os.utime(tmp_path / "lineitem.parquet", (1, 1))
+    assert not cache.has(kept_scores(cache, str(tmp_path), weights), "1")
